@@ -61,12 +61,13 @@ def candidates(bands: DataFrame, tag: str) -> DataFrame:
 def near_components(
     cands: DataFrame, contents: DataFrame, percent: int, k: int, sketch_words: int, most: int, rounds: int = 3, tag: str = "near"
 ) -> DataFrame:
-    """(node, root) of all nodes that have a link: cands(h, node long, sketch), contents(node, text).
+    """(node, root) of all nodes that have a link: cands(h, node, sketch), contents(node, text).
 
-    root is the least node of the component. most: pairs with more unequal sketch bits are not compared.
+    root is the least node of the component. most: pairs with more unequal sketch bits are not compared;
+    with sketch_words 0 there are no sketches and all candidates are.
     """
-    links, labels = None, None
-    near = unlike("sa", "sb", sketch_words) <= most
+    labels = None
+    near = unlike("sa", "sb", sketch_words) <= most if sketch_words else F.lit(True)
     for turn in range(rounds + 1):
         if labels is None:
             rows = cands.withColumn("label", F.col("node"))
@@ -93,7 +94,6 @@ def near_components(
             # links of earlier rounds go on as one link of each node to its root
             so_far = found if labels is None else found.unionByName(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
             labels = written(components(so_far, f"{tag}-components"), f"{tag}-labels")
-        links = found
     if labels is None:
         return cands.select("node", F.col("node").alias("root")).where(F.lit(False))
     return labels

@@ -10,9 +10,11 @@ from .bpe import bpe_encode
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .hmm import lm_scores
 from .license_scan import TEMPLATES, license_matches
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
+from .passages import repeated_passages
 from .quality import quality_scores
 from .toxicity import toxicity
 
@@ -32,6 +34,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_key=1)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), percent=75, k=5)
 
@@ -44,6 +50,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -111,7 +121,11 @@ SELECT doc_id, license, max(dice)::DOUBLE AS dice, count(*) AS n_units FROM p WH
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_near_dedup, op5_license_scan, op6_toxicity, op8_bpe, op9_quality, op10_decontamination)}
+    found = (
+        op1_exact_dedup, op2_line_dedup, op3_lm_score, op4_near_dedup, op5_license_scan, op6_toxicity, op7_substring_dedup, op8_bpe,
+        op9_quality, op10_decontamination,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
