@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: White space that the text contracts strip and split on: space, tab, LF, VT, FF, CR.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys that hold more than 1/HOT_SHARE of the rows are hot; so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 4096
 
 _local: dict[str, str] = {}
 
@@ -66,19 +64,11 @@ def crc_mod(c: Column, m: int) -> Column:
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left joined with right, whose key is unique, when some keys hold a large share of left's rows.
 
-    Keys with more than 1/HOT_SHARE of left's rows (so fewer than HOT_SHARE keys) get their right rows by
-    broadcast; all other keys meet in a sort-merge join. left should be a written table: it is read twice.
-    Null keys match nothing; with how="left" their rows stay.
+    A sort-merge join of two tables that are both shuffled for it: there AQE splits the partitions of hot keys and
+    sends the one matching row of right to each part. left and right must not be grouped or windowed by the key
+    just before, or they keep that partitioning. Null keys match nothing; with how="left" their rows stay.
     """
-    n = left.count()
-    hot = left.groupBy(key).count().where((F.col("count") > max(n // HOT_SHARE, 8)) & F.col(key).isNotNull()).select(key)
-    hot = written(hot, "hot-keys")
-    if hot.isEmpty():
-        return left.join(right.hint("merge"), key, how)
-    hot = F.broadcast(hot)
-    few = right.join(hot, key, "left_semi")
-    rest = left.join(hot, key, "left_anti").join(right.hint("merge"), key, how)
-    return left.join(hot, key, "left_semi").join(F.broadcast(few), key, how).unionByName(rest)
+    return left.join(right.hint("merge"), key, how)
 
 
 def digest128(c: Column) -> Column:

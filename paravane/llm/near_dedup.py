@@ -4,8 +4,8 @@ Each document's shingles give MinHash samples; bands of samples propose candidat
 parity bitmap (an odd sketch) tell by an XOR's population count which candidates are far below the threshold. The
 rest is confirmed on the full sets. Texts that are the same word by word are one node, whatever their number.
 
-With 32 bands of 4 rows a pair at similarity 0.75 is missed with probability 5e-6, and the sketch bound lies about
-five standard deviations beyond the mean of such pairs.
+With 32 bands of 4 rows a pair at similarity 0.75 is missed with probability 5e-6; the sketch bound is the mean of
+pairs at 0.55, between four and five standard deviations beyond that of pairs at 0.75.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from .common import skew_join, written
 from .near_links import candidates, near_components
 from .shingles import MinHash, WordHashes, hashed, most_unlike, shingle_set, words_of
 
-BANDS, ROWS, BITS = 32, 4, 512
+BANDS, ROWS, BITS = 32, 4, 1024
+#: Pairs whose sketches differ by more than pairs of this similarity do in the mean are not compared.
+SURELY_LESS = 0.55
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -60,14 +62,15 @@ def near_dedup(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     rows = written(sketches(docs, k), "near-sketches")
     sets = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # a node is the smallest doc_id of a text; a doc_id that repeats with other texts joins their nodes
-    texts = sets.groupBy("same").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    texts = sets.groupBy("same").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.max("n_shingles").cast("int").alias("n"))
     texts = written(texts, "near-texts")
-    bands = texts.select(F.explode("bands").alias("h"), "node", "sketch")
+    bands = texts.select(F.explode("bands").alias("h"), "node", "n", "sketch")
     cands = candidates(bands, "near")
     needed = written(cands.select("node").distinct(), "near-needed")
     contents = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed.hint("merge"), "node", "left_semi")
-    contents = written(contents.groupBy("node").agg(F.min("text").alias("text")), "near-contents")
-    labels = near_components(cands, contents, percent, k, BITS // 64, most_unlike(BITS, BANDS * ROWS, 0.5))
+    contents = contents.groupBy("node").agg(F.min("text").alias("text")).join(texts.groupBy("node").agg(F.min("bands").alias("bands")), "node")
+    contents = written(contents, "near-contents")
+    labels = near_components(cands, contents, percent, k, most_unlike(BITS, BANDS * ROWS, SURELY_LESS))
     roots = texts.select("same", "node").join(labels.hint("merge"), "node", "left")
     roots = written(roots.select("same", F.coalesce("root", "node").alias("component_id")), "near-roots")
     linked = skew_join(rows.select("doc_id", "same", "n_shingles"), roots, "same", "left")

@@ -2,7 +2,8 @@
 
 Candidates share a band key. In each star round every bucket that still holds several components picks one member,
 and the members of other components are compared with it; that soon joins large groups of near copies. The last
-round compares all pairs of a bucket that are still in different components, so no link between candidates is lost.
+round compares all pairs of a bucket that are still in different components, so no link between candidates is lost;
+buckets of more than SMALL members do so in pairs of blocks, inside tasks of bounded size that give out links only.
 Every comparison first looks at the odd sketches and is then confirmed on the full shingle sets.
 """
 
@@ -18,6 +19,16 @@ from .components import components
 from .shingles import WordHashes, hashed, shingle_set, words_of
 
 
+#: Bytes of shingle sets that a task keeps for texts that come again.
+SETS_BYTES = 64_000_000
+#: A further star round must find links for this share of its pairs.
+WORTH = 0.05
+
+
+#: Larger buckets are compared in blocks of about so many members.
+SMALL, BLOCK = 48, 512
+
+
 def unlike(a: str, b: str, words: int) -> Column:
     """Unequal bits of two odd sketches: the population count of their XOR."""
     x, y = F.col(a), F.col(b)
@@ -33,13 +44,17 @@ def verified(pairs: DataFrame, contents: DataFrame, percent: int, k: int) -> Dat
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
 
-        known, last = WordHashes(), (None, None)
+        known, sets, held = WordHashes(), {}, 0
         for pdf in batches:
             keep = []
             for ta, tb in zip(pdf["ta"], pdf["tb"]):
-                if last[0] != tb:
-                    last = (tb, shingle_set(hashed(words_of(tb), known), k))
-                sa, sb = shingle_set(hashed(words_of(ta), known), k), last[1]
+                if held > SETS_BYTES:
+                    sets, held = {}, 0
+                for text in (ta, tb):
+                    if text not in sets:
+                        sets[text] = shingle_set(hashed(words_of(text), known), k)
+                        held += sets[text].nbytes + 2 * len(text)
+                sa, sb = sets[ta], sets[tb]
                 if min(len(sa), len(sb)) * 100 < percent * max(len(sa), len(sb)):
                     keep.append(False)
                     continue
@@ -52,48 +67,121 @@ def verified(pairs: DataFrame, contents: DataFrame, percent: int, k: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInPandas(compare, pairs.select("a", "b").schema)
 
 
+def block_links(rows: DataFrame, contents: DataFrame, percent: int, k: int, most: int | None) -> DataFrame:
+    """Links (a, b) between members of large buckets with different labels: rows(h, size, a, la, an, asketch).
+
+    A bucket is cut into blocks by a hash, and each pair of blocks is one group of about 2 * BLOCK rows. Where
+    contents have `bands`, a pair is only looked at in the first band that it shares.
+    """
+    extra = [c for c in contents.columns if c == "bands"]
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = rows.withColumn("i", F.pmod(F.hash("a"), count)).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
+    cut = cut.select("*", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    cut = cut.join(contents.select(F.col("node").alias("a"), "text", *extra).hint("merge"), "a")
+
+    def compare(pdf):
+        import numpy as np
+        import pandas as pd
+
+        known, sets = WordHashes(), {}
+        pdf = pdf.reset_index(drop=True)
+        left = np.flatnonzero(pdf["i"] == pdf["lo"])
+        right = np.flatnonzero(pdf["i"] == pdf["hi"])
+        label, _ = pd.factorize(pdf["la"].map(str))
+        ok = label[left][:, None] != label[right][None, :]
+        if len(left) == len(right) and (left == right).all():
+            ok &= left[:, None] < right[None, :]
+        if most is not None:
+            n, sketch = pdf["an"].to_numpy(), np.stack(pdf["asketch"].to_numpy()).view(np.uint64)
+            ok &= np.minimum(n[left][:, None], n[right]) * 100 >= np.maximum(n[left][:, None], n[right]) * percent
+            for r, x in enumerate(left):
+                at = np.flatnonzero(ok[r])
+                ok[r, at] = np.bitwise_count(sketch[x] ^ sketch[right[at]]).sum(axis=1) <= most
+        if extra:  # only in the first band that both have
+            bands, here = np.stack(pdf["bands"].to_numpy()), pdf["h"].iloc[0]
+            for r, x in enumerate(left):
+                at = np.flatnonzero(ok[r])
+                if len(at):
+                    first = np.argmax(bands[x] == bands[right[at]], axis=1)
+                    ok[r, at] = bands[x][first] == here
+        text, node, found = pdf["text"].tolist(), pdf["a"].tolist(), []
+
+        def of(z: int):
+            if z not in sets:
+                s = shingle_set(hashed(words_of(text[z]), known), k)
+                sets[z] = frozenset(s.tolist()) if len(s) < 2_000 else s
+            return sets[z]
+
+        for r, x in enumerate(left.tolist()):
+            for y in right[np.flatnonzero(ok[r])].tolist():
+                sx, sy = of(x), of(y)
+                if isinstance(sx, frozenset) and isinstance(sy, frozenset):
+                    both = len(sx & sy)
+                else:
+                    both = len(np.intersect1d(np.array(list(sx), np.uint64), np.array(list(sy), np.uint64)))
+                if both and 100 * both >= percent * (len(sx) + len(sy) - both):
+                    found.append(sorted((node[x], node[y]), key=_order))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    schema = rows.select("a", F.col("a").alias("b")).schema
+    return cut.groupBy("h", "lo", "hi").applyInPandas(compare, schema).distinct()
+
+
+def _order(node):
+    """A node's place among nodes: integers, or rows by their fields."""
+    return tuple(node.values()) if isinstance(node, dict) else node
+
+
 def candidates(bands: DataFrame, tag: str) -> DataFrame:
     """The rows of bands(h, node, ..) whose key h several nodes share, as a written table."""
     shared = bands.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
     return written(bands.join(shared.hint("merge"), "h"), f"{tag}-candidates")
 
 
-def near_components(
-    cands: DataFrame, contents: DataFrame, percent: int, k: int, sketch_words: int, most: int, rounds: int = 3, tag: str = "near"
-) -> DataFrame:
-    """(node, root) of all nodes that have a link: cands(h, node, sketch), contents(node, text).
+def near_components(cands: DataFrame, contents: DataFrame, percent: int, k: int, most: int | None = None, rounds: int = 3, tag: str = "near") -> DataFrame:
+    """(node, root) of all nodes that have a link: cands(h, node, n, sketch), contents(node, text).
 
-    root is the least node of the component. most: pairs with more unequal sketch bits are not compared;
-    with sketch_words 0 there are no sketches and all candidates are.
+    root is the least node of the component. With `most`, pairs whose set sizes n rule a link out, or that have more
+    than so many unequal sketch bits, are not compared; without it all candidates are, and n and sketch aren't read.
     """
-    labels = None
-    near = unlike("sa", "sb", sketch_words) <= most if sketch_words else F.lit(True)
+    labels, tried, got = None, 1, 1
+    extra = ["n", "sketch"] if most is not None else []
+    near = F.lit(True)
+    if most is not None:
+        words = len(cands.first().sketch) if not cands.isEmpty() else 1
+        near = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (unlike("asketch", "bsketch", words) <= most)
     for turn in range(rounds + 1):
         if labels is None:
             rows = cands.withColumn("label", F.col("node"))
         else:
             rows = skew_join(cands, labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
             rows = written(rows, f"{tag}-rows")
-        last = turn == rounds
-        center = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("sb")))
-        open_ = rows.groupBy("h").agg(center.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        open_ = written(open_.select("h", "c.b", "c.lb", "c.sb"), f"{tag}-open")
+        center = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("b"), F.col("label").alias("lb"), *[F.col(c).alias(f"b{c}") for c in extra]))
+        open_ = rows.groupBy("h").agg(center.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        open_ = written(open_.select("h", "size", "c.b", "c.lb", *[f"c.b{c}" for c in extra]), f"{tag}-open")
         if open_.isEmpty():
             break
-        mine = rows.select("h", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
+        mine = rows.select("h", F.col("node").alias("a"), F.col("label").alias("la"), *[F.col(c).alias(f"a{c}") for c in extra])
+        last = turn == rounds or got < WORTH * tried
         if last:
-            left = written(mine.join(open_.select("h").hint("merge"), "h"), f"{tag}-left")
-            other = left.select("h", F.col("a").alias("b"), F.col("la").alias("lb"), F.col("sa").alias("sb"))
-            pairs = left.alias("x").join(other.alias("y").hint("merge"), (F.col("x.h") == F.col("y.h")) & (F.col("la") < F.col("lb")) & near)
+            left = written(mine.join(open_.select("h", "size").hint("merge"), "h"), f"{tag}-left")
+            large, left = left.where(F.col("size") > SMALL), left.where(F.col("size") <= SMALL)
+            other = left.select(F.col("h").alias("h2"), F.col("a").alias("b"), F.col("la").alias("lb"), *[F.col(f"a{c}").alias(f"b{c}") for c in extra])
+            pairs = left.join(other.hint("merge"), (F.col("h") == F.col("h2")) & (F.col("la") < F.col("lb")) & near)
         else:
-            pairs = skew_join(mine, open_, "h").where((F.col("la") != F.col("lb")) & near)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs, f"{tag}-pairs")
-        found = written(verified(pairs, contents, percent, k), f"{tag}-links")
-        if not found.isEmpty():
+            pairs = mine.join(open_.withColumnRenamed("h", "h2").hint("merge"), (F.col("h") == F.col("h2")) & (F.col("la") != F.col("lb")) & near)
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-pairs")
+        found = verified(pairs, contents, percent, k)
+        if last:
+            found = found.unionByName(block_links(large, contents, percent, k, most))
+        found = written(found, f"{tag}-links")
+        tried, got = pairs.count(), found.count()
+        if got:
             # links of earlier rounds go on as one link of each node to its root
             so_far = found if labels is None else found.unionByName(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
             labels = written(components(so_far, f"{tag}-components"), f"{tag}-labels")
+        if last:
+            break
     if labels is None:
         return cands.select("node", F.col("node").alias("root")).where(F.lit(False))
     return labels
