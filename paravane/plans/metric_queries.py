@@ -651,6 +651,6 @@ def o2_o3_set_operations(spark: SparkSession, sf: str) -> DataFrame:
     return p.where("edition = 'demo' AND p > 0.5").select("model", "row_id").intersect(p.where("edition = 'full' AND y = 1").select("model", "row_id"))
 
 
-@query("SELECT model, row_id, edition, world, p FROM (SELECT *, row_number() OVER (PARTITION BY model, row_id ORDER BY edition, severity) AS rn FROM predictions) WHERE rn = 1", "p")
+@query("SELECT model, row_id, edition, world, p / 0.7e0 AS p FROM (SELECT *, row_number() OVER (PARTITION BY model, row_id ORDER BY edition, severity) AS rn FROM predictions) WHERE rn = 1", "p")
 def o5_first_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    return cmp.first_by_key(src.predictions(spark, sf), ["model", "row_id"], ["edition", "severity"]).select("model", "row_id", "edition", "world", "p")
+    return cmp.first_by_key(src.predictions(spark, sf), ["model", "row_id"], ["edition", "severity"]).select("model", "row_id", "edition", "world", (F.col("p") / 0.7).alias("p"))

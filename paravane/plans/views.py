@@ -22,8 +22,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metrics by edition, model, world, severity and fold."""
-    return metric_bundle(predictions(spark, sf_dir), KEYS)
+    """All metrics by edition, model, world, severity and fold: a few rows, kept since comparisons read them often."""
+    return metric_bundle(predictions(spark, sf_dir), KEYS).persist()
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
