@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import average_rank, bootstrap_mean, kendall, min_rank, spearman
+from .stats import average_rank, bootstrap_mean, correlation, kendall, min_rank, spearman
 
 
 def edition_join(df: DataFrame, keys: list[str], values: list[str], a: str = "full", b: str = "demo") -> DataFrame:
@@ -70,7 +70,7 @@ def world_rank_matrix(facts: DataFrame, by: list[str], score: str = "auroc") ->
     """Spearman of the models' ranks between each two worlds (long form)."""
     ranks = facts.groupBy(*by, "model", "world").agg(F.avg(score).alias("s")).withColumn("r", average_rank([*by, "world"], "s"))
     l, r = ranks.select(*by, "model", F.col("world").alias("world_i"), F.col("r").alias("ri")), ranks.select(*by, "model", F.col("world").alias("world_j"), F.col("r").alias("rj"))
-    return l.join(r, [*by, "model"]).groupBy(*by, "world_i", "world_j").agg(F.corr("ri", "rj").alias("rho"))
+    return l.join(r, [*by, "model"]).groupBy(*by, "world_i", "world_j").agg(correlation("ri", "rj").alias("rho"))
 
 
 def cost_choice(df: DataFrame, prefer: list[str]) -> Column:
@@ -101,7 +101,7 @@ def rank_stability(runs: DataFrame, reference: DataFrame, top: tuple[int, ...] =
     mine = runs.withColumns({"r": min_rank(["run_id"], "value", higher_better), "pos": F.row_number().over(order(["run_id"]))})
     ref = reference.select("model", min_rank([], "value", higher_better).alias("rr"), F.row_number().over(order([])).alias("rpos"))
     shared = [F.avg(F.when(F.col("rpos") <= k, (F.col("pos") <= k).cast("double"))).alias(f"top{k}") for k in top]
-    return mine.join(ref, "model").groupBy("run_id").agg(F.corr("r", "rr").alias("spearman"), *shared)
+    return mine.join(ref, "model").groupBy("run_id").agg(correlation("r", "rr").alias("spearman"), *shared)
 
 
 def decision_stability(runs: DataFrame, reference: DataFrame, k: int = 3, higher_better: bool = True) -> DataFrame:

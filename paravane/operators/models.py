@@ -112,7 +112,7 @@ def estimators(n_rows: int, width: int, trees: int = 20, rounds: int = 20) -> di
         "random_forest": (lambda: RandomForestClassifier(**forest), None),
         "extra_trees": (lambda: RandomForestClassifier(bootstrap=False, featureSubsetStrategy="sqrt", **forest), lambda d: hashed_cuts(d, width)),
         "gradient_boosting": (lambda: GBTClassifier(maxIter=rounds, stepSize=0.03, maxDepth=3, seed=42, **common), None),
-        "svc_rbf": (lambda: LinearSVC(maxIter=50, regParam=0.01, weightCol="weight", **common), lambda d: fourier(d, 32, width, 1 / width)),
+        "svc_rbf": (lambda: LinearSVC(maxIter=50, regParam=1 / max(1, n_rows), weightCol="weight", **common), lambda d: fourier(d, 128, width, 1 / width)),
         "mlp": (lambda: MultilayerPerceptronClassifier(layers=[width, 16, 8, 2], maxIter=50, seed=42, **common), None),
         "gaussian_nb": (lambda: NaiveBayes(modelType="gaussian", **common), None),
     }

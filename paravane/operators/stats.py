@@ -23,12 +23,16 @@ def min_rank(by: list[str], value: str, descending: bool = True) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).desc() if descending else F.col(value).asc()))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation of a group's two columns, null where one doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "spearman") -> DataFrame:
     """Correlation of the average ranks of two columns; null under two rows or when one is constant."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.select(*by, average_rank(by, a).alias("ra"), average_rank(by, b).alias("rb"))
-    moves = (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
-    return ranked.groupBy(*by).agg(F.when(moves, F.corr("ra", "rb")).alias(name))
+    return ranked.groupBy(*by).agg(correlation("ra", "rb").alias(name))
 
 
 def kendall(df: DataFrame, by: list[str], item: str, a: str, b: str, name: str = "kendall") -> DataFrame:
