@@ -19,7 +19,7 @@ from .common import crc_mod, written
 from .shingles import words_of
 from .training import bounded_sample, descend, flat
 
-BUCKETS, FACTORS, STATS = 4096, 6, 13
+BUCKETS, FACTORS, STATS = 4096, 6, 14
 #: A bounded sample of so many labelled rows, at most, trains the classifier.
 TRAIN_ROWS = 12_000
 STEPS, RATE = 60, 0.05
@@ -55,7 +55,7 @@ def features(text: str | None, n_chars: float | None, known: Buckets) -> tuple[n
     stats = [
         1.0, np.log10(1 + n) / 4, (kinds[0] + kinds[1] + kinds[2]) / total, kinds[1] / max(1, kinds[1] + kinds[2]), 4 * kinds[3] / total,
         4 * kinds[5] / total, len(counts) / max(1, n), total / max(1, n) / 10, 10 * len(lines) / (10 + n),
-        max(counts.values(), default=0) / max(1, n), len(set(lines)) / len(lines), bare / max(1, n),
+        max(counts.values(), default=0) / max(1, n), len(set(lines)) / len(lines), bare / max(1, n), sum(map(str.__eq__, words, words[1:])) / max(1, n - 1),
         0.0 if n_chars is None or n_chars != n_chars else np.log10(1 + max(0, n_chars)) / 5,
     ]
     idx = np.fromiter(buckets, np.int32, len(buckets))
