@@ -71,9 +71,10 @@ def block_links(rows: DataFrame, contents: DataFrame, percent: int, k: int, most
     """Links (a, b) between members of large buckets with different labels: rows(h, size, a, la, an, asketch).
 
     A bucket is cut into blocks by a hash, and each pair of blocks is one group of about 2 * BLOCK rows. Where
-    contents have `bands`, a pair is only looked at in the first band that it shares.
+    contents have `bands` (keys by band) or `keys` (a set of them), a pair is only looked at in the bucket of its first,
+    or least, common key.
     """
-    extra = [c for c in contents.columns if c == "bands"]
+    extra = [c for c in contents.columns if c in ("bands", "keys")]
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = rows.withColumn("i", F.pmod(F.hash("a"), count)).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
     cut = cut.select("*", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
@@ -97,8 +98,11 @@ def block_links(rows: DataFrame, contents: DataFrame, percent: int, k: int, most
             for r, x in enumerate(left):
                 at = np.flatnonzero(ok[r])
                 ok[r, at] = np.bitwise_count(sketch[x] ^ sketch[right[at]]).sum(axis=1) <= most
-        if extra:  # only in the first band that both have
-            bands, here = np.stack(pdf["bands"].to_numpy()), pdf["h"].iloc[0]
+        here, keys = pdf["h"].iloc[0], None
+        if extra == ["keys"]:
+            keys = [frozenset(b.tolist()) for b in pdf["keys"]]
+        elif extra:
+            bands = np.stack(pdf["bands"].to_numpy())
             for r, x in enumerate(left):
                 at = np.flatnonzero(ok[r])
                 if len(at):
@@ -114,8 +118,12 @@ def block_links(rows: DataFrame, contents: DataFrame, percent: int, k: int, most
 
         for r, x in enumerate(left.tolist()):
             for y in right[np.flatnonzero(ok[r])].tolist():
+                if keys and min(keys[x] & keys[y], default=here) != here:
+                    continue
                 sx, sy = of(x), of(y)
                 if isinstance(sx, frozenset) and isinstance(sy, frozenset):
+                    if 100 * min(len(sx), len(sy)) < percent * max(len(sx), len(sy)):
+                        continue
                     both = len(sx & sy)
                 else:
                     both = len(np.intersect1d(np.array(list(sx), np.uint64), np.array(list(sy), np.uint64)))

@@ -109,7 +109,9 @@ def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
     of_nodes = cands.select("h", node.alias("node")).join(nodes.select("node").hint("merge"), "node", "left_semi")
     crowd = of_nodes.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
     of_nodes = written(of_nodes.join(crowd.hint("merge"), "h"), "passage-rows")
-    labels = near_components(of_nodes, nodes.select("node", "text"), percent, SHINGLE, tag="passage")
+    keys = of_nodes.groupBy("node").agg(F.collect_set("h").alias("keys"))
+    contents = written(nodes.select("node", "text").join(keys.hint("merge"), "node"), "passage-contents")
+    labels = near_components(of_nodes, contents, percent, SHINGLE, tag="passage")
     roots = nodes.select("same", "node").join(labels.hint("merge"), "node", "left")
     roots = written(roots.select("same", F.coalesce("root", "node").alias("root")), "passage-roots")
     members = written(skew_join(units.drop("text"), roots, "same").drop("same"), "passage-members")
