@@ -188,6 +188,7 @@ def test_myers_is_the_edit_distance():
 
 def test_contaminated(spark):
     rng = random.Random(13)
+    name = lambda i: -1 if i is None else i
     text = lambda n: " ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(2, 8))) for _ in range(n))
     items = [(k, text(30)) for k in range(8)] + [(50, None), (51, ""), (52, "too short"), (0, "another text under the same number " * 3)]
     bench = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, doc_id long")
@@ -200,16 +201,16 @@ def test_contaminated(spark):
                 leak[rng.randrange(len(leak))] = rng.choice("xyz")
             t += " " + "".join(leak).upper().replace(" ", "\n ", 1) + " " + text(10)
         pairs.append((i, t))
-    got = sorted(((r.doc_id or -1, r.item_id, r.distance) for r in dc.contaminated(docs(spark, pairs), bench).collect()))
+    got = sorted(((name(r.doc_id), r.item_id, r.distance) for r in dc.contaminated(docs(spark, pairs), bench).collect()))
     want = []
     for i, t in pairs:
         for k, item in set(items):
             n = dc.normal(item)
             if len(n) >= dc.MIN_CHARS and (d := edit(n, dc.normal(t))) <= dc.budget(n):
-                want.append((i or -1, k, d))
+                want.append((name(i), k, d))
     assert got == sorted(want) and len(want) > 5
     left = dc.decontaminate(docs(spark, pairs), bench)
-    assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(i or -1 for i, _ in pairs if (i or -1) not in {w[0] for w in want})
+    assert sorted(name(r.doc_id) for r in left.collect()) == sorted(name(i) for i, _ in pairs if name(i) not in {w[0] for w in want})
     assert dc.contaminated(docs(spark, []), bench).collect() == [] and dc.contaminated(docs(spark, pairs), bench.where("false")).collect() == []
 
 
