@@ -315,7 +315,7 @@ _WATTR = "wattr AS (" + " UNION ALL ".join(
 
 
 def _wattr(spark: SparkSession, sf: str) -> DataFrame:
-    base = _attr(spark, sf).where("row_id % 7 = 0").select("row_id", "feature", "value")
+    base = _attr(spark, sf).select("row_id", "feature", "value")
     worlds = F.array(
         F.struct(F.lit("clean").alias("world"), F.lit(1.0).alias("f")), F.struct(F.lit("noise").alias("world"), (uniform("wobble", F.col("row_id")) + 0.2).alias("f")),
         F.struct(F.lit("turn").alias("world"), F.when(F.col("row_id") % 3 == 0, -1.0).otherwise(0.5).alias("f")),
