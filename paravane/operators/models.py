@@ -200,20 +200,29 @@ def closed_form_nb(train: DataFrame, test: DataFrame, by: list[str], num: list[s
 
 
 def subsample_logistic(samples: DataFrame, by: list[str], num: list[str], steps: int = 12) -> DataFrame:
-    """Logistic regression for each of many small samples: by.., row_id, y, p, fitted in the group's own task."""
+    """Logistic regression for each of many small samples: by.., row_id, y, p, fitted in the group's own task.
+
+    samples has fold: a row's p comes from the fit on the other folds of its group, whose means and deviations scale it.
+    """
 
     def fit(pdf):
         import numpy as np
 
-        x = pdf[num].to_numpy(float)
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-        x = np.c_[x, np.ones(len(x))]
-        y, w = pdf["y"].to_numpy(float), np.zeros(x.shape[1])
-        for _ in range(steps):  # reweighted least squares
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0] * len(num) + [1e-9])
-            w += np.linalg.solve(h, x.T @ (y - p) - np.r_[w[:-1], 0.0])
-        return pdf[[*by, "row_id", "y"]].assign(p=1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
-
-    schema = samples.select(*by, "row_id", "y").withColumn("p", F.lit(0.0)).schema
+        y, fold, p = pdf["y"].to_numpy(float), pdf["fold"].to_numpy(), np.full(len(pdf), np.nan)
+        for k in np.unique(fold):
+            train = fold != k
+            if not train.any():
+                continue
+            x = pdf[num].to_numpy(float)
+            mean, sd = x[train].mean(0), x[train].std(0)
+            x = np.c_[(x - mean) / np.where(sd > 0, sd, 1), np.ones(len(x))]
+            xt, yt, w = x[train], y[train], np.zeros(x.shape[1])
+            for _ in range(steps):  # reweighted least squares
+                q = 1 / (1 + np.exp(-np.clip(xt @ w, -30, 30)))
+                h = (xt * (q * (1 - q))[:, None]).T @ xt + np.diag([1.0] * len(num) + [1e-9])
+                w += np.linalg.solve(h, xt.T @ (yt - q) - np.r_[w[:-1], 0.0])
+            p[~train] = 1 / (1 + np.exp(-np.clip(x[~train] @ w, -30, 30)))
+        return pdf[[*by, "row_id", "y"]].assign(p=[None if np.isnan(v) else v for v in p])
+
+    schema = samples.select(*by, "row_id", "y").withColumn("p", F.lit(None).cast("double")).schema
     return samples.groupBy(*by).applyInPandas(fit, schema)

@@ -322,7 +322,7 @@ def d3_inner_scores(spark: SparkSession, sf: str) -> DataFrame:
 def d5_subsample_models(spark: SparkSession, sf: str) -> DataFrame:
     from paravane.operators.metrics import metric_bundle
 
-    sample = s.stratified_subsample(src.labelled(spark, sf), [], 252, 20)
+    sample = s.stratified_folds(s.stratified_subsample(src.labelled(spark, sf), [], 252, 20), ["run_id"], 5, 1)
     return metric_bundle(m.subsample_logistic(sample, ["run_id"], ["x1", "x2"]), ["run_id"])
 
 
