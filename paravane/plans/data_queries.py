@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,8 +273,7 @@ def e5_preprocessor(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fitted(name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = s.stratified_folds(src.labelled(spark, sf), [], 2, 1).drop("repeat")
-        scored = m.fit_score(rows.where("fold = 1"), rows.where("fold = 2"), name, NUM, CAT, trees=10, rounds=5)
+        scored = m.out_of_fold(src.labelled(spark, sf), name, NUM, CAT, 2, trees=10, rounds=5)
         return scored.select("row_id", "y", "p")
 
     return run
@@ -297,9 +298,11 @@ def e12_closed_form_nb(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def e13_calibration(spark: SparkSession, sf: str) -> DataFrame:
     rows = s.stratified_folds(src.labelled(spark, sf), [], 2, 1).drop("repeat")
-    train, test = rows.where("fold = 1").drop("fold"), rows.where("fold = 2").drop("fold")
-    both = [m.calibrated(train, test, "logistic_l2", NUM, CAT, how, 2).withColumn("method", F.lit(how)) for how in ("sigmoid", "isotonic")]
-    return both[0].unionByName(both[1]).select("method", "row_id", "y", "p")
+    out = []
+    for k in (1, 2):
+        train, test = rows.where(F.col("fold") != k).drop("fold"), rows.where(F.col("fold") == k).drop("fold")
+        out += [m.calibrated(train, test, "logistic_l2", NUM, CAT, how, 2).withColumn("method", F.lit(how)) for how in ("sigmoid", "isotonic")]
+    return reduce(DataFrame.unionByName, out).select("method", "row_id", "y", "p")
 
 
 @query()

@@ -63,8 +63,11 @@ def ppv_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = predictions(spark, sf_dir).where("world = 'clean'").drop("world", "severity")
     pi = clean.where("edition = 'full' AND model = 'model_a'").agg(F.avg("y").alias("pi"))
     test = clean.crossJoin(F.broadcast(pi))
-    thr = sensitivity_threshold(clean.where("fold <> 1"), ["edition", "model"], 0.8)
-    out = confusion(test.join(thr, ["edition", "model"]), ["edition", "model", "fold", "thr", "pi"])
+    held = clean.select(F.col("fold").alias("held")).distinct()
+    others = clean.crossJoin(F.broadcast(held)).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
+    thr = sensitivity_threshold(others, ["edition", "model", "fold"], 0.8)
+    test = test.join(thr, ["edition", "model", "fold"], "left").withColumn("thr", F.coalesce("thr", F.lit(1.0)))
+    out = confusion(test, ["edition", "model", "fold", "thr", "pi"])
     return decision_rates(out, F.col("pi"))
 
 

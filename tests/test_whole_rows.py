@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paravane.functions.draws import uniform
 from paravane.operators import models as m
 from paravane.operators import sampling as s
+from paravane.plans import views as v
 from paravane.plans.catalogue import QUERIES
 from paravane.plans.metric_queries import COEF
 from paravane.sources import editions as src
@@ -62,9 +63,29 @@ def test_attribution_queries_read_every_row(spark, sf, worlds):
     assert math.isclose(QUERIES["i10_importance_agreement"](spark, sf).first().spearman, spearman(others["noise"], clean), abs_tol=1e-6)
 
 
-def test_calibration_trains_on_all_of_its_fold(spark, sf, monkeypatch):
+def test_calibration_trains_on_all_of_its_folds(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(m, "calibrated", lambda train, test, *a, **k: (seen.append({r.row_id for r in train.collect()}), test.withColumn("p", F.lit(0.5)))[1])
     QUERIES["e13_calibration"](spark, sf)
     tagged = s.stratified_folds(src.labelled(spark, sf), [], 2, 1)
-    assert seen and all(x == {r.row_id for r in tagged.where("fold = 1").collect()} for x in seen)
+    folds = [{r.row_id for r in tagged.where(f"fold = {k}").collect()} for k in (1, 2)]
+    assert len(seen) == 4 and all(x in seen for x in folds) and all(x in folds for x in seen)
+
+
+def test_every_row_gets_a_score(spark, sf):
+    got = QUERIES["e12_gaussian_nb"](spark, sf).collect()
+    assert sorted(r.row_id for r in got) == list(range(1, 61)) and all(0 <= r.p <= 1 for r in got)
+    got = QUERIES["f18_ppv_run"](spark, sf).collect()
+    assert sorted(r.fold for r in got) == [1, 2] and sum(r.tp + r.fp + r.tn + r.fn for r in got) == 60
+
+
+def test_thresholds_come_from_the_other_folds(spark, sf):
+    clean = src.predictions(spark, sf).where("world = 'clean'").toPandas()
+    got = v.ppv_facts(spark, sf).collect()
+    assert {(r.edition, r.model, r.fold) for r in got} == set(clean.groupby(["edition", "model", "fold"]).groups)
+    for r in got:
+        mine = clean[(clean.edition == r.edition) & (clean.model == r.model)]
+        p = mine.p[(mine.fold != r.fold) & (mine.y == 1)]
+        thr = np.quantile(p, 0.2) if len(p) else 1.0
+        own = mine[mine.fold == r.fold]
+        assert math.isclose(r.thr, thr, abs_tol=1e-9) and r.tp + r.fn == (own.y == 1).sum() and r.tp + r.fp == (own.p >= r.thr).sum()
