@@ -1,8 +1,8 @@
 """Line dedup: levelled sorted runs of line hashes, compacted now and then; DataFrame functions only.
 
 Each batch of documents brings a sorted run of (line hash, documents that hold it). Runs lie on levels; when a level
-has `fanout` runs they are merged into one run of the next level, so that a look-up reads few runs. A batch that is
-only to lose lines seen before is merge-anti-joined with the runs.
+has `fanout` runs they are merged into one run of the next level, so that a look-up reads few runs. The operator sums
+the counts over all runs. unseen(), which it doesn't use, merge-anti-joins keys with the runs.
 """
 
 from __future__ import annotations
