@@ -43,7 +43,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing will read again, so that the shared folder stays small.
+
+    Whatever was computed from them must be written by then.
+    """
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -61,7 +74,7 @@ def crc_mod(c: Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """left joined with right, whose key is unique, when some keys hold a large share of left's rows.
 
     A sort-merge join of two tables that are both shuffled for it: there AQE splits the partitions of hot keys and

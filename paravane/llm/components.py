@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, written
+from .common import discard, skew_join, written
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
@@ -22,10 +22,12 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), tag)
         large = skew_join(both, least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = written(large.distinct(), tag)
+        discard(edges, least)
         # small star: u and its smaller neighbours are linked to the least of them
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         small = skew_join(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = written(small.where(F.col("a") != F.col("b")).distinct(), tag)
+        discard(large, least)
         # done when no node has two parents, and none is a parent and a child
         ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("child")).union(edges.select(F.col("b").alias("n"), F.lit(0).alias("child")))
         seen = ends.groupBy("n").agg(F.sum("child").alias("parents"), F.min("child").alias("lo"))

@@ -10,44 +10,78 @@ pairs at 0.55, between four and five standard deviations beyond that of pairs at
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, written
+from .common import discard, skew_join, text_or_empty, written
+from .flat import Polynomial, Reader, Words, binary_rows, string_column
 from .near_links import candidates, near_components
-from .shingles import MinHash, WordHashes, hashed, most_unlike, shingle_set, words_of
+from .shingles import MinHash, mixed, most_unlike, shingle_set
 
 BANDS, ROWS, BITS = 32, 4, 1024
 #: Pairs whose sketches differ by more than pairs of this similarity do in the mean are not compared.
 SURELY_LESS = 0.55
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, v, text): v is a hash of the text, which tells the texts of a doc_id apart."""
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("v"), text.alias("text"))
+
+
+def shingles_by_row(w: Words, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows that hold words, and each one's sorted distinct k-word shingles."""
+    rows, first = np.unique(w.row, return_index=True)
+    bounds = np.append(first, len(w.h)).tolist()
+    return rows, [shingle_set(w.h[a:b], k) for a, b in zip(bounds, bounds[1:])]
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, same, row, n_shingles, bands, sketch): same tells texts that are equal word by word."""
+    """(doc_id, v, same, n_shingles, bands, sketch): same tells texts that are equal word by word."""
 
     def sketch(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        known, minhash = WordHashes(), MinHash(BANDS, ROWS, BITS)
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                words = words_of(text)
-                same = hashlib.blake2b(" ".join(words).encode("utf-8"), digest_size=16).digest()
-                if not words:
-                    out.append((same, 0, [], []))
+        reader, one, two, minhash = Reader(), Polynomial(0xD6E8FEB86659FD93), Polynomial(0xA0761D6478BD642F), MinHash(BANDS, ROWS, BITS)
+        for batch in batches:
+            n = len(batch)
+            size, same = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
+            bands, odd = np.zeros((n, BANDS), np.int64), np.zeros((n, BITS // 64), np.int64)
+            for w in reader.words(string_column(batch, "text")):
+                if not len(w.h):
                     continue
-                s = shingle_set(hashed(words, known), k)
-                m = minhash.samples(s)
-                out.append((same, len(s), minhash.band_keys(m), minhash.odd_sketch(m)))
-            new = pd.DataFrame(out, columns=["same", "n_shingles", "bands", "sketch"])
-            yield pd.concat([pdf[["doc_id"]].astype("Int64").reset_index(drop=True), new], axis=1)
-
-    schema = "doc_id long, same binary, n_shingles long, bands array<long>, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sketch, schema)
+                rows, sets = shingles_by_row(w, k)
+                first = np.searchsorted(w.row, rows)
+                end = np.append(first[1:], len(w.h))
+                size[rows] = [len(s) for s in sets]
+                same[rows] = np.stack([one.of(w.h, first, end), two.of(mixed(w.h), first, end)], axis=1)
+                samples = minhash.samples_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(size[rows])[:-1]]))
+                bands[rows], odd[rows] = minhash.band_keys_of(samples), minhash.odd_sketches(samples)
+            each = lambda x, m: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * m), pa.array(x.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("v"), binary_rows(same), pa.array(size), each(bands, BANDS), each(odd, BITS // 64)],
+                ["doc_id", "v", "same", "n_shingles", "bands", "sketch"],
+            )
+
+    return texts_of(docs).mapInArrow(sketch, "doc_id long, v int, same binary, n_shingles long, bands array<long>, sketch array<long>")
+
+
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, grams) of texts(node, text): sorted distinct k-word shingles."""
+
+    def grams(batches: Iterator) -> Iterator:
+        reader = Reader()
+        for batch in batches:
+            for w in reader.words(string_column(batch, "text")):
+                if len(w.h):
+                    rows, sets = shingles_by_row(w, k)
+                    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows)), values], ["node", "grams"])
+
+    return texts.select("node", "text").mapInArrow(grams, "node binary, grams array<long>")
 
 
 def near_dedup(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -56,26 +90,35 @@ def near_dedup(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     A document's set: distinct k-word shingles of its words ([^ \\t-\\r]+, A-Z lower-cased); fewer words make one
     shingle. Documents are linked if 100 * intersection >= percent * union; component_id is the smallest doc_id
     reachable, itself included, and kept says doc_id = component_id. Null or empty texts are linked with nothing.
-    Rows that share a doc_id are one document: links of any of them count for it. A row without doc_id links
+    Rows that share a doc_id are one document: links of any of their texts count for it. A row without doc_id links
     nothing and is kept, with a null component_id. An empty table gives no rows; extra columns are ignored.
     """
     rows = written(sketches(docs, k), "near-sketches")
     sets = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # a node is the smallest doc_id of a text; a doc_id that repeats with other texts joins their nodes
-    texts = sets.groupBy("same").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.max("n_shingles").cast("int").alias("n"))
-    texts = written(texts, "near-texts")
-    bands = texts.select(F.explode("bands").alias("h"), "node", "n", "sketch")
-    cands = candidates(bands, "near")
+    # a node is a text, known by its digest; one of its rows stands for it
+    nodes = sets.groupBy(F.col("same").alias("node")).agg(
+        F.min(F.struct("doc_id", "v", F.col("n_shingles").cast("int").alias("n"), "bands", "sketch")).alias("x")
+    )
+    nodes = written(nodes.select("node", "x.*"), "near-nodes")
+    cands = candidates(nodes.select(F.explode("bands").alias("h"), "node"), "near")
     needed = written(cands.select("node").distinct(), "near-needed")
-    contents = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(needed.hint("merge"), "node", "left_semi")
-    contents = contents.groupBy("node").agg(F.min("text").alias("text")).join(texts.groupBy("node").agg(F.min("bands").alias("bands")), "node")
-    contents = written(contents, "near-contents")
-    labels = near_components(cands, contents, percent, k, most_unlike(BITS, BANDS * ROWS, SURELY_LESS))
-    roots = texts.select("same", "node").join(labels.hint("merge"), "node", "left")
-    roots = written(roots.select("same", F.coalesce("root", "node").alias("component_id")), "near-roots")
-    linked = skew_join(rows.select("doc_id", "same", "n_shingles"), roots, "same", "left")
+    held = written(nodes.join(needed.hint("merge"), "node"), "near-held")
+    sketched = written(cands.join(held.select("node", "n", "sketch").hint("merge"), "node"), "near-sketched")
+    texts = texts_of(docs).join(held.select("doc_id", "v", "node").hint("merge"), ["doc_id", "v"]).select("node", "text")
+    contents = shingle_sets(texts, k).groupBy("node").agg(F.any_value("grams").alias("grams"))
+    contents = written(contents.join(held.select("node", "bands").hint("merge"), "node"), "near-contents")
+    # the texts of a doc_id are linked
+    several = sets.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("z")).where("a <> z").select("doc_id", "a")
+    linked = written(skew_join(sets.select("doc_id", F.col("same").alias("b")), written(several, "near-several"), "doc_id").where("a <> b").select("a", "b").distinct(), "near-linked")
+    labels = near_components(sketched, contents, percent, most_unlike(BITS, BANDS * ROWS, SURELY_LESS), linked=linked)
+    discard(cands, needed, held, sketched, contents)
+    rooted = nodes.select("node", "doc_id").join(labels.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted, "near-rooted")
+    least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-least")
+    ids = written(skew_join(rooted, least, "root").select(F.col("node").alias("same"), "component_id"), "near-components")
+    found = skew_join(rows.select("doc_id", "same", "n_shingles"), ids, "same", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     )
 

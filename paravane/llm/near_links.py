@@ -14,13 +14,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, written
+from .common import discard, skew_join, written
 from .components import components
-from .shingles import WordHashes, hashed, shingle_set, words_of
 
-
-#: Bytes of shingle sets that a task keeps for texts that come again.
-SETS_BYTES = 64_000_000
 #: A further star round must find links for this share of its pairs.
 WORTH = 0.05
 
@@ -38,53 +34,54 @@ def unlike(a: str, b: str, words: int) -> Column:
     return total
 
 
-def verified(pairs: DataFrame, contents: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs(a, b) whose contents(node, text) have 100 * intersection >= percent * union of k-word shingles."""
+def _alike(x, y, percent: int) -> bool:
+    """100 * intersection >= percent * union, for two sorted arrays of distinct values."""
+    import numpy as np
+
+    if not len(x) or not len(y) or min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")  # two sorted runs are merged
+    both = int(np.count_nonzero(z[1:] == z[:-1]))
+    return 100 * both >= percent * (len(z) - both)
+
+
+def verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose contents(node, grams) have 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sides = []
+            for name in ("ga", "gb"):
+                column = batch.column(name)
+                sides.append((np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])))
+            (xa, oa), (xb, ob) = sides
+            keep = [_alike(xa[oa[r] : oa[r + 1]], xb[ob[r] : ob[r + 1]], percent) for r in range(len(batch))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda side: contents.select(F.col("node").alias(side), F.col("grams").alias(f"g{side}"))
+    both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    return both.select("a", "b", "ga", "gb").mapInArrow(compare, pairs.select("a", "b").schema)
+
 
-        known, sets, held = WordHashes(), {}, 0
-        for pdf in batches:
-            keep = []
-            for ta, tb in zip(pdf["ta"], pdf["tb"]):
-                if held > SETS_BYTES:
-                    sets, held = {}, 0
-                for text in (ta, tb):
-                    if text not in sets:
-                        sets[text] = shingle_set(hashed(words_of(text), known), k)
-                        held += sets[text].nbytes + 2 * len(text)
-                sa, sb = sets[ta], sets[tb]
-                if min(len(sa), len(sb)) * 100 < percent * max(len(sa), len(sb)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(100 * both >= percent * (len(sa) + len(sb) - both) and both > 0)
-            yield pdf.loc[keep, ["a", "b"]]
-
-    of = lambda side, text: contents.select(F.col("node").alias(side), F.col("text").alias(text))
-    both = pairs.join(of("a", "ta").hint("merge"), "a").join(of("b", "tb").hint("merge"), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(compare, pairs.select("a", "b").schema)
-
-
-def block_links(rows: DataFrame, contents: DataFrame, percent: int, k: int, most: int | None) -> DataFrame:
+def block_links(rows: DataFrame, contents: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Links (a, b) between members of large buckets with different labels: rows(h, size, a, la, an, asketch).
 
-    A bucket is cut into blocks by a hash, and each pair of blocks is one group of about 2 * BLOCK rows. Where
-    contents have `bands` (keys by band) or `keys` (a set of them), a pair is only looked at in the bucket of its first,
-    or least, common key.
+    A bucket is cut into blocks by a hash, and each pair of blocks is one group of about 2 * BLOCK rows. A pair is only
+    looked at in the bucket of its first common band.
     """
-    extra = [c for c in contents.columns if c in ("bands", "keys")]
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = rows.withColumn("i", F.pmod(F.hash("a"), count)).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
     cut = cut.select("*", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    cut = cut.join(contents.select(F.col("node").alias("a"), "text", *extra).hint("merge"), "a")
+    cut = cut.join(contents.select(F.col("node").alias("a"), "grams", "bands").hint("merge"), "a")
 
     def compare(pdf):
         import numpy as np
         import pandas as pd
 
-        known, sets = WordHashes(), {}
         pdf = pdf.reset_index(drop=True)
         left = np.flatnonzero(pdf["i"] == pdf["lo"])
         right = np.flatnonzero(pdf["i"] == pdf["hi"])
@@ -98,96 +95,84 @@ def block_links(rows: DataFrame, contents: DataFrame, percent: int, k: int, most
             for r, x in enumerate(left):
                 at = np.flatnonzero(ok[r])
                 ok[r, at] = np.bitwise_count(sketch[x] ^ sketch[right[at]]).sum(axis=1) <= most
-        here, keys = pdf["h"].iloc[0], None
-        if extra == ["keys"]:
-            keys = [frozenset(b.tolist()) for b in pdf["keys"]]
-        elif extra:
-            bands = np.stack(pdf["bands"].to_numpy())
-            for r, x in enumerate(left):
-                at = np.flatnonzero(ok[r])
-                if len(at):
-                    first = np.argmax(bands[x] == bands[right[at]], axis=1)
-                    ok[r, at] = bands[x][first] == here
-        text, node, found = pdf["text"].tolist(), pdf["a"].tolist(), []
-
-        def of(z: int):
-            if z not in sets:
-                s = shingle_set(hashed(words_of(text[z]), known), k)
-                sets[z] = frozenset(s.tolist()) if len(s) < 2_000 else s
-            return sets[z]
-
+        here, bands = pdf["h"].iloc[0], np.stack(pdf["bands"].to_numpy())
+        grams, node, found = pdf["grams"].tolist(), pdf["a"].tolist(), []
         for r, x in enumerate(left.tolist()):
-            for y in right[np.flatnonzero(ok[r])].tolist():
-                if keys and min(keys[x] & keys[y], default=here) != here:
-                    continue
-                sx, sy = of(x), of(y)
-                if isinstance(sx, frozenset) and isinstance(sy, frozenset):
-                    if 100 * min(len(sx), len(sy)) < percent * max(len(sx), len(sy)):
-                        continue
-                    both = len(sx & sy)
-                else:
-                    both = len(np.intersect1d(np.array(list(sx), np.uint64), np.array(list(sy), np.uint64)))
-                if both and 100 * both >= percent * (len(sx) + len(sy) - both):
-                    found.append(sorted((node[x], node[y]), key=_order))
+            at = np.flatnonzero(ok[r])
+            if len(at):
+                common = bands[x] == bands[right[at]]
+                at = at[bands[x][np.argmax(common, axis=1)] == here]
+            for y in right[at].tolist():
+                if _alike(grams[x], grams[y], percent):
+                    found.append(sorted((node[x], node[y])))
         return pd.DataFrame(found, columns=["a", "b"])
 
     schema = rows.select("a", F.col("a").alias("b")).schema
     return cut.groupBy("h", "lo", "hi").applyInPandas(compare, schema).distinct()
 
 
-def _order(node):
-    """A node's place among nodes: integers, or rows by their fields."""
-    return tuple(node.values()) if isinstance(node, dict) else node
-
-
 def candidates(bands: DataFrame, tag: str) -> DataFrame:
-    """The rows of bands(h, node, ..) whose key h several nodes share, as a written table."""
-    shared = bands.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
-    return written(bands.join(shared.hint("merge"), "h"), f"{tag}-candidates")
+    """The rows of bands(h, node) whose key h several nodes share, as a written table; no row comes twice."""
+    shared = written(bands.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), f"{tag}-shared")
+    cands = written(skew_join(bands, shared, "h"), f"{tag}-candidates")
+    discard(shared)
+    return cands
 
 
-def near_components(cands: DataFrame, contents: DataFrame, percent: int, k: int, most: int | None = None, rounds: int = 3, tag: str = "near") -> DataFrame:
-    """(node, root) of all nodes that have a link: cands(h, node, n, sketch), contents(node, text).
+def near_components(cands: DataFrame, contents: DataFrame, percent: int, most: int | None = None, rounds: int = 3, tag: str = "near", linked: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all nodes that have a link: cands(h, node, n, sketch), contents(node, grams, bands).
 
-    root is the least node of the component. With `most`, pairs whose set sizes n rule a link out, or that have more
-    than so many unequal sketch bits, are not compared; without it all candidates are, and n and sketch aren't read.
+    grams are a node's shingles, sorted and distinct. root is the least node of the component. With `most`, pairs
+    whose set sizes n rule a link out, or that have more than so many unequal sketch bits, are not compared; without
+    it all candidates are, and n and sketch aren't read. linked(a, b) are links that hold anyway.
     """
     labels, tried, got = None, 1, 1
-    extra = ["n", "sketch"] if most is not None else []
-    near = F.lit(True)
+    if linked is not None and not linked.isEmpty():
+        labels = written(components(linked, f"{tag}-components"), f"{tag}-labels")
+    extra, near = [], F.lit(True)
     if most is not None:
-        words = len(cands.first().sketch) if not cands.isEmpty() else 1
-        near = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (unlike("asketch", "bsketch", words) <= most)
+        extra, words = ["n", "sketch"], len(cands.first().sketch) if not cands.isEmpty() else 1
+        near = (F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent) & (unlike("sketch", "bsketch", words) <= most)
+    mine, given = cands, []  # tables of this round, which the next replaces
     for turn in range(rounds + 1):
-        if labels is None:
-            rows = cands.withColumn("label", F.col("node"))
-        else:
-            rows = skew_join(cands, labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        rows = mine.withColumn("label", F.col("node"))
+        if labels is not None:
+            rows = skew_join(mine, labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
             rows = written(rows, f"{tag}-rows")
+            given.append(rows)
         center = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("b"), F.col("label").alias("lb"), *[F.col(c).alias(f"b{c}") for c in extra]))
         open_ = rows.groupBy("h").agg(center.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
         open_ = written(open_.select("h", "size", "c.b", "c.lb", *[f"c.b{c}" for c in extra]), f"{tag}-open")
         if open_.isEmpty():
             break
-        mine = rows.select("h", F.col("node").alias("a"), F.col("label").alias("la"), *[F.col(c).alias(f"a{c}") for c in extra])
+        # only buckets that hold several components go on
+        tries = (F.col("label") != F.col("lb")) & near
+        live = written(skew_join(rows, open_, "h").select("h", "node", "label", *extra, "size", "b", tries.alias("tries")), f"{tag}-live")
+        discard(*given, open_)
+        mine, given = live.select("h", "node", *extra), [live]
         last = turn == rounds or got < WORTH * tried
         if last:
-            left = written(mine.join(open_.select("h", "size").hint("merge"), "h"), f"{tag}-left")
+            left = live.select("h", F.col("node").alias("a"), F.col("label").alias("la"), "size", *[F.col(c).alias(f"a{c}") for c in extra])
             large, left = left.where(F.col("size") > SMALL), left.where(F.col("size") <= SMALL)
             other = left.select(F.col("h").alias("h2"), F.col("a").alias("b"), F.col("la").alias("lb"), *[F.col(f"a{c}").alias(f"b{c}") for c in extra])
-            pairs = left.join(other.hint("merge"), (F.col("h") == F.col("h2")) & (F.col("la") < F.col("lb")) & near)
+            alike = F.lit(True)
+            if most is not None:
+                alike = (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & (unlike("asketch", "bsketch", words) <= most)
+            pairs = left.join(other.hint("merge"), (F.col("h") == F.col("h2")) & (F.col("la") < F.col("lb")) & alike)
         else:
-            pairs = mine.join(open_.withColumnRenamed("h", "h2").hint("merge"), (F.col("h") == F.col("h2")) & (F.col("la") != F.col("lb")) & near)
+            pairs = live.where("tries").select(F.col("node").alias("a"), "b")
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-pairs")
-        found = verified(pairs, contents, percent, k)
+        found = verified(pairs, contents, percent)
         if last:
-            found = found.unionByName(block_links(large, contents, percent, k, most))
+            found = found.unionByName(block_links(large, contents, percent, most))
         found = written(found, f"{tag}-links")
         tried, got = pairs.count(), found.count()
+        discard(pairs)
         if got:
             # links of earlier rounds go on as one link of each node to its root
             so_far = found if labels is None else found.unionByName(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
             labels = written(components(so_far, f"{tag}-components"), f"{tag}-labels")
+        discard(found)
         if last:
             break
     if labels is None:

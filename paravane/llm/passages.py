@@ -1,127 +1,311 @@
 """Substring dedup: paragraph MinHash banding, exact Jaccard, removals by component.
 
-Two kinds of paragraphs are compared. Lines of MIN_WORDS words or more have twelve MinHash bands of three rows, so a
-pair at similarity 0.75 is missed with probability 0.002. Passages inside lines are found by windows of WINDOW words
-that start at content-defined anchors (winnowing, Schleimer et al. 2003): any run of WINDOW + REACH + 2 words, 50 in
-all, that documents share holds a common window, whose one band is its words' hash. Colliding paragraphs are joined,
-verified by exact Jaccard over 5-word shingles, and clustered; in a cluster the smallest doc_id keeps its paragraph.
+Two kinds of paragraphs are compared. Lines of MIN_WORDS words or more are banded by MinHash: BANDS bands of ROWS rows
+miss a pair at similarity 0.75 with probability 0.0013. Lines that are equal word by word are one node before they are
+banded, colliding nodes are joined and verified by exact Jaccard over 5-word shingles, and links are clustered by
+components. Passages that lie elsewhere in texts, over line breaks too, are found by windows of WINDOW words that start
+at content-defined anchors (winnowing, Schleimer et al. 2003): any 50 words that texts share hold a common window,
+and windows with equal words are one cluster. Where passages must have more words than a window and the windows found
+cover fewer, all runs of so many words around them are compared, which settles whether that much is shared.
+
+In a cluster the smallest doc_id keeps its paragraph. Overlapping and adjoining paragraphs of a text are one span.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128, skew_join, text_or_empty, written
-from .near_links import near_components
-from .shingles import WORD, MinHash, WordHashes, hashed, mixed, shingle_set, windows, words_of
+from .common import discard, skew_join, text_or_empty, written
+from .flat import Characters, Polynomial, Reader, Words, binary_rows, elements, int32, lists, string_column
+from .near_links import candidates, near_components
+from .shingles import MinHash, mixed, windows
+
+WINDOW, REACH, ANCHOR = 24, 24, 3
+MIN_WORDS, BANDS, ROWS, SHINGLE = 20, 8, 2, 5
+#: Low bits of an anchor's hash that hold its place, so that the leftmost of equal ones is taken.
+_PLACE = (1 << 28) - 1
 
-WINDOW, REACH, MIN_WORDS, BANDS, ROWS, SHINGLE, ANCHOR = 24, 24, 20, 12, 3, 5, 3
 
+def anchors(w: Words) -> np.ndarray:
+    """Starts of windows: words whose 3-word hash is the leftmost least among REACH, in rows with WINDOW words left.
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """Starts of windows: places whose 3-word hash is least among REACH neighbours, and that have WINDOW words left."""
-    if len(h) < WINDOW:
+    Rows with fewer than REACH such hashes have one anchor, their least.
+    """
+    n = len(w.h) - ANCHOR + 1
+    if n < 1:
         return np.empty(0, np.int64)
-    near = windows(h, ANCHOR)
-    if len(near) <= REACH:
-        at = np.array([int(near.argmin())])
-    else:
-        found = []
-        for i in range(0, len(near) - REACH + 1, 8192):  # in blocks, so that memory stays bounded
-            view = np.lib.stride_tricks.sliding_window_view(near[i : i + 8192 + REACH - 1], REACH)
-            found.append(i + np.arange(len(view)) + view.argmin(axis=1))
-        at = np.unique(np.concatenate(found))
-    return at[at + WINDOW <= len(h)]
-
-
-def paragraphs(text: str, known: WordHashes, minhash: MinHash) -> tuple[list[int], list[int], list[int]]:
-    """Starts (in words), lengths and band keys of a text's paragraphs, a row for each key."""
-    starts, sizes, keys, at, all_words = [], [], [], 0, []
-    for line in text.split("\n"):
-        h = hashed(words_of(line), known)
-        if len(h) >= MIN_WORDS:
-            bands = minhash.band_keys(minhash.samples(shingle_set(h, SHINGLE)))
-            starts += [at] * BANDS
-            sizes += [len(h)] * BANDS
-            keys += bands.tolist()
-        all_words.append(h)
-        at += len(h)
-    h = np.concatenate(all_words)
-    a = anchors(h)
-    if len(a):
-        starts += a.tolist()
-        sizes += [WINDOW] * len(a)
-        keys += mixed(windows(h, WINDOW)[a]).view(np.int64).tolist()
-    return starts, sizes, keys
-
-
-def repeated_passages(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The passages that other documents repeat, as merged spans of each document.
-
-    One row per document and span: doc_id, start_char, end_char, n_words, removed, keep_doc_id. A span joins
-    overlapping paragraphs that all stay or all go; removed spans repeat a passage that a document with a smaller
-    doc_id keeps (keep_doc_id, the least of the span's paragraphs). Whole texts are read. Null or empty texts hold
-    no passage. Rows without doc_id are left out, for nothing could name them; rows that share a doc_id are one
-    document, and where their texts differ a paragraph at the same place counts once, with its least text. An empty
-    table gives no rows; extra columns are ignored.
+    near = windows(w.h, ANCHOR) & ~np.uint64(_PLACE) | np.arange(n, dtype=np.uint64)
+    first = np.flatnonzero(np.diff(w.row, prepend=-1))
+    end = np.append(first[1:], len(w.h))
+    found = []
+    least, span = near, 1
+    while 2 * span <= REACH:
+        least, span = np.minimum(least[:-span], least[span:]) if len(least) > span else least[:0], 2 * span
+    if len(least) > REACH - span:
+        least = np.minimum(least[: len(least) - (REACH - span)], least[REACH - span :])
+        inside = w.row[: len(least)] == w.row[REACH + ANCHOR - 2 :]
+        place = (least[inside] & np.uint64(_PLACE)).astype(np.int64)
+        found.append(place[np.diff(place, prepend=-1) != 0])
+    for a, b in zip(first, end):
+        if ANCHOR <= b - a < REACH + ANCHOR - 1:
+            found.append(np.array([a + int(near[a : b - ANCHOR + 1].argmin())]))
+    at = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return at[at + WINDOW <= end[np.searchsorted(first, at, "right") - 1]]
+
+
+def run_keys(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that stand for the `size` words from each place: a 64-bit and a 32-bit hash."""
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for j in range(size):
+        x = h[at + j]
+        one = (one + x) * np.uint64(0x9E3779B97F4A7C15 + 2 * j)
+        two = (two ^ x) * np.uint64(0xC2B2AE3D27D4EB4F + 2 * j)
+    return mixed(one).view(np.int64), (mixed(two) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+class Lines:
+    """Lines of MIN_WORDS words or more: their digests and band keys."""
+
+    def __init__(self):
+        self.one, self.two = Polynomial(0xD6E8FEB86659FD93), Polynomial(0xA0761D6478BD642F)
+        self.minhash = MinHash(BANDS, ROWS, 64)
+
+    def of(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, end word, 16-byte digests (two columns of uint64) and band keys (a column each)."""
+        first = np.flatnonzero(np.diff(w.row, prepend=-1) | np.diff(w.line, prepend=-1))
+        end = np.append(first[1:], len(w.h))
+        long = end - first >= MIN_WORDS
+        first, end = first[long], end[long]
+        if not len(first):
+            return first, end, np.empty((0, 2), np.uint64), np.empty((0, BANDS), np.int64)
+        digest = np.stack([self.one.of(w.h, first, end), self.two.of(mixed(w.h), first, end)], axis=1)
+        grams = windows(w.h, SHINGLE)
+        sizes = end - first - SHINGLE + 1
+        cut = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        mine = grams[np.arange(sizes.sum()) + np.repeat(first - cut, sizes)]
+        return first, end, digest, self.minhash.band_keys_of(self.minhash.samples_of(mine, cut))
+
+
+_UNITS = {
+    "w_start": pa.int32(), "w_h": pa.int64(), "w_g": pa.int32(),
+    "l_start": pa.int32(), "l_size": pa.int32(), "l_a": pa.int32(), "l_b": pa.int32(), "l_same": pa.binary(),
+    **{f"l_band{k}": pa.int64() for k in range(BANDS)},
+}
+
+
+def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text its windows and long lines, as arrays."""
+    reader, of_lines = Reader(), Lines()
+    for batch in batches:
+        text, done = string_column(batch, "text"), 0
+        chars = Characters(text)
+
+        def out(lo: int, hi: int, rows_w: np.ndarray, rows_l: np.ndarray, values: dict) -> pa.RecordBatch:
+            keep = batch.slice(lo, hi - lo)
+            arrays = [lists((rows_w if c.startswith("w") else rows_l) - lo, hi - lo, v) for c, v in values.items()]
+            return pa.RecordBatch.from_arrays([keep.column("doc_id"), keep.column("v"), *arrays], ["doc_id", "v", *values])
+
+        for w in reader.words(text):
+            lo, hi = done, int(w.row[-1]) + 1 if len(w.row) else done
+            if hi == lo:
+                continue
+            row_first = np.searchsorted(w.row, np.arange(lo, hi))
+            at = anchors(w)
+            h, g = run_keys(w.h, at, WINDOW)
+            first, end, digest, bands = of_lines.of(w)
+            lr = w.row[first] if len(first) else np.empty(0, np.int64)
+            a, b = (chars.of(w.start[first], lr), chars.of(w.end[end - 1], lr)) if len(first) else (lr, lr)
+            yield out(lo, hi, w.row[at], lr, {
+                "w_start": int32(at - row_first[w.row[at] - lo]), "w_h": pa.array(h, pa.int64()), "w_g": pa.array(g, pa.int32()),
+                "l_start": int32(first - row_first[lr - lo]), "l_size": int32(end - first), "l_a": int32(a), "l_b": int32(b), "l_same": binary_rows(digest),
+                **{f"l_band{k}": pa.array(bands[:, k], pa.int64()) for k in range(BANDS)},
+            })
+            done = hi
+
+
+def in_runs(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of spans by row and start, and in that order the run of overlapping or adjoining spans and its words."""
+    order = np.lexsort((end, start, row))
+    gap = int(end.max(initial=0)) + 1
+    base = row[order].astype(np.int64) * gap
+    far = np.maximum.accumulate(base + end[order])
+    new = np.ones(len(order), bool)
+    new[1:] = base[1:] + start[order][1:] > far[:-1]
+    run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    last = np.append(first[1:], len(order)) - 1
+    return order, run, ((far - base)[last] - start[order][first])[run] if len(order) else run
+
+
+def chains_of(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    """For each text its chains of windows, split by verdict, and the keys of windows in chains under least_words."""
+    for batch in batches:
+        n, (row, x) = len(batch), elements(batch, "x")
+        start, keep, ids = x["start"], x["keep"], np.asarray(batch.column("doc_id"))
+        order, _, words = in_runs(row, start, start + WINDOW)
+        few = order[words < least_words]
+        few = few[np.argsort(row[few], kind="stable")]
+        gone = keep != ids[row]
+        # a row's kept windows and its lost ones run apart
+        order, run, words = in_runs(2 * row + gone, start, start + WINDOW)
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        least = np.minimum.reduceat(keep[order], first) if len(first) else keep
+        at = order[first]
+        chains = pa.StructArray.from_arrays([int32(start[at]), int32(words[first]), pa.array(least, pa.int64())], ["start", "size", "keep"])
+        unsure = pa.StructArray.from_arrays([pa.array(x["h"][few], pa.int64()), int32(x["g"][few])], ["h", "g"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("v"), lists(row[at], n, chains), lists(row[few], n, unsure)], ["doc_id", "v", "chains", "unsure"]
+        )
+
+
+CHAIN, SEED, LINE = 0, 1, 2
+_CUTS = "kind int, doc_id long, v int, start int, size int, a int, b int, keep long, h long, g int, same binary, grams array<long>"
+_CUT_TYPES = [pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+
+
+def cuts_of(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[pa.RecordBatch]:
+    """What is wanted of each text: places of window chains, shingles of lines, and runs of run_words around windows."""
+    reader, names = Reader(), [x.strip().split(" ")[0] for x in _CUTS.split(",")]
+    for batch in batches:
+        text = string_column(batch, "text")
+        chars, ids, vs = Characters(text), np.asarray(batch.column("doc_id")), np.asarray(batch.column("v"))
+        row, x = elements(batch, "want", "same")
+
+        for w in reader.words(text):
+            if not len(w.h):
+                continue
+            lo, hi = int(w.row[0]), int(w.row[-1]) + 1
+            first = np.searchsorted(w.row, np.arange(lo, hi + 1))
+            mine = slice(*np.searchsorted(row, [lo, hi]))
+            r, kind, start, size, keep, same = row[mine], x["kind"][mine], x["start"][mine], x["size"][mine], x["keep"][mine], x["same"][mine]
+
+            def cut(kind: int, r, start, size, keep=None, h=None, g=None, same=None, grams=None) -> pa.RecordBatch:
+                at, n = first[r - lo] + start, len(r)
+                a, b = chars.of(w.start[at], r), chars.of(w.end[at + size - 1], r)
+                given = [keep, h, g, same, grams]
+                columns = [int32(np.full(n, kind)), pa.array(ids[r]), pa.array(vs[r]), int32(start), int32(size), int32(a), int32(b)]
+                columns += [pa.nulls(n, t) if c is None else c for c, t in zip(given, _CUT_TYPES[7:])]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            k = kind == CHAIN
+            yield cut(CHAIN, r[k], start[k], size[k], keep=pa.array(keep[k], pa.int64()))
+            k = kind == LINE
+            at, values = first[r[k] - lo] + start[k], windows(w.h, SHINGLE) if len(w.h) >= SHINGLE else w.h[:0]
+            sets = [np.unique(values[i : i + n - SHINGLE + 1]) for i, n in zip(at.tolist(), size[k].tolist())]
+            grams = lists(np.repeat(np.arange(len(sets)), [len(z) for z in sets]), len(sets), pa.array(np.concatenate([*sets, w.h[:0]]).view(np.int64)))
+            yield cut(LINE, r[k], start[k], size[k], same=same.filter(pa.array(k)), grams=grams)
+            # starts of the runs that hold a window and lie in its text
+            k = kind == SEED
+            words = np.diff(first)[r[k] - lo]
+            low, high = np.maximum(0, start[k] + WINDOW - run_words), np.minimum(start[k], words - run_words)
+            n = np.maximum(0, high - low + 1)
+            each = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else low
+            packed = np.unique(np.repeat(r[k], n) << 32 | each)
+            r, each = packed >> 32, packed & 0xFFFFFFFF
+            h, g = run_keys(w.h, first[r - lo] + each, run_words)
+            yield cut(SEED, r, each, np.full(len(r), run_words), h=pa.array(h, pa.int64()), g=int32(g))
+
+
+def spans_of(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    """For each text its runs of least_words or more, split by verdict."""
+    for batch in batches:
+        (row, x), ids = elements(batch, "x"), np.asarray(batch.column("doc_id"))
+        order, run, words = in_runs(row, x["start"], x["start"] + x["size"])
+        order, run = order[words >= least_words], run[words >= least_words]
+        gone = x["keep"][order] != ids[row[order]]
+        # a run's kept spans and its lost ones run apart
+        again, run, words = in_runs(2 * run + gone, x["start"][order], (x["start"] + x["size"])[order])
+        order, gone = order[again], gone[again]
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        over = lambda f, c: f.reduceat(x[c][order], first) if len(first) else x[c][:0]
+        columns = [ids[row[order[first]]], over(np.minimum, "a"), over(np.maximum, "b"), words[first], gone[first], over(np.minimum, "keep")]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64()]
+        names = ["doc_id", "start_char", "end_char", "n_words", "removed", "keep_doc_id"]
+        yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], names)
+
+
+def held_by_several(of: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """(keys, keep): the keys that rows of several doc_ids have, with the least doc_id; a written table."""
+    ends = of.groupBy(*keys).agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"))
+    return written(ends.where("keep <> last").drop("last"), tag)
+
+
+def _want(kind: int, start: str, size: str | Column, keep: Column | None = None, same: Column | None = None) -> Column:
+    none = F.lit(None)
+    size = F.col(size) if isinstance(size, str) else size
+    keep, same = none.cast("long") if keep is None else keep, none.cast("binary") if same is None else same
+    return F.struct(F.lit(kind).alias("kind"), F.col(start).alias("start"), size.alias("size"), keep.alias("keep"), same.alias("same"))
+
+
+def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_WORDS) -> DataFrame:
+    """The passages of min_words or more that other documents repeat, as merged spans of each document.
+
+    One row per text and span: doc_id, start_char, end_char, n_words, removed, keep_doc_id. A run of overlapping or
+    adjoining paragraphs counts with min_words or more; inside it, paragraphs that all stay or all go are one
+    span. Removed spans repeat a passage that a document with a smaller doc_id keeps (keep_doc_id, the least of the
+    span's paragraphs). Whole texts are read. Every run of
+    50 words or more that documents share is found, shorter ones where they hold a window; a span may start and end
+    up to 26 words inside the shared run. Null or empty texts hold no passage. Rows without doc_id are left out,
+    for nothing could name them. Rows that share a doc_id are one document, whose texts don't repeat one another; rows
+    that repeat the text too count once, and each other text has spans of its own. An empty table gives no rows;
+    extra columns are ignored.
     """
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # a hash of the text tells the texts of a doc_id apart
+    texts, row = texts.select("doc_id", F.hash("text").alias("v"), "text"), ["doc_id", "v"]
+    spark_type = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    schema = "doc_id long, v int, " + ", ".join(f"{c} array<{spark_type[t]}>" for c, t in _UNITS.items())
+    units = written(texts.mapInArrow(units_of, schema), "passage-units")
+
+    # windows with equal words
+    x = units.select(*row, F.explode(F.arrays_zip("w_start", "w_h", "w_g")).alias("x"))
+    seeds = x.select(*row, F.col("x.w_start").alias("start"), F.col("x.w_h").alias("h"), F.col("x.w_g").alias("g"))
+    shared = held_by_several(seeds, ["h", "g"], "passage-shared")
+    found = written(skew_join(seeds, shared, ["h", "g"]), "passage-found")
+    discard(shared)
+    of_texts = found.groupBy(*row).agg(F.collect_list(F.struct("start", "h", "g", "keep")).alias("x"))
+    chained = written(of_texts.mapInArrow(partial(chains_of, least_words=min_words), "doc_id long, v int, chains array<struct<start:int,size:int,keep:long>>, unsure array<struct<h:long,g:int>>"), "passage-chains")
+    # a chain that is too short to tell has all runs of min_words around its windows compared, wherever they occur
+    unsure = written(chained.select(F.explode("unsure").alias("x")).select("x.h", "x.g").distinct(), "passage-unsure")
+    seeded = skew_join(found, unsure, ["h", "g"]).select(*row, _want(SEED, "start", F.lit(WINDOW)).alias("x"))
+    chains = chained.select(*row, F.explode("chains").alias("c")).select(*row, _want(CHAIN, "c.start", "c.size", F.col("c.keep")).alias("x"))
+
+    # lines: equal ones are a node, nodes that share a band are candidates
+    bands = [f"band{k}" for k in range(BANDS)]
+    x = units.select(*row, F.explode(F.arrays_zip(*[c for c in _UNITS if c.startswith("l_")])).alias("x"))
+    lines = x.select(*row, *[F.col(f"x.l_{c}").alias(c) for c in ("start", "size", "a", "b", "same", *bands)])
+    nodes = lines.groupBy("same").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *[F.min(c).alias(c) for c in bands])
+    nodes = written(nodes.select("same", "lo", "hi", F.array(*bands).alias("bands")), "passage-nodes")
+    cands = candidates(nodes.select(F.explode("bands").alias("h"), F.col("same").alias("node")), "passage")
+    wanted = written(cands.groupBy(F.col("node").alias("same")).agg(F.lit(True).alias("near")), "passage-wanted")
+    held = nodes.select("same", "lo", "hi").join(wanted.hint("merge"), "same", "left").where("near OR lo <> hi")
+    held = written(held.select("same", F.coalesce("near", F.lit(False)).alias("near")), "passage-held")
+    lines = written(skew_join(lines.drop(*bands), held, "same"), "passage-lines")
+    of_lines = lines.where("near").groupBy("same").agg(F.min(F.struct(*row, "start", "size")).alias("at"))
+    of_lines = of_lines.select("at.*", "same").select(*row, _want(LINE, "start", "size", same=F.col("same")).alias("x"))
+
+    want = written(chains.unionByName(seeded).unionByName(of_lines).groupBy(*row).agg(F.collect_list("x").alias("want")), "passage-want")
+    cuts = written(texts.join(want.hint("merge"), row).select(*row, "text", "want").mapInArrow(partial(cuts_of, run_words=max(min_words, WINDOW)), _CUTS), "passage-cuts")
+    discard(units, found, chained, unsure, held, want)
+
+    runs = cuts.where(F.col("kind") == SEED).drop("keep")
+    long_runs = held_by_several(runs, ["h", "g"], "passage-runs")
+    contents = cuts.where(F.col("kind") == LINE).select(F.col("same").alias("node"), "grams").dropDuplicates(["node"])
+    contents = written(contents.join(nodes.select(F.col("same").alias("node"), "bands").hint("merge"), "node"), "passage-contents")
+    labels = near_components(cands, contents, percent, tag="passage")
+    discard(cands, contents, wanted)
+    rooted = skew_join(nodes.select(F.col("same").alias("node"), "lo", "hi"), labels, "node", "left").where("root IS NOT NULL OR lo <> hi")
+    rooted = written(rooted.withColumn("root", F.coalesce("root", "node")), "passage-rooted")
+    clusters = written(rooted.groupBy("root").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep <> last").select("root", "keep"), "passage-clusters")
+    kept = written(skew_join(rooted, clusters, "root").select(F.col("node").alias("same"), "keep"), "passage-kept")
 
-    def split(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        known, minhash = WordHashes(), MinHash(BANDS, ROWS, 64)
-        for pdf in batches:
-            got = [paragraphs(t, known, minhash) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{c: [g[i] for g in got] for i, c in enumerate(("s", "n", "k"))}})
-
-    banded = texts.mapInPandas(split, "doc_id long, s array<int>, n array<int>, k array<long>")
-    banded = written(banded, "passage-bands").select("doc_id", F.explode(F.arrays_zip("s", "n", "k")).alias("x"))
-    banded = banded.select(F.col("x.k").alias("h"), "doc_id", F.col("x.s").alias("start"), F.col("x.n").alias("size"))
-    shared = banded.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h")
-    cands = written(banded.join(shared.hint("merge"), "h"), "passage-candidates")
-    needed = cands.select("doc_id", "start", "size").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("wanted"))
-
-    def cut(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for doc_id, text, wanted in zip(pdf["doc_id"], pdf["text"], pdf["wanted"]):
-                at = [m.span() for m in WORD.finditer(text)]
-                for w in wanted:
-                    span = at[w["start"] : w["start"] + w["size"]]
-                    if span:
-                        a, b = span[0][0], span[-1][1]
-                        rows.append((doc_id, w["start"], w["size"], a, b, " ".join(words_of(text[a:b]))))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "size", "a", "b", "text"])
-
-    schema = "doc_id long, start int, size int, a int, b int, text string"
-    node = F.struct("doc_id", "start", "size")
-    units = texts.join(needed.hint("merge"), "doc_id").mapInPandas(cut, schema)
-    units = written(units.select("doc_id", "start", "size", "a", "b", "text", digest128(F.col("text")).alias("same")), "passage-units")
-    # equal paragraphs are one node, the least of them
-    nodes = written(units.groupBy("same").agg(F.min(node).alias("node"), F.any_value("text").alias("text")), "passage-nodes")
-    of_nodes = cands.select("h", node.alias("node")).join(nodes.select("node").hint("merge"), "node", "left_semi")
-    crowd = of_nodes.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("h")
-    of_nodes = written(of_nodes.join(crowd.hint("merge"), "h"), "passage-rows")
-    keys = of_nodes.groupBy("node").agg(F.collect_set("h").alias("keys"))
-    contents = written(nodes.select("node", "text").join(keys.hint("merge"), "node"), "passage-contents")
-    labels = near_components(of_nodes, contents, percent, SHINGLE, tag="passage")
-    roots = nodes.select("same", "node").join(labels.hint("merge"), "node", "left")
-    roots = written(roots.select("same", F.coalesce("root", "node").alias("root")), "passage-roots")
-    members = written(skew_join(units.drop("text"), roots, "same").drop("same"), "passage-members")
-    clusters = members.groupBy("root").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where("keep <> last")
-    found = skew_join(members, written(clusters.select("root", "keep"), "passage-clusters"), "root").withColumn("removed", F.col("doc_id") != F.col("keep"))
-    # overlapping paragraphs of a document that share the verdict are one span
-    by = Window.partitionBy("doc_id", "removed").orderBy("a", "b")
-    far = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    spans = found.withColumn("new", F.when(F.col("a") <= far, 0).otherwise(1)).withColumn("span", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    words = (F.max(F.col("start") + F.col("size")) - F.min("start")).cast("long")
-    return spans.groupBy("doc_id", "removed", "span").agg(
-        F.min("a").alias("start_char"), F.max("b").alias("end_char"), words.alias("n_words"), F.min("keep").alias("keep_doc_id")
-    ).select("doc_id", "start_char", "end_char", "n_words", "removed", "keep_doc_id")
+    cols = [*row, "start", "size", "a", "b", "keep"]
+    spans = cuts.where(F.col("kind") == CHAIN).select(*cols)
+    spans = spans.unionByName(skew_join(runs, long_runs, ["h", "g"]).select(*cols)).unionByName(skew_join(lines, kept, "same").select(*cols))
+    spans = spans.groupBy(*row).agg(F.collect_list(F.struct("start", "size", "a", "b", "keep")).alias("x"))
+    return spans.mapInArrow(partial(spans_of, least_words=min_words), "doc_id long, start_char int, end_char int, n_words long, removed boolean, keep_doc_id long")

@@ -69,6 +69,27 @@ class MinHash:
             least = np.minimum(least, (self.a[:, None] * (shingles[None, i : i + 2048] ^ self.salt[:, None])).min(axis=1))
         return mixed(least)
 
+    def samples_of(self, shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The samples of several sets, which lie end to end in shingles and start at first: a row for each."""
+        out = np.empty((len(first), len(self.a)), np.uint64)
+        for k, (a, salt) in enumerate(zip(self.a, self.salt)):
+            out[:, k] = np.minimum.reduceat(a * (shingles ^ salt), first)
+        return mixed(out)
+
+    def band_keys_of(self, samples: np.ndarray) -> np.ndarray:
+        """A 64-bit key for each band of each row of samples."""
+        keys = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), (len(samples), self.bands))
+        for row in range(self.rows):
+            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + samples[:, row :: self.rows])
+        return keys.view(np.int64)
+
+    def odd_sketches(self, samples: np.ndarray) -> np.ndarray:
+        """The odd sketch of each row of samples."""
+        n = len(samples)
+        at = (mixed(samples ^ self.salt) % np.uint64(self.bits)).astype(np.int64) + np.arange(n)[:, None] * self.bits
+        odd = (np.bincount(at.ravel(), minlength=n * self.bits) & 1).astype(np.uint8)
+        return np.packbits(odd).view(np.int64).reshape(n, -1)
+
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
         """A 64-bit key for each band."""
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
