@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, one is made on this machine.
+    Only where the session names none and runs on this machine alone, as in tests, one is made here.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="paravane-")
@@ -48,15 +50,37 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def _store(spark: SparkSession, path: str):
+    """The path as Hadoop knows it, and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    at, store = _store(spark, path)
+    store.delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders under a path, none if it doesn't exist."""
+    at, store = _store(spark, path)
+    return sorted(f.getPath().toString() for f in store.listStatus(at) if f.isDirectory()) if store.exists(at) else []
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the path to its end."""
+    at, store = _store(spark, f"{path}/_SUCCESS")
+    return store.exists(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that written() made and that nothing will read again, so that the shared folder stays small.
 
     Whatever was computed from them must be written by then.
     """
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, df.written_at)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -2,7 +2,8 @@
 
 An item with an error budget of e edits is cut into e + 1 pieces: a passage within e edits of it holds at least one
 piece unchanged. Piece hits are found with an Aho-Corasick automaton, and the text around each hit is confirmed with
-Myers' bit-parallel edit distance. Items go to the executors in blocks of bounded size.
+Myers' bit-parallel edit distance. Items too short for an edit must occur as whole words. Items go to the executors in
+blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .shingles import words_of
 
 #: Bytes of item text in one block, which is broadcast.
 BLOCK_BYTES = 4_000_000
-#: Items of fewer normalised characters prove nothing and are left out.
-MIN_CHARS = 24
+#: Items of fewer normalised characters are left out: only empty ones.
+MIN_CHARS = 1
 
 
 def normal(text: str | None) -> str:
@@ -88,10 +89,16 @@ class Finder:
             return []
         text = normal(text)
         spans: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for end, (n, where) in self.machine.iter(text):
             for i, start in where:
                 item = self.items[i][1]
                 e = budget(item)
+                if not e:
+                    # the piece is the whole item
+                    if i not in exact and (end + 1 == n or text[end - n] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                        exact[i] = end + 1
+                    continue
                 lo = end - n + 1 - start - e
                 hi = lo + len(item) + 2 * e
                 mine = spans.setdefault(i, [])
@@ -99,7 +106,7 @@ class Finder:
                     mine[-1] = [min(lo, mine[-1][0]), max(hi, mine[-1][1])]
                 else:
                     mine.append([lo, hi])
-        found = []
+        found = [(self.items[i][0], 0, 0, p) for i, p in exact.items()]
         for i, mine in spans.items():
             item_id, item = self.items[i]
             d, p = min((d, max(0, lo) + p) for lo, hi in mine for d, p in [best_match(item, text[max(0, lo) : max(0, hi)])])
@@ -122,8 +129,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_chars: int = MIN_CHA
 
     Texts and items are compared as words with A-Z lower-cased and single spaces; position is where the best match
     ends in that form. Whole texts are searched. One row per row of docs and item: repeated rows give repeated rows,
-    items that repeat an item_id and text count once. Null or empty texts hold nothing; null, empty and items under
-    min_chars characters are not searched; an empty table gives no rows. Extra columns are ignored.
+    items that repeat an item_id and text count once. Null or empty texts hold nothing; null and empty
+    items, and those under min_chars characters, are not searched; items under 16 characters have no error budget and
+    count as whole words; an empty table gives no rows. Extra columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     schema = "doc_id long, item_id long, distance long, budget long, position long"

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_path, skew_join, text_or_empty, written
+from .common import ascii_lower, discard, folders, fresh_path, remove, skew_join, text_or_empty, written
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -24,18 +24,29 @@ class DigestIndex:
     """Digests that were seen so far, each with the doc_id of the row that stays.
 
     A digest is in the index once: the batch that brings it first decides which row stays, the one with its
-    largest doc_id (null only if the batch has no other id for it). Buckets are fixed when the table is made.
+    largest doc_id (null only if the batch has no other id for it). The index lives at its path, below a folder that
+    tells the number of buckets; opening the path again, in this session or another, gives the same rows.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or fresh_path(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, path or fresh_path(spark, "digest-index")
+        made = [f.rsplit("/buckets-", 1)[1] for f in folders(spark, self.path) if "/buckets-" in f]
+        self.buckets = int(made[0]) if made else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"digest_index_{uuid.uuid4().hex}"
+        self._open = False
+        if made:
+            self._define()
+
+    def _define(self) -> None:
+        spark_path = f"{self.path}/buckets-{self.buckets}"
+        self.spark.sql(
+            f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{spark_path}'"
+        )
+        self._open = True
 
     def rows(self) -> DataFrame | None:
         """The index as (digest, keep_id), or None before the first batch."""
-        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
+        return self.spark.table(self.name) if self._open else None
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Append to the index what batch(doc_id, digest) brings that is new; returns those (digest, keep_id)."""
@@ -44,12 +55,24 @@ class DigestIndex:
         if known is not None:
             fresh = fresh.join(known.select("digest").hint("merge"), "digest", "left_anti")
         fresh = written(fresh, "digest-batch")
-        (
-            fresh.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.name)
-        )
+        if not self._open:
+            self._define()
+        # one task writes each bucket, so a batch adds one sorted file to it
+        dealt = fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         return fresh
 
+    def close(self) -> None:
+        """Forget the table's name; the index stays at its path."""
+        if self._open:
+            self.spark.sql(f"DROP TABLE {self.name}")
+            self._open = False
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self.close()
+        remove(self.spark, self.path)
+
 
 def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
@@ -68,9 +91,10 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     index = DigestIndex(spark)
     for k in reversed(range(batches)):
         part = F.coalesce(F.floor((F.col("doc_id") - lo) / step), F.lit(0))
-        index.add(rows.where(part == k))
+        discard(index.add(rows.where(part == k)))
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     groups = written(index.rows().join(sizes, "digest"), "digest-groups")
+    index.drop()
     return skew_join(rows, groups, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )

@@ -23,6 +23,8 @@ from .shingles import words_of
 STATES, HEAD, TAIL, GROUPS, SWEEPS = 8, 30_000, 2_048, 4, 2
 #: Tokens whose forward variables one block holds.
 BLOCK = 800_000
+#: Training cuts longer texts into sequences of so many tokens, so that one text's forward variables stay bounded.
+LONGEST = 100_000
 SUFFIX = 3
 
 
@@ -125,7 +127,8 @@ def baum_welch(coded: DataFrame, freq: np.ndarray) -> Hmm:
             model = sent.value
             into = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit)
             for pdf in batches:
-                for _, lengths, tokens in blocks([np.frombuffer(b, np.uint16) for b in pdf["cls"]]):
+                texts = (np.frombuffer(b, np.uint16) for b in pdf["cls"])
+                for _, lengths, tokens in blocks([t[i : i + LONGEST] for t in texts for i in range(0, len(t), LONGEST)]):
                     model.expected(lengths, tokens, into)
             # moves from state k are row -1-k, starts row -1-STATES
             used = np.flatnonzero(into[2].sum(axis=1))

@@ -1,8 +1,9 @@
 """Line dedup: levelled sorted runs of line hashes, compacted now and then; DataFrame functions only.
 
-Each batch of documents brings a sorted run of (line hash, documents that hold it). Runs lie on levels; when a level
-has `fanout` runs they are merged into one run of the next level, so that a look-up reads few runs. The operator sums
-the counts over all runs. unseen(), which it doesn't use, merge-anti-joins keys with the runs.
+Each batch of documents is merge-anti-joined with the runs: the keys that no run has make the batch's own sorted run of
+(line hash, documents that hold it), the others a run of additions. Runs lie on levels; when a level is full its runs
+are merged into one of the next level, so that a look-up reads few runs. The number of documents that hold a line is the
+sum over all runs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, digest128, fresh_path, skew_join, text_or_empty, written
+from .common import SPACES, ascii_lower, complete, digest128, discard, folders, fresh_path, remove, skew_join, text_or_empty, written
 
 
 def line_key(line: Column) -> Column:
@@ -19,47 +20,79 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs of (key, n_docs), by level."""
+    """Sorted runs of (key, n_docs) below a path, by level; opening the path again finds them.
+
+    A run is a folder level-<level>-<number>-<kind>; kind is `own` for keys that were new when it was written, `more` for
+    additions to keys of older runs. A run whose writing didn't end counts for nothing. A compaction writes the merged
+    run first, under the number of its last part and the next level, and a level's runs that it covers are then void.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.path, self.fanout = spark, path or fresh_path(spark, "line-runs"), fanout
-        self.levels: list[list[str]] = [[]]
-        self.made = 0
+        self.runs: list[tuple[int, int, str]] = []  # level, number, kind
+        for folder in folders(spark, self.path):
+            if complete(spark, folder):
+                _, level, number, kind = folder.rsplit("/", 1)[1].split("-")
+                self.runs.append((int(level), int(number), kind))
+        upper = {r: max((n for level, n, _ in self.runs if level > r[0]), default=-1) for r in self.runs}
+        self.runs = [r for r in self.runs if r[1] > upper[r]]
+
+    def _at(self, run: tuple[int, int, str]) -> str:
+        return f"{self.path}/level-{run[0]}-{run[1]:06d}-{run[2]}"
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.path}/level={level}/run={self.made}"
-        self.made += 1
+    def _read(self, *runs: tuple[int, int, str]) -> DataFrame:
+        return self.spark.read.schema("key binary, n_docs long").parquet(*map(self._at, runs))
+
+    def _write(self, rows: DataFrame, run: tuple[int, int, str]) -> None:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        run.repartition(parts, "key").sortWithinPartitions("key").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        rows.repartition(parts, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(self._at(run))
+        self.runs.append(run)
+
+    @property
+    def levels(self) -> list[list[int]]:
+        """The numbers of the batches whose runs lie on each level; a batch's additions belong to its run."""
+        top = max((r[0] for r in self.runs), default=0)
+        return [sorted({r[1] for r in self.runs if r[0] == level}) for level in range(top + 1)]
 
     def add(self, counts: DataFrame) -> None:
-        """Add a batch's (key, n_docs) as a run of level 0, then compact the levels that are full."""
-        self._write(counts.select("key", F.col("n_docs").cast("long").alias("n_docs")), 0)
+        """Add a batch's (key, n_docs), then compact the levels that hold `fanout` batches."""
+        counts = written(counts.select("key", F.col("n_docs").cast("long").alias("n_docs")), "line-counts")
+        number = max((r[1] for r in self.runs), default=-1) + 1
+        if self.runs:
+            # what is known adds to the counts; it is written first, so a batch that broke off leaves no new key behind
+            self._write(counts.join(self.unseen(counts).select("key").hint("merge"), "key", "left_anti"), (0, number, "more"))
+            known = [r for r in self.runs if r[1] != number]
+            self._write(self.unseen(counts, known), (0, number, "own"))
+        else:
+            self._write(counts, (0, number, "own"))
+        discard(counts)
         level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
+        while len(full := [r for r in self.runs if r[0] == level]) and len({r[1] for r in full}) >= self.fanout:
+            self.runs = [r for r in self.runs if r[0] != level]
+            self._write(self._merged(full), (level + 1, max(r[1] for r in full), "own"))
+            for run in full:
+                remove(self.spark, self._at(run))
             level += 1
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("key binary, n_docs long").parquet(*paths).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
+    def _merged(self, runs: list[tuple[int, int, str]]) -> DataFrame:
+        return self._read(*runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"))
 
     def counts(self) -> DataFrame:
         """(key, n_docs) over all runs."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "key binary, n_docs long")
-        return self._merged(paths)
+        return self._merged(self.runs) if self.runs else self.spark.createDataFrame([], "key binary, n_docs long")
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
+    def unseen(self, keys: DataFrame, runs: list[tuple[int, int, str]] | None = None) -> DataFrame:
         """The rows of keys(key, ..) whose key no run has, by a sort-merge anti-join with each run."""
-        for path in (p for level in self.levels for p in level):
-            keys = keys.join(self.spark.read.schema("key binary, n_docs long").parquet(path).hint("merge"), "key", "left_anti")
+        for run in self.runs if runs is None else runs:
+            if run[2] == "own":
+                keys = keys.join(self._read(run).hint("merge"), "key", "left_anti")
         return keys
 
+    def drop(self) -> None:
+        """Delete all runs."""
+        remove(self.spark, self.path)
+        self.runs = []
+
 
 def _row_key() -> Column:
     """16 bytes for a row's doc_id and text: rows that repeat both are one document."""
@@ -72,16 +105,19 @@ def _lines() -> Column:
 
 def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_key: int = 1, batches: int = 2) -> DataFrame:
     """(__row, __drops): the positions of the lines to lose, for each document that has any."""
-    spark = docs.sparkSession
-    lines = docs.select(_row_key().alias("row"), F.transform(_lines(), line_key).alias("keys"))
-    lines = lines.select("row", F.posexplode("keys").alias("pos", "line")).where(F.char_length("line") >= min_key)
-    lines = written(lines.select("row", "pos", digest128(F.col("line")).alias("key")), "line-keys")
-    runs = LineRuns(spark, fanout=max(2, batches))
+    row = _row_key()
+    # rows without doc_id are documents by their text
+    alone = F.when(F.col("doc_id").isNull(), row)
+    lines = docs.select(row.alias("row"), F.col("doc_id").alias("doc"), alone.alias("alone"), F.transform(_lines(), line_key).alias("keys"))
+    lines = lines.select("row", "doc", "alone", F.posexplode("keys").alias("pos", "line")).where(F.char_length("line") >= min_key)
+    lines = written(lines.select("row", "doc", "alone", "pos", digest128(F.col("line")).alias("key")), "line-keys")
+    runs = LineRuns(docs.sparkSession, fanout=max(2, batches))
     for k in range(batches):
-        batch = lines.where(F.pmod(F.hash("row"), F.lit(batches)) == k)
-        runs.add(batch.select("row", "key").distinct().groupBy("key").agg(F.count("*").alias("n_docs")))
+        batch = lines.where(F.pmod(F.hash("doc", "alone"), F.lit(batches)) == k)
+        runs.add(batch.select("doc", "alone", "key").distinct().groupBy("key").agg(F.count("*").alias("n_docs")))
     frequent = written(runs.counts().where(F.col("n_docs") >= min_docs).select("key"), "frequent-lines")
-    hits = skew_join(lines, frequent, "key")
+    runs.drop()
+    hits = skew_join(lines.select("row", "pos", "key"), frequent, "key")
     return hits.groupBy(F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__drops"))
 
 
@@ -90,8 +126,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_key: int = 1, b
 
     Texts split at \\n; a null or empty text is one empty line. A line's key is the line without [ \\t-\\r] at its
     ends and A-Z lower-cased. Keys of at least min_key code points that at least min_docs documents hold lose all
-    their lines everywhere; other lines stay, joined by \\n. Rows that repeat a doc_id and its text are one document;
-    all of them stay in the result. Null texts stay null; a text that loses all its lines is empty. All columns of
+    their lines everywhere; other lines stay, joined by \\n. Rows that share a doc_id are one document, rows without one
+    are documents by their text; all rows stay in the result. Null texts stay null; a text that loses all its lines is empty. All columns of
     docs stay, except that n_lines and n_dropped are replaced. An empty table gives no rows. Documents go to the
     runs in `batches` parts, which changes nothing in the result.
     """

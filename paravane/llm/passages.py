@@ -143,7 +143,7 @@ def in_runs(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def chains_of(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """For each text its chains of windows, split by verdict, and the keys of windows in chains under least_words."""
+    """For each text its chains of windows, split by verdict, the keys of windows in chains under least_words, and x."""
     for batch in batches:
         n, (row, x) = len(batch), elements(batch, "x")
         start, keep, ids = x["start"], x["keep"], np.asarray(batch.column("doc_id"))
@@ -158,9 +158,8 @@ def chains_of(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[p
         at = order[first]
         chains = pa.StructArray.from_arrays([int32(start[at]), int32(words[first]), pa.array(least, pa.int64())], ["start", "size", "keep"])
         unsure = pa.StructArray.from_arrays([pa.array(x["h"][few], pa.int64()), int32(x["g"][few])], ["h", "g"])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("v"), lists(row[at], n, chains), lists(row[few], n, unsure)], ["doc_id", "v", "chains", "unsure"]
-        )
+        columns = [batch.column("doc_id"), batch.column("v"), lists(row[at], n, chains), lists(row[few], n, unsure), batch.column("x")]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "v", "chains", "unsure", "x"])
 
 
 CHAIN, SEED, LINE = 0, 1, 2
@@ -218,6 +217,12 @@ def spans_of(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa
         order, run, words = in_runs(row, x["start"], x["start"] + x["size"])
         order, run = order[words >= least_words], run[words >= least_words]
         gone = x["keep"][order] != ids[row[order]]
+        # what a lost span covers is lost, whatever a window inside it says
+        start, end = x["start"][order], (x["start"] + x["size"])[order]
+        far = int(end.max(initial=0)) + 1
+        covered = np.maximum.accumulate(np.where(gone, run * far + end, -1)) if len(order) else run
+        stays = gone | (covered < run * far + end)
+        order, run, gone = order[stays], run[stays], gone[stays]
         # a run's kept spans and its lost ones run apart
         again, run, words = in_runs(2 * run + gone, x["start"][order], (x["start"] + x["size"])[order])
         order, gone = order[again], gone[again]
@@ -266,12 +271,13 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_W
     x = units.select(*row, F.explode(F.arrays_zip("w_start", "w_h", "w_g")).alias("x"))
     seeds = x.select(*row, F.col("x.w_start").alias("start"), F.col("x.w_h").alias("h"), F.col("x.w_g").alias("g"))
     shared = held_by_several(seeds, ["h", "g"], "passage-shared")
-    found = written(skew_join(seeds, shared, ["h", "g"]), "passage-found")
+    of_texts = skew_join(seeds, shared, ["h", "g"]).groupBy(*row).agg(F.collect_list(F.struct("start", "h", "g", "keep")).alias("x"))
+    out = "doc_id long, v int, chains array<struct<start:int,size:int,keep:long>>, unsure array<struct<h:long,g:int>>, x array<struct<start:int,h:long,g:int,keep:long>>"
+    chained = written(of_texts.mapInArrow(partial(chains_of, least_words=min_words), out), "passage-chains")
     discard(shared)
-    of_texts = found.groupBy(*row).agg(F.collect_list(F.struct("start", "h", "g", "keep")).alias("x"))
-    chained = written(of_texts.mapInArrow(partial(chains_of, least_words=min_words), "doc_id long, v int, chains array<struct<start:int,size:int,keep:long>>, unsure array<struct<h:long,g:int>>"), "passage-chains")
     # a chain that is too short to tell has all runs of min_words around its windows compared, wherever they occur
     unsure = written(chained.select(F.explode("unsure").alias("x")).select("x.h", "x.g").distinct(), "passage-unsure")
+    found = chained.select(*row, F.explode("x").alias("x")).select(*row, "x.start", "x.h", "x.g")
     seeded = skew_join(found, unsure, ["h", "g"]).select(*row, _want(SEED, "start", F.lit(WINDOW)).alias("x"))
     chains = chained.select(*row, F.explode("chains").alias("c")).select(*row, _want(CHAIN, "c.start", "c.size", F.col("c.keep")).alias("x"))
 
@@ -291,7 +297,7 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_W
 
     want = written(chains.unionByName(seeded).unionByName(of_lines).groupBy(*row).agg(F.collect_list("x").alias("want")), "passage-want")
     cuts = written(texts.join(want.hint("merge"), row).select(*row, "text", "want").mapInArrow(partial(cuts_of, run_words=max(min_words, WINDOW)), _CUTS), "passage-cuts")
-    discard(units, found, chained, unsure, held, want)
+    discard(units, chained, unsure, held, want)
 
     runs = cuts.where(F.col("kind") == SEED).drop("keep")
     long_runs = held_by_several(runs, ["h", "g"], "passage-runs")

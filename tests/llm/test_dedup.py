@@ -95,6 +95,44 @@ def test_runs_compact_and_anti_join(spark):
     assert [r.key[0] for r in runs.unseen(table([2, 9])).collect()] == [9]
 
 
+def test_runs_and_index_reopen_by_path(spark, tmp_path):
+    table = lambda ks: spark.createDataFrame([(bytes([k]), 1) for k in ks], "key binary, n_docs long")
+    path = f"file://{tmp_path}/runs"
+    for part in ([1, 2], [2, 3], [3, 4], [2, 5]):  # opened anew for each batch
+        LineRuns(spark, path, fanout=3).add(table(part))
+    again = LineRuns(spark.newSession(), path, fanout=3)
+    assert again.levels == [[3], [2]]
+    assert sorted((r.key[0], r.n_docs) for r in again.counts().collect()) == [(1, 1), (2, 3), (3, 2), (4, 1), (5, 1)]
+    assert [r.key[0] for r in again.unseen(table([5, 9])).collect()] == [9]
+    again.drop()
+    assert LineRuns(spark, path).runs == []
+
+    path = f"file://{tmp_path}/index"
+    first = DigestIndex(spark, path, buckets=3)
+    first.add(digests(docs(spark, [(1, "a"), (2, "A"), (3, "b")])))
+    first.close()
+    index = DigestIndex(spark.newSession(), path, buckets=8)
+    assert index.buckets == 3 and sorted(r.keep_id for r in index.rows().collect()) == [2, 3]
+    index.add(digests(docs(spark, [(9, "a"), (10, "c")])))
+    assert sorted(r.keep_id for r in DigestIndex(spark, path).rows().collect()) == [2, 3, 10]
+
+
+def test_texts_of_one_doc_id_are_one_document(spark):
+    out = line_dedup(docs(spark, [(1, f"common\nown {i}") for i in range(12)])).collect()
+    assert len(out) == 12 and all(r.n_dropped == 0 for r in out)
+    out = line_dedup(docs(spark, [(None, f"common\nown {i}") for i in range(12)])).collect()
+    assert len(out) == 12 and all(r.n_dropped == 1 for r in out)
+
+
+def test_near_keeps_links_of_all_texts_of_a_doc_id(spark):
+    rng = random.Random(21)
+    a, b, c = (words(rng, 80, 10**6) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (9, near(a)), (3, " ".join(c)), (3, " ".join(c)), (11, near(c))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup(docs(spark, rows)).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (3, 3, True), (11, 3, False)}
+
+
 def brute_near(pairs):
     def shingles(t):
         w = [x for x in low(t or "").replace("\n", " ").split(" ") if x]
@@ -189,3 +227,52 @@ def test_long_common_passage_is_found_wherever_it_lies(spark):
     shared = words(rng, 51, 10**6)
     pairs = [(i, " ".join(words(rng, rng.randrange(0, 200), 10**6) + shared + words(rng, rng.randrange(0, 200), 10**6))) for i in range(40)]
     assert {r.doc_id for r in repeated_passages(docs(spark, pairs)).collect()} == set(range(40))
+
+
+def test_whole_passages_against_brute_force(spark):
+    """Every document with a run of 50 words that another has is found, and nothing without a run or a similar line."""
+    rng = random.Random(23)
+    shared = [words(rng, n, 10**6) for n in (49, 50, 50, 51, 60, 75, 120, 300)]
+    pairs, at = [], 0
+    for i in range(160):
+        w = words(rng, rng.randrange(0, 160), 10**6)
+        if i % 2 == 0:
+            w += shared[at % len(shared)] + words(rng, rng.randrange(0, 90), 10**6)
+            at += 1
+        text = "".join(x + rng.choice(["\n", " ", " ", " ", "  ", "\t"]) for x in w)
+        pairs.append((i, text.upper() if i % 5 == 0 else text))
+    pairs += [(500, None), (501, ""), (502, "la " * 3000), (None, pairs[2][1]), (600, pairs[1][1]), (600, pairs[3][1])]
+
+    def runs(t):
+        w = words_of(t)
+        return {tuple(w[k : k + 50]) for k in range(len(w) - 49)}
+
+    holders = defaultdict(set)
+    for i, t in pairs:
+        for r in runs(t):
+            holders[r].add(i)
+    want = {i for i, t in pairs if i is not None and any(len(holders[r] - {None}) > 1 for r in runs(t))}
+    got = repeated_passages(docs(spark, pairs), min_words=50).collect()
+    assert {r.doc_id for r in got} == want and 502 not in want and 600 in want
+    texts = dict(pairs[:160])
+    for r in got:
+        if r.doc_id in texts:
+            assert len(words_of(texts[r.doc_id][r.start_char : r.end_char])) == r.n_words
+            assert r.removed == (r.doc_id != r.keep_doc_id) and r.keep_doc_id <= r.doc_id
+
+
+@pytest.mark.parametrize("which", ["lines", "documents"])
+def test_recall_of_pairs_at_three_quarters(spark, which):
+    """Pairs of 400 whose 5-word Jaccard is 0.75 to 0.80 are found at least 98 times in 100."""
+    rng, pairs = random.Random(29), []
+    for i in range(400):
+        a = words(rng, 200, 10**6)
+        b = [x if k not in (40, 80, 120, 160) else "changed" for k, x in enumerate(a)] + words(rng, 8 + 4 * (i % 3), 10**6)
+        sa, sb = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        assert 0.75 <= len(sa & sb) / len(sa | sb) < 0.8
+        pairs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    if which == "documents":
+        joined = {r.doc_id for r in near_dedup(docs(spark, pairs)).collect() if not r.kept}
+    else:
+        joined = {r.doc_id for r in repeated_passages(docs(spark, pairs), min_words=195).collect() if r.removed}
+    assert len(joined & {2 * i + 1 for i in range(400)}) >= 392

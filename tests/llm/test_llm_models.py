@@ -214,6 +214,73 @@ def test_contaminated(spark):
     assert dc.contaminated(docs(spark, []), bench).collect() == [] and dc.contaminated(docs(spark, pairs), bench.where("false")).collect() == []
 
 
+def test_short_items_count_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Art is long"), (2, "a"), (3, ""), (4, None)], "item_id long, text string")
+    pairs = [(1, "so ART is\nlong"), (2, "part is long"), (3, "a"), (4, "art is longer a"), (5, "none"), (None, "x art is long x")]
+    got = {(r.doc_id, r.item_id, r.distance) for r in dc.contaminated(docs(spark, pairs), bench).collect()}
+    assert got == {(1, 1, 0), (3, 2, 0), (4, 2, 0), (None, 1, 0)}
+    assert sorted(r.doc_id for r in dc.decontaminate(docs(spark, pairs), bench).collect()) == [2, 5]
+
+
+def test_long_text_keeps_its_item(spark):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog every day")], "item_id long, text string")
+    got = dc.contaminated(docs(spark, [(1, "word " * 60_000 + "the quick brown fax jumps over the lazy dog every day")]), bench).collect()
+    assert [(r.item_id, r.distance) for r in got] == [(1, 1)]
+
+
+def test_rows_repeat_and_ids_are_null(spark, labelled_docs):
+    d, labels, texts = labelled_docs
+    some = [(None, texts[0]), (None, None), (3, texts[3]), (3, texts[3]), (3, texts[5])]
+    for out in (quality_scores(docs(spark, some), labels), toxicity(docs(spark, some), labels), bpe_encode(docs(spark, some), vocab_path()), lm_scores(docs(spark, some))):
+        rows = out.collect()
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == [-1, -1, 3, 3, 3]
+    lines = license_matches(docs(spark, [(None, "Released under the MIT License."), (3, "Released under the MIT License.")] * 2)).collect()
+    assert {r.doc_id for r in lines} == {None, 3}
+
+
+def test_gradients_are_slopes(spark):
+    import pandas as pd
+
+    from paravane.llm.toxicity import GRADES, exceed, gradient_for
+
+    rng = np.random.default_rng(5)
+    dims, n = 6, 40
+    pdf = pd.DataFrame({
+        "grade": rng.integers(0, GRADES, n), "idx": [rng.choice(dims, 3, replace=False) for _ in range(n)], "val": [rng.random(3) for _ in range(n)],
+    })
+    params = np.concatenate([rng.normal(size=dims), [0.5, -0.3, 0.2]])
+
+    def loss(p):
+        total = 0.0
+        for g, i, v in zip(pdf["grade"], pdf["idx"], pdf["val"]):
+            above = np.concatenate([[1.0], exceed(p, dims, np.array([float(p[i] @ v)]))[0], [0.0]])
+            total -= math.log(above[g] - above[g + 1])
+        return total + 0.5e-4 * n * float(p[:dims] @ p[:dims])
+
+    got = gradient_for(dims)(params, pdf)
+    for k in range(len(params)):
+        step = np.zeros(len(params))
+        step[k] = 1e-5
+        assert got[k] == pytest.approx((loss(params + step) - loss(params - step)) / 2e-5, rel=1e-4, abs=1e-5)
+
+
+def test_training_raises_the_likelihood():
+    from paravane.llm.hmm import STATES, first_guess, maximised
+
+    rng = np.random.default_rng(3)
+    seqs = [np.where(rng.random(30) < 0.9, rng.integers(0, 5, 30) + 5 * (k % 3), 15) for k in range(60)]
+    lengths, tokens = np.full(60, 30), np.stack(seqs, axis=1)
+    model, before = first_guess(np.ones(16)), -np.inf
+    for _ in range(12):
+        now = model.forward(lengths, tokens).sum()
+        assert now > before - 0.5  # the small prior counts may cost a trifle
+        before = now
+        into = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((16, STATES))
+        model.expected(lengths, tokens, into)
+        model = maximised(*into)
+    assert now > first_guess(np.ones(16)).forward(lengths, tokens).sum() + 100
+
+
 def test_pipeline_stages(spark, labelled_docs, tmp_path):
     import corpus_pipeline
 
@@ -231,5 +298,9 @@ def test_pipeline_stages(spark, labelled_docs, tmp_path):
         now = spark.read.parquet(str(tmp_path / f"out{k}"))
         sizes.append(now.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    lines = corpus_pipeline.lines(spark, docs(spark, [(i, f"same\nown {i}") for i in range(10)] + [(10, None)]), "").collect()
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in lines) and {r.text for r in lines} == {None, *[f"own {i}" for i in range(10)]}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.where("false"), str(tmp_path)).count() == 0
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, now.collect()))
