@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paravane.llm.bpe import bpe_encode
 from paravane.llm.common import table, written
@@ -19,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go, and n_chars follows the text."""
-    return drop_frequent_lines(docs, min_docs=10).select(*docs.columns)
+    """Lines that ten documents or more hold go, and n_chars follows the text (null for a null text)."""
+    out = drop_frequent_lines(docs, min_docs=10).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
