@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paravane.functions.scalars import clip, closed_bin, floor_bin, quantile_bin, ratio
 
-#: Slices of the score range; a window never holds more than the distinct scores of a group and slice.
-SLICES = 64
+#: Equal slices of the score range; the first and the last are cut again by powers of two.
+SLICES, HALVINGS = 64, 24
+
 
+def _slice(p: Column) -> Column:
+    """A number that rises with p: scores near 0 and 1, where rare classes lie, have finer slices."""
+    fine = lambda x: F.least(F.floor(-F.log2(F.greatest(x, F.lit(2.0**-HALVINGS)))), F.lit(HALVINGS))
+    low, high = F.lit(HALVINGS) - fine(p), F.lit(HALVINGS + SLICES) + fine(1 - p)
+    return F.when(p < 1 / SLICES, low).when(p > 1 - 1 / SLICES, high).otherwise(HALVINGS + F.floor(p * SLICES)).cast("int")
 
-def _counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Positives and negatives of each distinct score, with those of all lower and of all higher scores.
 
-    Sums run inside slices of the score range; totals of whole slices are added from a table of SLICES rows a group.
-    So a group of any size is spread over tasks.
+def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Positives and negatives of each distinct score, with those of all lower scores and of all scores.
+
+    Sums run inside slices of the score range; totals of whole slices are added from a table of a few rows a group. So a
+    group of any size is spread over tasks, and rows shuffle once, as counts. Rows without a score are left out.
     """
-    by_score = df.groupBy(*keys, "p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    by_score = by_score.withColumn("slice", clip(F.floor(F.col("p") * SLICES), 0, SLICES - 1).cast("int"))
+    by_score = df.where(F.col("p").isNotNull()).groupBy(*keys, "p")
+    by_score = by_score.agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")).withColumn("slice", _slice(F.col("p")))
     slices = by_score.groupBy(*keys, "slice").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))
     over, all_ = Window.partitionBy(*keys).orderBy("slice"), Window.partitionBy(*keys)
     below = over.rowsBetween(Window.unboundedPreceding, -1)
@@ -36,17 +41,39 @@ def _counts(df: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
+def quantiles_of_counts(shares: list[float], n: Column, below: Column, total: Column, value: str = "p") -> list[Column]:
+    """Aggregates over counted values: their exact quantiles, interpolated between neighbours.
+
+    n rows hold the value, `below` hold less, and total are in the group. The row at a place is the greatest value
+    that has no more rows below it.
+    """
+    at = lambda place: F.max(F.when((n > 0) & (below <= place), F.col(value)))
+    out = []
+    for share in shares:
+        place = (total - 1) * share
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        up, down = F.max(place - F.floor(place)), F.max(F.ceil(place) - place)
+        out.append(F.when(low == high, low).otherwise(down * low + up * high))
+    return out
+
+
+def _area() -> Column:
+    return F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.max("all_pos") * F.max("all_neg"))
+
+
+def _precision() -> Column:
+    tp, fp = F.col("all_pos") - F.col("pos_below"), F.col("all_neg") - F.col("neg_below")
+    return F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.max("all_pos"))
+
+
 def auroc(df: DataFrame, keys: list[str], name: str = "auroc") -> DataFrame:
     """Area under the ROC curve; ties count half, null for a group of one class."""
-    area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    return _counts(df, keys).groupBy(*keys).agg(F.try_divide(area, F.max("all_pos") * F.max("all_neg")).alias(name))
+    return score_counts(df, keys).groupBy(*keys).agg(_area().alias(name))
 
 
 def average_precision(df: DataFrame, keys: list[str], name: str = "auprc") -> DataFrame:
     """Step-wise average precision; null without positives."""
-    tp = F.col("all_pos") - F.col("pos_below")
-    fp = F.col("all_neg") - F.col("neg_below")
-    return _counts(df, keys).groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.max("all_pos")).alias(name))
+    return score_counts(df, keys).groupBy(*keys).agg(_precision().alias(name))
 
 
 def brier(y: str = "y", p: str = "p") -> Column:
@@ -58,6 +85,12 @@ def log_loss(eps: float = 1e-7, y: str = "y", p: str = "p") -> Column:
     return F.avg(-F.ln(F.when(F.col(y) == 1, q).otherwise(1 - q)))
 
 
+def _cuts(bins: int) -> Column:
+    """Over score_counts(): the edges of adaptive bins, with the outer ones at 0 and 1."""
+    n, below, total = F.col("pos") + F.col("neg"), F.col("pos_below") + F.col("neg_below"), F.col("all_pos") + F.col("all_neg")
+    return F.array(F.lit(0.0), *quantiles_of_counts([i / bins for i in range(1, bins)], n, below, total), F.lit(1.0))
+
+
 def curve(df: DataFrame, keys: list[str], bins: int = 15, mode: str = "floor") -> DataFrame:
     """Reliability curve: keys, bin, p_mean, y_mean, n; empty bins don't appear.
 
@@ -65,9 +98,7 @@ def curve(df: DataFrame, keys: list[str], bins: int = 15, mode: str = "floor") -
     group's own score quantiles, right-closed.
     """
     if mode == "adaptive":
-        inner = [i / bins for i in range(1, bins)]
-        cuts = df.groupBy(*keys).agg(F.expr(f"percentile(p, array({', '.join(map(repr, inner))}))").alias("q"))
-        cuts = cuts.select(*keys, F.concat(F.array(F.lit(0.0)), "q", F.array(F.lit(1.0))).alias("cuts"))
+        cuts = score_counts(df, keys).groupBy(*keys).agg(_cuts(bins).alias("cuts"))
         binned = df.join(F.broadcast(cuts) if not keys else cuts, keys).withColumn("bin", quantile_bin(F.col("p"), F.col("cuts")))
     else:
         binned = df.withColumn("bin", (floor_bin if mode == "floor" else closed_bin)(F.col("p"), bins))
@@ -97,14 +128,32 @@ def brier_parts(df: DataFrame, keys: list[str], bins: int = 15, mode: str = "ada
 def metric_bundle(df: DataFrame, keys: list[str], eps: float = 1e-7, bins: int = 15) -> DataFrame:
     """auroc, auprc, brier, log_loss, ece, aece, Brier parts, n_eval and prevalence of each group.
 
-    Scores are first held to [eps, 1 - eps].
+    Scores are first held to [eps, 1 - eps]. All values are functions of the counts of distinct scores, so rows shuffle
+    once; the bins come from the counts too, joined with each group's quantiles.
     """
-    df = df.withColumn("p", clip(F.col("p"), eps, 1 - eps))
-    plain = df.groupBy(*keys).agg(
-        brier().alias("brier"), log_loss(eps).alias("log_loss"), F.count("*").alias("n_eval"), F.avg("y").alias("prevalence")
+    counts = score_counts(df.withColumn("p", clip(F.col("p"), eps, 1 - eps)), keys)
+    p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
+    rows = F.sum(pos + neg)
+    whole = counts.groupBy(*keys).agg(
+        _area().alias("auroc"), _precision().alias("auprc"), (F.sum(pos * F.pow(1 - p, 2.0) + neg * F.pow(p, 2.0)) / rows).alias("brier"),
+        (F.sum(-pos * F.ln(p) - neg * F.ln(1 - p)) / rows).alias("log_loss"), rows.cast("long").alias("n_eval"), (F.sum("pos") / rows).alias("prevalence"),
+        _cuts(bins).alias("cuts"),
+    )
+    cells = counts.join(whole.select(*keys, "cuts"), keys).groupBy(*keys, quantile_bin(p, F.col("cuts")).alias("abin"), floor_bin(p, bins).alias("fbin"))
+    cells = cells.agg(F.sum(pos + neg).alias("n"), F.sum(p * (pos + neg)).alias("p_sum"), F.sum("pos").alias("pos"))
+    sums = [F.sum(c).alias(c) for c in ("n", "p_sum", "pos")]
+    gap = F.abs(F.col("pos") - F.col("p_sum"))
+    ece_ = cells.where((F.col("fbin") >= 0) & (F.col("fbin") < bins)).groupBy(*keys, "fbin").agg(*sums).groupBy(*keys).agg(F.sum(gap).alias("f_gap"))
+    p_mean, y_mean = F.col("p_sum") / F.col("n"), F.col("pos") / F.col("n")
+    adaptive = cells.groupBy(*keys, "abin").agg(*sums).join(whole.select(*keys, F.col("prevalence").alias("base")), keys).groupBy(*keys).agg(
+        F.sum(gap).alias("a_gap"), F.sum(F.col("n") * F.pow(p_mean - y_mean, 2.0)).alias("rel"), F.sum(F.col("n") * F.pow(y_mean - F.col("base"), 2.0)).alias("res")
     )
-    parts = [plain, auroc(df, keys), average_precision(df, keys), ece(df, keys, bins), ece(df, keys, bins, "adaptive", "aece"), brier_parts(df, keys, bins)]
-    return reduce(lambda a, b: a.join(b, keys), parts)
+    out = whole.join(ece_, keys, "left").join(adaptive, keys)
+    n, base = F.col("n_eval"), F.col("prevalence")
+    return out.select(
+        *keys, "auroc", "auprc", "brier", "log_loss", (F.coalesce("f_gap", F.lit(0.0)) / n).alias("ece"), (F.col("a_gap") / n).alias("aece"),
+        (F.col("rel") / n).alias("brier_rel"), (F.col("res") / n).alias("brier_res"), (base * (1 - base)).alias("brier_unc"), "n_eval", "prevalence",
+    )
 
 
 def pooled_curve(points: DataFrame, keys: list[str], over: str = "fold") -> DataFrame:
@@ -118,8 +167,9 @@ def pooled_curve(points: DataFrame, keys: list[str], over: str = "fold") -> Data
 
 def sensitivity_threshold(df: DataFrame, keys: list[str], target: float = 0.80) -> DataFrame:
     """thr: the quantile 1 - target of the positives' scores; 1 without positives."""
-    q = F.expr(f"percentile(CASE WHEN y = 1 THEN p END, {1 - target!r})")
-    return df.groupBy(*keys).agg(F.coalesce(q, F.lit(1.0)).alias("thr"))
+    counts = score_counts(df, keys)
+    thr = quantiles_of_counts([1 - target], F.col("pos"), F.col("pos_below"), F.col("all_pos"))[0]
+    return counts.groupBy(*keys).agg(F.coalesce(thr, F.lit(1.0)).alias("thr"))
 
 
 def confusion(df: DataFrame, keys: list[str], thr: str = "thr") -> DataFrame:

@@ -199,6 +199,33 @@ def closed_form_nb(train: DataFrame, test: DataFrame, by: list[str], num: list[s
     return rows.withColumn("p", logistic(like(1) - like(0))).select(*test.columns, "p")
 
 
+def held_out_nb(rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, smooth: float = 1e-9) -> DataFrame:
+    """by.., model, row_id, y, p of naive Bayes models, each on its columns, for all groups in one plan.
+
+    rows has fold: a row's p comes from the class means and variances of the other folds of its group, which are counted
+    once for all models. As in closed_form_nb(), `smooth` times the greatest variance is added to each.
+    """
+    cols = sorted({c for used in models.values() for c in used})
+    others = rows.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
+    at = [*by, "fold"]
+    moments = lambda p: [*[F.avg(c).alias(f"{p}a_{c}") for c in cols], *[F.var_pop(c).alias(f"{p}v_{c}") for c in cols]]
+    wide = others.groupBy(*at).agg(*[F.var_pop(c).alias(f"w_{c}") for c in cols])
+    per = others.groupBy(*at, "y").agg(F.count("*").alias("n"), *moments(""))
+    side = lambda k: per.where(F.col("y") == k).select(*at, *[F.col(c).alias(f"{c}_{k}") for c in ("n", *[f"{m}_{c}" for m in "av" for c in cols])])
+    stats = side(0).join(side(1), at).join(wide, at)
+
+    def like(used: list[str], k: int) -> Column:
+        more = smooth * F.greatest(*[F.col(f"w_{c}") for c in used], F.lit(0.0))
+        out = F.ln(F.col(f"n_{k}").cast("double"))
+        for c in used:
+            var = F.col(f"v_{c}_{k}") + more
+            out = out - 0.5 * F.ln(var) - F.pow(F.col(c) - F.col(f"a_{c}_{k}"), 2.0) / (2 * var)
+        return out
+
+    scores = F.array(*[F.struct(F.lit(name).alias("model"), logistic(like(used, 1) - like(used, 0)).alias("p")) for name, used in models.items()])
+    return rows.join(stats, at).select(*by, "row_id", "y", F.explode(scores).alias("s")).select(*by, "s.model", "row_id", "y", "s.p")
+
+
 def subsample_logistic(samples: DataFrame, by: list[str], num: list[str], steps: int = 12) -> DataFrame:
     """Logistic regression for each of many small samples: by.., row_id, y, p, fitted in the group's own task.
 

@@ -51,11 +51,25 @@ def class_targets(counts: DataFrame, by: list[str], n: int, floor: int = 2) -> D
 
 
 def stratified_subsample(df: DataFrame, by: list[str], n: int, runs: int = 1, floor: int = 2, seed: int = 42) -> DataFrame:
-    """`runs` subsamples of n rows of each group without replacement, with run_id; classes as class_targets() says."""
-    want = class_targets(df.groupBy(*by, "y").agg(F.count("*").alias("n")), by, n, floor)
-    many = df.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    ranked = hash_rank(many, [*by, "run_id", "y"], key("subsample", F.col("run_id"), F.col("row_id"), seed))
-    return ranked.join(want, [*by, "y"]).where(F.col("rank") <= F.col("want")).drop("rank", "want")
+    """`runs` subsamples of n rows of each group without replacement, with run_id; classes as class_targets() says.
+
+    Only rows whose hash lies under a bound, about where the wanted number ends and a wide margin beyond, are shuffled
+    and numbered. A run that the bound leaves short has all its rows numbered.
+    """
+    sizes = df.groupBy(*by, "y").agg(F.count("*").alias("n"))
+    want = class_targets(sizes, by, n, floor).join(sizes, [*by, "y"])
+    share = (F.col("want") + 12 * F.sqrt("want") + 20) / F.col("n")
+    want = want.select(*by, "y", "want", F.least(share, F.lit(1.0)).alias("__share"))
+    each = df.join(F.broadcast(want), [*by, "y"])
+    draw = key("subsample", F.col("run_id"), F.col("row_id"), seed)
+    near = each.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs)))).where(hash32(draw) < F.col("__share") * 2.0**32)
+    groups = want.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    held = near.groupBy(*by, "run_id", "y").agg(F.count("*").alias("__held"))
+    short = groups.join(held, [*by, "run_id", "y"], "left").where("coalesce(__held, 0) < want").select(*by, "y", "run_id")
+    near = near.join(F.broadcast(short), [*by, "run_id", "y"], "left_anti")
+    again = each.join(F.broadcast(short), [*by, "y"])
+    ranked = hash_rank(near.unionByName(again), [*by, "run_id", "y"], draw)
+    return ranked.where(F.col("rank") <= F.col("want")).select(*df.columns, "run_id")
 
 
 def safe_folds(df: DataFrame, by: list[str], desired: int) -> DataFrame:

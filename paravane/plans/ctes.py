@@ -49,6 +49,42 @@ def average_rank(by: str, value: str, desc: bool = True) -> str:
     return f"(rank() OVER ({part} ORDER BY {value} {'DESC' if desc else 'ASC'}) + (count(*) OVER ({ties}) - 1) / 2e0)"
 
 
+#: The naive Bayes models of the subsampling experiments: the columns that each one reads.
+NB_MODELS = {"nb_all": ["x1", "x2", "x3"], "nb_x1": ["x1"], "nb_x2": ["x2"], "nb_x3": ["x3"]}
+RUNS = 50
+
+SUBSAMPLE = """WITH c AS (SELECT y, count(*) AS n FROM labelled GROUP BY y), t AS (SELECT y, n, least(n, greatest(least(2, n), round({n}::DOUBLE * n / sum(n) OVER ()))) AS t FROM c),
+want AS (SELECT y, CASE WHEN row_number() OVER (ORDER BY n DESC, y) = 1 THEN greatest(0, least(n, t + least({n}, sum(n) OVER ()) - sum(t) OVER ())) ELSE t END AS want FROM t),
+r AS (SELECT g.run_id::INT AS run_id, row_id, y, row_number() OVER (PARTITION BY g.run_id, y ORDER BY {h}, row_id) AS rk FROM labelled, generate_series(1, {runs}) g(run_id))
+SELECT run_id, row_id, r.y FROM r JOIN want ON r.y = want.y WHERE rk <= want"""
+SUBSAMPLE_KEY = h32("'subsample|' || g.run_id || '|' || row_id || '|42'")
+
+
+def _nb_ctes() -> dict[str, str]:
+    """Held-out naive Bayes scores of all subsamples, and as run 0 of the whole table; then the AUROC of each run."""
+    cols = NB_MODELS["nb_all"]
+    stats = ", ".join(f"avg({c}) AS a_{c}, var_pop({c}) AS v_{c}" for c in cols)
+    scored = []
+    for name, used in NB_MODELS.items():
+        wide = f"1e-9 * greatest({', '.join(f'w_{c}' for c in used)}, 0e0)"
+        like = lambda t: f"ln({t}.n::DOUBLE) " + " ".join(f"- 0.5e0 * ln({t}.v_{c} + {wide}) - pow(r.{c} - {t}.a_{c}, 2) / (2 * ({t}.v_{c} + {wide}))" for c in used)
+        scored.append(
+            f"SELECT r.run_id, '{name}' AS model, r.row_id, r.y, 1 / (1 + exp(-(({like('s1')}) - ({like('s0')})))) AS p FROM nbrows r JOIN nbwide USING (run_id, fold) "
+            "JOIN nbfit s0 ON s0.run_id = r.run_id AND s0.fold = r.fold AND s0.y = 0 JOIN nbfit s1 ON s1.run_id = r.run_id AND s1.fold = r.fold AND s1.y = 1"
+        )
+    others = "FROM nbrows s, generate_series(1, 5) g(held) WHERE s.fold <> g.held GROUP BY ALL"
+    return {
+        "subruns": SUBSAMPLE.format(n=252, runs=RUNS, h=SUBSAMPLE_KEY),
+        "nbrows": f"""SELECT run_id, row_id, y, x1, x2, x3, ((row_number() OVER (PARTITION BY run_id, y ORDER BY {h32("'fold|1|' || row_id || '|42'")}, row_id) - 1) % 5 + 1)::INT AS fold
+  FROM (SELECT run_id, row_id, y FROM subruns UNION ALL SELECT 0 AS run_id, row_id, y FROM labelled) JOIN (SELECT row_id, x1, x2, x3 FROM labelled) USING (row_id)""",
+        "nbfit": f"SELECT run_id, g.held AS fold, y, count(*) AS n, {stats} {others}",
+        "nbwide": f"SELECT run_id, g.held AS fold, {', '.join(f'var_pop({c}) AS w_{c}' for c in cols)} {others}",
+        "nbscored": "\n  UNION ALL ".join(scored),
+        "nbarea": """SELECT run_id, model, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS auroc
+  FROM (SELECT *, rank() OVER (PARTITION BY run_id, model ORDER BY p) + (count(*) OVER (PARTITION BY run_id, model, p) - 1) / 2e0 AS rk FROM nbscored) GROUP BY ALL""",
+    }
+
+
 CTES = {
     "labelled": """SELECT o_orderkey AS row_id, (o_orderstatus = 'F')::INT AS y, o_totalprice::DOUBLE AS x1, c_acctbal::DOUBLE AS x2,
   c_nationkey::DOUBLE AS x3, o_orderpriority AS k1, c_mktsegment AS k2 FROM orders JOIN customer ON o_custkey = c_custkey""",
@@ -92,15 +128,16 @@ CTES = {
     "metric_long": f"UNPIVOT (SELECT {KEYS}, auroc, brier, log_loss, ece, aece FROM facts) ON auroc, brier, log_loss, ece, aece INTO NAME metric VALUE value",
     "metric_deltas": """SELECT f.model, f.world, f.fold, f.metric, f.value - d.value AS d FROM metric_long f JOIN metric_long d
   ON f.model = d.model AND f.world = d.world AND f.fold = d.fold AND f.metric = d.metric WHERE f.edition = 'full' AND d.edition = 'demo'""",
-    "thresholds": "SELECT edition, model, coalesce(quantile_cont(p, 1e0 - 0.8e0) FILTER (y = 1), 1e0) AS thr FROM predictions WHERE world = 'clean' AND fold <> 1 GROUP BY ALL",
+    "thresholds": """SELECT edition, model, g.held::INT AS fold, coalesce(quantile_cont(p, 1e0 - 0.8e0) FILTER (y = 1), 1e0) AS thr
+  FROM predictions, generate_series(1, 3) g(held) WHERE world = 'clean' AND fold <> g.held GROUP BY ALL""",
     "pi_ref": "SELECT avg(y) AS pi FROM labelled",
     "conf": """SELECT edition, model, fold, thr, count(*) FILTER (p >= thr AND y = 1) AS tp, count(*) FILTER (p >= thr AND y = 0) AS fp, count(*) FILTER (p < thr AND y = 0) AS tn,
-  count(*) FILTER (p < thr AND y = 1) AS fn FROM predictions JOIN thresholds USING (edition, model) WHERE world = 'clean' GROUP BY ALL""",
+  count(*) FILTER (p < thr AND y = 1) AS fn FROM predictions JOIN thresholds USING (edition, model, fold) WHERE world = 'clean' GROUP BY ALL""",
     "rates": "SELECT *, tp / nullif((tp + fn)::DOUBLE, 0) AS sens, tn / nullif((tn + fp)::DOUBLE, 0) AS spec, tp / nullif((tp + fp)::DOUBLE, 0) AS ppv FROM conf",
     "ppv_facts": "SELECT *, sens * pi / nullif(sens * pi + (1 - spec) * (1 - pi), 0) AS ppv_std FROM rates, pi_ref",
-    "run_scores": f"""SELECT run_id::INT AS run_id, model, auroc + 0.1e0 * ({u("'run|' || run_id || '|' || model")} - 0.5e0) AS value
-  FROM (SELECT model, avg(auroc) AS auroc FROM facts WHERE edition = 'full' AND world = 'clean' GROUP BY ALL), generate_series(1, 50) g(run_id)""",
-    "ref_scores": "SELECT model, avg(auroc) AS value FROM facts WHERE edition = 'full' AND world = 'clean' GROUP BY ALL",
+    **_nb_ctes(),
+    "run_scores": "SELECT run_id, model, auroc AS value FROM nbarea WHERE run_id > 0",
+    "ref_scores": "SELECT model, auroc AS value FROM nbarea WHERE run_id = 0",
     "costs": "SELECT edition, model, fold, n_eval / 1000e0 AS time_fit, auroc * 10 AS time_pred, CASE WHEN model = 'model_a' THEN brier * 100 END AS time_attr, n_eval / 1000e0 + auroc * 10 AS time_total FROM facts WHERE world = 'clean'",
 }
 

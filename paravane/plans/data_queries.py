@@ -16,7 +16,7 @@ from paravane.sources import editions as src
 from paravane.sources.editions import CATEGORICAL as CAT
 from paravane.sources.editions import NUMERIC as NUM
 
-from .ctes import EDGES15, arr, binned, h32, lit, normal as sql_normal, student3, u
+from .ctes import EDGES15, SUBSAMPLE, SUBSAMPLE_KEY, arr, binned, h32, lit, normal as sql_normal, student3, u
 from .registry import query
 
 X = "x1 x2 x3"
@@ -207,19 +207,12 @@ def d1_stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
     return s.stratified_folds(src.editions(spark, sf).select("edition", "row_id", "y"), ["edition"], 5, 3)
 
 
-_D4 = """WITH c AS (SELECT y, count(*) AS n FROM labelled GROUP BY y), t AS (SELECT y, n, least(n, greatest(least(2, n), round({n}::DOUBLE * n / sum(n) OVER ()))) AS t FROM c),
-want AS (SELECT y, CASE WHEN row_number() OVER (ORDER BY n DESC, y) = 1 THEN greatest(0, least(n, t + least({n}, sum(n) OVER ()) - sum(t) OVER ())) ELSE t END AS want FROM t),
-r AS (SELECT g.run_id::INT AS run_id, row_id, y, row_number() OVER (PARTITION BY g.run_id, y ORDER BY {h}, row_id) AS rk FROM labelled, generate_series(1, {runs}) g(run_id))
-SELECT run_id, row_id, r.y FROM r JOIN want ON r.y = want.y WHERE rk <= want"""
-_SUB = h32("'subsample|' || g.run_id || '|' || row_id || '|42'")
-
-
-@query(_D4.format(n=252, runs=1, h=_SUB))
+@query(SUBSAMPLE.format(n=252, runs=1, h=SUBSAMPLE_KEY))
 def d4_stratified_subsample(spark: SparkSession, sf: str) -> DataFrame:
     return s.stratified_subsample(src.labelled(spark, sf).select("row_id", "y"), [], 252, 1)
 
 
-@query(_D4.format(n=252, runs=10, h=_SUB))
+@query(SUBSAMPLE.format(n=252, runs=10, h=SUBSAMPLE_KEY))
 def d5_repeated_subsamples(spark: SparkSession, sf: str) -> DataFrame:
     return s.stratified_subsample(src.labelled(spark, sf).select("row_id", "y"), [], 252, 10)
 

@@ -111,7 +111,7 @@ def f12_headline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT * FROM thresholds", "thr")
 def f13_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.sensitivity_threshold(clean(spark, sf).where("fold <> 1"), EM, 0.8)
+    return v.fold_thresholds(spark, sf)
 
 
 @query("SELECT edition, model, fold, tp, fp, tn, fn, sens, spec, ppv FROM rates", "sens spec ppv")
@@ -312,7 +312,7 @@ def i3_mean_absolute(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _WATTR = "wattr AS (" + " UNION ALL ".join(
-    f"SELECT '{wd}' AS world, row_id, '{c}' AS feature, {lit(w)} * ({c} - (SELECT avg({c}) FROM labelled)) * {f} AS value FROM labelled WHERE row_id % 7 = 0"
+    f"SELECT '{wd}' AS world, row_id, '{c}' AS feature, {lit(w)} * ({c} - (SELECT avg({c}) FROM labelled)) * {f} AS value FROM labelled"
     for wd, f in (("clean", "1e0"), ("noise", f"({u("'wobble|' || row_id")} + 0.2e0)"), ("turn", "(CASE WHEN row_id % 3 = 0 THEN -1e0 ELSE 0.5e0 END)")) for c, w in COEF.items()
 ) + ")"
 
@@ -642,10 +642,10 @@ def n5_topk_features(spark: SparkSession, sf: str) -> DataFrame:
     return _attr(spark, sf).withColumn("pos", F.row_number().over(w)).where("pos <= 2").select("row_id", "feature", "value", "pos")
 
 
-@query("SELECT edition, count(*) AS n, sum(n)::BIGINT AS rws FROM curve WHERE fold = 1 GROUP BY ALL UNION ALL SELECT edition, count(*), sum(n)::BIGINT FROM curve WHERE fold = 2 GROUP BY ALL")
+@query("SELECT edition, count(*) AS n, sum(n)::BIGINT AS rws FROM curve WHERE fold = 1 GROUP BY ALL UNION ALL SELECT edition, count(*), sum(n)::BIGINT FROM curve WHERE fold = 2 GROUP BY ALL UNION ALL SELECT edition, count(*), sum(n)::BIGINT FROM curve WHERE fold = 3 GROUP BY ALL")
 def o1_union_curves(spark: SparkSession, sf: str) -> DataFrame:
     points = mt.curve(src.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
-    return cmp.stacked([points.where(F.col("fold") == k).groupBy("edition").agg(F.count("*").alias("n"), F.sum("n").alias("rws")) for k in (1, 2)])
+    return cmp.stacked([points.where(F.col("fold") == k).groupBy("edition").agg(F.count("*").alias("n"), F.sum("n").alias("rws")) for k in (1, 2, 3)])
 
 
 @query("SELECT DISTINCT model, row_id FROM predictions WHERE edition = 'demo' AND p > 0.5 INTERSECT SELECT DISTINCT model, row_id FROM predictions WHERE edition = 'full' AND y = 1")

@@ -9,8 +9,12 @@ from pyspark.sql import types as T
 from paravane.functions.draws import uniform
 from paravane.operators.compare import deltas, edition_join, long_form
 from paravane.operators.composite import components, composite
-from paravane.operators.metrics import confusion, decision_rates, metric_bundle, sensitivity_threshold
-from paravane.sources.editions import predictions
+from paravane.operators.metrics import auroc, confusion, decision_rates, metric_bundle, sensitivity_threshold
+from paravane.operators.models import held_out_nb
+from paravane.operators.sampling import stratified_folds, stratified_subsample
+from paravane.sources.editions import labelled, predictions
+
+from .ctes import NB_MODELS, RUNS
 
 KEYS = ["edition", "model", "world", "severity", "fold"]
 METRICS = ["auroc", "brier", "log_loss", "ece", "aece"]
@@ -58,27 +62,39 @@ def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas(joined, [], ["value"]).select("model", "world", "fold", "metric", F.col("delta_value").alias("d"))
 
 
+def fold_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """thr by edition, model and fold: the positives of the other folds at a sensitivity of 0.8."""
+    clean = predictions(spark, sf_dir).where("world = 'clean'").drop("world", "severity")
+    held = clean.select(F.col("fold").alias("held")).distinct()
+    others = clean.crossJoin(F.broadcast(held)).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
+    return sensitivity_threshold(others, ["edition", "model", "fold"], 0.8)
+
+
 def ppv_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion counts and rates by edition, model and fold; thresholds from the other folds' positives, shared prevalence."""
     clean = predictions(spark, sf_dir).where("world = 'clean'").drop("world", "severity")
     pi = clean.where("edition = 'full' AND model = 'model_a'").agg(F.avg("y").alias("pi"))
     test = clean.crossJoin(F.broadcast(pi))
-    held = clean.select(F.col("fold").alias("held")).distinct()
-    others = clean.crossJoin(F.broadcast(held)).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
-    thr = sensitivity_threshold(others, ["edition", "model", "fold"], 0.8)
-    test = test.join(thr, ["edition", "model", "fold"], "left").withColumn("thr", F.coalesce("thr", F.lit(1.0)))
+    test = test.join(fold_thresholds(spark, sf_dir), ["edition", "model", "fold"], "left").withColumn("thr", F.coalesce("thr", F.lit(1.0)))
     out = confusion(test, ["edition", "model", "fold", "thr", "pi"])
     return decision_rates(out, F.col("pi"))
 
 
+def held_out_areas(rows: DataFrame) -> DataFrame:
+    """AUROC of the naive Bayes models by run_id: rows(run_id, fold, row_id, y, columns), a row's score from the other folds."""
+    return auroc(held_out_nb(rows, ["run_id"], NB_MODELS, 5), ["run_id", "model"], "value")
+
+
 def reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).where("edition = 'full' AND world = 'clean'").groupBy("model").agg(F.avg("auroc").alias("value"))
+    """Held-out AUROC of each model over all labelled rows."""
+    rows = stratified_folds(labelled(spark, sf_dir), [], 5, 1).withColumn("run_id", F.lit(0))
+    return held_out_areas(rows).select("model", "value")
 
 
-def run_scores(spark: SparkSession, sf_dir: str, runs: int = 50) -> DataFrame:
-    """Stand-in for metrics of many subsamples: the full edition's value with a keyed wobble."""
-    many = reference_scores(spark, sf_dir).withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    return many.select("run_id", "model", (F.col("value") + 0.1 * (uniform("run", F.col("run_id"), F.col("model")) - 0.5)).alias("value"))
+def run_scores(spark: SparkSession, sf_dir: str, runs: int = RUNS) -> DataFrame:
+    """Held-out AUROC of each model in each of many subsamples of 252 rows, a small table that is kept while it is read again."""
+    rows = stratified_folds(stratified_subsample(labelled(spark, sf_dir), [], 252, runs), ["run_id"], 5, 1)
+    return held_out_areas(rows.persist())
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
