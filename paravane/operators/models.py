@@ -18,6 +18,7 @@ from paravane.functions.scalars import logistic
 
 from .metrics import metric_bundle
 from .sampling import stratified_folds
+from .worlds import all_worlds
 
 
 def median_imputed(df: DataFrame, fit: DataFrame, cols: list[str]) -> DataFrame:
@@ -88,32 +89,40 @@ def fourier(df: DataFrame, dims: int, width: int, gamma: float, seed: int = 42)
     return df.withColumn("features", array_to_vector(F.array(*out)))
 
 
-def hashed_cuts(df: DataFrame, width: int, bins: int = 8, seed: int = 42) -> DataFrame:
-    """Each feature as the number of keyed random cut points below it: splits of a forest on them are random cuts."""
-    spark = df.sparkSession
+def hashed_cuts(train: DataFrame, width: int, bins: int = 8, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+    """Each feature as the number of keyed random cut points below it: splits of a forest on them are random cuts.
+
+    The cut points lie between the ends of train's features and are the same for every table that the step is given.
+    """
+    spark = train.sparkSession
     x = vector_to_array("features")
-    ends = df.select(x.alias("x")).agg(*[F.min(F.col("x")[i]).alias(f"lo{i}") for i in range(width)], *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(width)]).first()
+    ends = train.select(x.alias("x")).agg(*[F.min(F.col("x")[i]).alias(f"lo{i}") for i in range(width)], *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(width)]).first()
     draws = [r.u for r in spark.range(width * bins).select(uniform("cut", F.col("id"), seed).alias("u")).collect()]
     out = []
     for i in range(width):
         lo, hi = ends[f"lo{i}"] or 0.0, ends[f"hi{i}"] or 0.0
         cuts = sorted(lo + (hi - lo) * u for u in draws[i * bins : (i + 1) * bins])
         out.append(sum([F.when(x[i] > c, 1.0).otherwise(0.0) for c in cuts], F.lit(0.0)))
-    return df.withColumn("features", array_to_vector(F.array(*out)))
+    return lambda df: df.withColumn("features", array_to_vector(F.array(*out)))
+
 
+def estimators(
+    n_rows: int, width: int, trees: int = 20, rounds: int = 20, depth: int = 6, layers: tuple[int, ...] = (16, 8), steps: int = 50
+) -> dict[str, tuple[Callable, Callable | None]]:
+    """name → (estimator, None or a function of the training table that gives an extra feature step).
 
-def estimators(n_rows: int, width: int, trees: int = 20, rounds: int = 20) -> dict[str, tuple[Callable, Callable | None]]:
-    """name → (estimator, extra feature step or None). Tree counts are parameters, as are boosting rounds."""
+    Sizes are parameters: trees and depth of forests, boosting rounds, hidden layers of the perceptron and its steps.
+    """
     common = {"labelCol": "y", "featuresCol": "features"}
-    forest = {"numTrees": trees, "maxDepth": 6, "seed": 42, "weightCol": "weight", **common}
+    forest = {"numTrees": trees, "maxDepth": depth, "seed": 42, "weightCol": "weight", **common}
     return {
         "logistic_l2": (lambda: LogisticRegression(regParam=1 / max(1, n_rows), elasticNetParam=0.0, standardization=False, maxIter=100, **common), None),
         "logistic_balanced": (lambda: LogisticRegression(regParam=1 / max(1, n_rows), elasticNetParam=0.0, standardization=False, maxIter=100, weightCol="weight", **common), None),
         "random_forest": (lambda: RandomForestClassifier(**forest), None),
-        "extra_trees": (lambda: RandomForestClassifier(bootstrap=False, featureSubsetStrategy="sqrt", **forest), lambda d: hashed_cuts(d, width)),
+        "extra_trees": (lambda: RandomForestClassifier(bootstrap=False, featureSubsetStrategy="sqrt", **forest), lambda train: hashed_cuts(train, width)),
         "gradient_boosting": (lambda: GBTClassifier(maxIter=rounds, stepSize=0.03, maxDepth=3, seed=42, **common), None),
-        "svc_rbf": (lambda: LinearSVC(maxIter=50, regParam=1 / max(1, n_rows), weightCol="weight", **common), lambda d: fourier(d, 128, width, 1 / width)),
-        "mlp": (lambda: MultilayerPerceptronClassifier(layers=[width, 16, 8, 2], maxIter=50, seed=42, **common), None),
+        "svc_rbf": (lambda: LinearSVC(maxIter=50, regParam=1 / max(1, n_rows), weightCol="weight", **common), lambda _: lambda d: fourier(d, 128, width, 1 / width)),
+        "mlp": (lambda: MultilayerPerceptronClassifier(layers=[width, *layers, 2], maxIter=steps, seed=42, **common), None),
         "gaussian_nb": (lambda: NaiveBayes(modelType="gaussian", **common), None),
     }
 
@@ -125,17 +134,26 @@ def positive_probability(scored: DataFrame) -> Column:
     return logistic(vector_to_array("rawPrediction")[1])
 
 
-def fit_score(train: DataFrame, test: DataFrame, name: str, num: list[str], cat: list[str], **sizes) -> DataFrame:
-    """test's rows with p from the named model fitted on train."""
+def fitted(train: DataFrame, name: str, num: list[str], cat: list[str], **sizes) -> Callable[[DataFrame], DataFrame]:
+    """The named model fitted on train: a function that adds p to a table with the same columns."""
     prep = Prepared(train, num, cat)
     made = balanced(prep(train)).persist()
     first = made.select("features").first()
     make, extra = estimators(made.count(), len(first.features), **sizes)[name]
-    step = extra or (lambda d: d)
+    step = extra(made) if extra else lambda d: d
     model = make().fit(step(made))
     made.unpersist()
-    scored = model.transform(step(prep(test)))
-    return scored.select(*test.columns, positive_probability(scored).alias("p"))
+
+    def score(df: DataFrame) -> DataFrame:
+        scored = model.transform(step(prep(df)))
+        return scored.select(*df.columns, positive_probability(scored).alias("p"))
+
+    return score
+
+
+def fit_score(train: DataFrame, test: DataFrame, name: str, num: list[str], cat: list[str], **sizes) -> DataFrame:
+    """test's rows with p from the named model fitted on train."""
+    return fitted(train, name, num, cat, **sizes)(test)
 
 
 def out_of_fold(df: DataFrame, name: str, num: list[str], cat: list[str], folds: int = 3, seed: int = 42, **sizes) -> DataFrame:
@@ -155,14 +173,15 @@ def inner_scores(train: DataFrame, name: str, num: list[str], cat: list[str], fo
     return full.join(inner, "row_id", "left").withColumn("p", F.coalesce("p_oof", "p")).drop("p_oof")
 
 
-def calibrated(train: DataFrame, test: DataFrame, name: str, num: list[str], cat: list[str], method: str = "sigmoid", folds: int = 3, seed: int = 42) -> DataFrame:
+def calibrated(train: DataFrame, test: DataFrame, name: str, num: list[str], cat: list[str], method: str = "sigmoid", folds: int = 3, seed: int = 42, **sizes) -> DataFrame:
     """test's rows with p averaged over inner folds: fitted on the rest, calibrated on the fold by sigmoid or isotonic."""
     tagged = stratified_folds(train, [], folds, 1, seed).drop("repeat")
     parts = None
     for k in range(1, folds + 1):
         fit, held = tagged.where(F.col("fold") != k), tagged.where(F.col("fold") == k)
         margin = lambda d: d.withColumn("m", F.ln((F.col("p") + 1e-6) / (1 - F.col("p") + 1e-6)))
-        on, to = margin(fit_score(fit, held, name, num, cat)), margin(fit_score(fit, test, name, num, cat))
+        score = fitted(fit, name, num, cat, **sizes)
+        on, to = margin(score(held)), margin(score(test))
         if method == "sigmoid":
             make = VectorAssembler(inputCols=["m"], outputCol="mv")
             model = LogisticRegression(featuresCol="mv", labelCol="y").fit(make.transform(on.select("m", "y")))
@@ -199,17 +218,22 @@ def closed_form_nb(train: DataFrame, test: DataFrame, by: list[str], num: list[s
     return rows.withColumn("p", logistic(like(1) - like(0))).select(*test.columns, "p")
 
 
-def held_out_nb(rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, smooth: float = 1e-9) -> DataFrame:
-    """by.., model, row_id, y, p of naive Bayes models, each on its columns, for all groups in one plan.
+def held_out_nb(
+    rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, smooth: float = 1e-9, test: DataFrame | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """by.., keep.., model, row_id, y, p of naive Bayes models, each on its columns, for all groups in one plan.
 
     rows has fold: a row's p comes from the class means and variances of the other folds of its group, which are counted
-    once for all models. As in closed_form_nb(), `smooth` times the greatest variance is added to each.
+    once for all models. As in closed_form_nb(), `smooth` times the greatest variance is added to each. Where test is
+    given, its rows are scored in place of rows, each with its fold; a null there counts as the median of the other folds
+    (approximate beyond 10,000 values, in bounded memory).
     """
     cols = sorted({c for used in models.values() for c in used})
     others = rows.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
     at = [*by, "fold"]
     moments = lambda p: [*[F.avg(c).alias(f"{p}a_{c}") for c in cols], *[F.var_pop(c).alias(f"{p}v_{c}") for c in cols]]
-    wide = others.groupBy(*at).agg(*[F.var_pop(c).alias(f"w_{c}") for c in cols])
+    medians = [F.percentile_approx(c, 0.5, 10_000).alias(f"med_{c}") for c in cols] if test is not None else []
+    wide = others.groupBy(*at).agg(*[F.var_pop(c).alias(f"w_{c}") for c in cols], *medians)
     per = others.groupBy(*at, "y").agg(F.count("*").alias("n"), *moments(""))
     side = lambda k: per.where(F.col("y") == k).select(*at, *[F.col(c).alias(f"{c}_{k}") for c in ("n", *[f"{m}_{c}" for m in "av" for c in cols])])
     stats = side(0).join(side(1), at).join(wide, at)
@@ -223,7 +247,21 @@ def held_out_nb(rows: DataFrame, by: list[str], models: dict[str, list[str]], fo
         return out
 
     scores = F.array(*[F.struct(F.lit(name).alias("model"), logistic(like(used, 1) - like(used, 0)).alias("p")) for name, used in models.items()])
-    return rows.join(stats, at).select(*by, "row_id", "y", F.explode(scores).alias("s")).select(*by, "s.model", "row_id", "y", "s.p")
+    scored = (rows if test is None else test).join(stats, at)
+    if test is not None:
+        scored = scored.withColumns({c: F.coalesce(c, f"med_{c}") for c in cols})
+    kept = [*by, *keep]
+    return scored.select(*kept, "row_id", "y", F.explode(scores).alias("s")).select(*kept, "s.model", "row_id", "y", "s.p")
+
+
+def held_out_in_worlds(rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, num: list[str], cat: list[str], seed: int = 42) -> DataFrame:
+    """by.., world, severity, fold, model, row_id, y, p: models fitted without a fold, applied to that fold in each world.
+
+    rows has fold. Each fold of each group is perturbed by its own statistics; the models see clean rows only. All groups,
+    folds, worlds and models come out of one plan.
+    """
+    tests = all_worlds(rows, [*by, "fold"], num, cat, seed)
+    return held_out_nb(rows, by, models, folds, test=tests, keep=("world", "severity", "fold"))
 
 
 def subsample_logistic(samples: DataFrame, by: list[str], num: list[str], steps: int = 12) -> DataFrame:

@@ -84,6 +84,12 @@ def b13_finite_filter(spark: SparkSession, sf: str) -> DataFrame:
     return r.where(finite(F.col("ratio")))
 
 
+@query("SELECT edition, model, world, count(*) AS n, avg(p) AS p FROM predictions WHERE model IN ('model_a', 'model_d') AND world NOT IN ('clean', 'label_noise') GROUP BY ALL", "p")
+def b14_membership_filter(spark: SparkSession, sf: str) -> DataFrame:
+    kept = src.predictions(spark, sf).where(F.col("model").isin("model_a", "model_d") & ~F.col("world").isin("clean", "label_noise"))
+    return kept.groupBy("edition", "model", "world").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
+
+
 _NOISE = {c: f"{c} + {sql_normal(f"'noise|{c}|' || row_id || '|42'")} * 0.2e0 * sd_{c}" for c in NUM}
 _STATS = "stats AS (SELECT " + ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS sd_{c}, min({c}) AS min_{c}" for c in NUM) + ", quantile_cont(x1, 0.75) AS q75, count(*) AS n FROM labelled)"
 
@@ -186,10 +192,11 @@ def c12_label_noise(spark: SparkSession, sf: str) -> DataFrame:
     return w.label_noise(src.labelled(spark, sf), [], NUM)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', {s}::INT)" for n, k, _, s in w.CATALOGUE) + ") v(name, kind, severity)")
+@query("SELECT v.*, (SELECT count(*) FROM labelled) AS n FROM (VALUES " + ", ".join(f"('{n}', '{k}', {s}::INT)" for n, k, _, s in w.CATALOGUE) + ") v(name, kind, severity)")
 def c13_world_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    used = w.all_worlds(src.labelled(spark, sf), [], NUM, CAT).groupBy(F.col("world").alias("name")).agg(F.first("severity").alias("s"))
-    return w.catalogue(spark).join(used.select("name"), "name").select("name", "kind", "severity")
+    """The catalogue with the rows that each world has; a world that replaces rows keeps their number."""
+    used = w.all_worlds(src.labelled(spark, sf), [], NUM, CAT).groupBy(F.col("world").alias("name"), "severity").agg(F.count("*").alias("n"))
+    return w.catalogue(spark).join(used, ["name", "severity"]).select("name", "kind", "severity", "n")
 
 
 @query()
@@ -245,7 +252,7 @@ def e3_mode_imputation(spark: SparkSession, sf: str) -> DataFrame:
     return m.mode_imputed(rows, rows, ["k2"])
 
 
-@query()
+@query("SELECT k1, (k1 <> '1-URGENT')::INT::DOUBLE AS ones, count(*) AS n FROM labelled GROUP BY k1")
 def e4_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
@@ -255,13 +262,18 @@ def e4_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("k1").agg(F.max(F.aggregate(vector_to_array("k1_o"), F.lit(0.0), lambda a, b: a + b)).alias("ones"), F.count("*").alias("n"))
 
 
-@query()
+_CODES = "codes AS (SELECT 1 AS f, k1 AS v, count(*) AS k FROM labelled GROUP BY k1 UNION ALL SELECT 2, k2, count(*) FROM labelled GROUP BY k2), shares AS (SELECT row_number() OVER (ORDER BY f, codes.k DESC, v) AS r, codes.k / sum(codes.k) OVER (PARTITION BY f) AS s FROM codes)"
+_SCALED = " UNION ALL ".join(f"SELECT {i} AS i, round(avg(({c} - avg_{c}) / sd_{c}), 6) + 0e0 AS mean, stddev_pop(({c} - avg_{c}) / sd_{c}) AS sd FROM labelled, stats" for i, c in enumerate(NUM))
+
+
+@query(f"WITH {_STATS}, {_CODES} {_SCALED} UNION ALL SELECT (r + {len(NUM) - 1})::INT, s, sqrt(s * (1 - s)) FROM shares", "mean sd")
 def e5_preprocessor(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and deviation of each prepared feature: scaled numbers, then codes of categories, the frequent ones first."""
     from pyspark.ml.functions import vector_to_array
 
     rows = src.labelled(spark, sf)
     out = m.Prepared(rows, NUM, CAT)(rows).select(F.posexplode(vector_to_array("features")).alias("i", "v"))
-    return out.groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    return out.groupBy("i").agg((F.round(F.avg("v"), 6) + 0.0).alias("mean"), F.stddev_pop("v").alias("sd"))
 
 
 def _fitted(name: str):
@@ -288,16 +300,26 @@ def e12_closed_form_nb(spark: SparkSession, sf: str) -> DataFrame:
     return m.closed_form_nb(rows, rows, [], ["x1", "x2"]).select("row_id", "y", "p")
 
 
-@query()
-def e13_calibration(spark: SparkSession, sf: str) -> DataFrame:
+def _calibrated(spark: SparkSession, sf: str, name: str, methods: tuple[str, ...]) -> DataFrame:
+    """Every labelled row scored by the calibrated model of the other of two folds."""
     rows = s.stratified_folds(src.labelled(spark, sf), [], 2, 1).drop("repeat")
     out = []
     for k in (1, 2):
         train, test = rows.where(F.col("fold") != k).drop("fold"), rows.where(F.col("fold") == k).drop("fold")
-        out += [m.calibrated(train, test, "logistic_l2", NUM, CAT, how, 2).withColumn("method", F.lit(how)) for how in ("sigmoid", "isotonic")]
+        out += [m.calibrated(train, test, name, NUM, CAT, how, 2).withColumn("method", F.lit(how)) for how in methods]
     return reduce(DataFrame.unionByName, out).select("method", "row_id", "y", "p")
 
 
+@query()
+def e13_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    return _calibrated(spark, sf, "logistic_l2", ("sigmoid", "isotonic"))
+
+
+@query()
+def e10_e13_calibrated_svc(spark: SparkSession, sf: str) -> DataFrame:
+    return _calibrated(spark, sf, "svc_rbf", ("sigmoid",))
+
+
 @query()
 def e14_positive_probability(spark: SparkSession, sf: str) -> DataFrame:
     rows = src.labelled(spark, sf)

@@ -183,10 +183,14 @@ def g4_ppv_summary(spark: SparkSession, sf: str) -> DataFrame:
 _TSTAT = "avg(d) / nullif(stddev_samp(d) / sqrt(count(d)), 0)"
 
 
-@query(f"WITH pm AS (SELECT metric, model, avg(d) AS d, abs({_TSTAT}) > 2 AS big FROM metric_deltas GROUP BY ALL) SELECT metric, count(DISTINCT model) AS n_models, avg(d) AS mean, median(d) AS median, count(*) FILTER (big) AS n_large FROM pm GROUP BY metric", "mean median")
+# The two-sided 5 % points of Student's t for 1 to 12 degrees of freedom, from the usual table.
+T_POINTS = [12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622, 2.2281, 2.2010, 2.1788]
+
+
+@query(f"WITH pm AS (SELECT metric, model, avg(d) AS d, abs({_TSTAT}) > {arr(T_POINTS)}[count(d) - 1] AS big FROM metric_deltas GROUP BY ALL) SELECT metric, count(DISTINCT model) AS n_models, avg(d) AS mean, median(d) AS median, count(*) FILTER (big) AS n_significant FROM pm GROUP BY metric", "mean median")
 def g5_metric_summary(spark: SparkSession, sf: str) -> DataFrame:
     t = st.paired_t(v.metric_deltas(spark, sf), ["metric", "model"], "d")
-    return t.groupBy("metric").agg(F.count_distinct("model").alias("n_models"), F.avg("mean_delta").alias("mean"), F.median("mean_delta").alias("median"), F.count_if(F.abs("t_stat") > 2).alias("n_large"))
+    return t.groupBy("metric").agg(F.count_distinct("model").alias("n_models"), F.avg("mean_delta").alias("mean"), F.median("mean_delta").alias("median"), F.count_if(st.t_pvalue(F.col("t_stat"), F.col("n")) < 0.05).alias("n_significant"))
 
 
 @query("SELECT f.model, f.E AS E_full, d.E AS E_demo, f.E - d.E AS delta_E FROM summary f JOIN summary d USING (model) WHERE f.edition = 'full' AND d.edition = 'demo'", "E_full E_demo delta_E")
@@ -215,6 +219,17 @@ def g10_model_world_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return v.facts(spark, sf).groupBy(*EM).pivot("world", src.WORLDS).agg(F.avg("auroc"))
 
 
+@query()
+def f12_fitted_in_worlds(spark: SparkSession, sf: str) -> DataFrame:
+    """Models × worlds × folds × editions: fitted, perturbed, scored and measured in one plan."""
+    return v.world_facts(spark, sf)
+
+
+@query()
+def h6_h9_fitted_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return v.fitted_ranking(spark, sf)
+
+
 COMP = "R Q_label S_drop S_ratio C_exp C_linear"
 
 
@@ -353,7 +368,14 @@ def i6_topk_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.jaccard_top(_means(spark, sf), ["world"], "feature", "ma", "m0", 2)
 
 
-@query()
+_BUNDLE = f"""WITH {_MEANS}, rw AS (SELECT world, row_id, sum(value * v0) / nullif(sqrt(sum(value * value) * sum(v0 * v0)), 0) AS c FROM pr GROUP BY ALL), cs AS (SELECT world, (avg(c) + 1) / 2 AS cosine FROM rw GROUP BY ALL),
+rk AS (SELECT world, {average_rank('world', 'ma')} AS ra, {average_rank('world', 'm0')} AS rb FROM ms), sp AS (SELECT world, (coalesce(corr(ra, rb), 0) + 1) / 2 AS agree FROM rk GROUP BY ALL),
+fl AS (SELECT world, row_number() OVER (PARTITION BY world ORDER BY abs(ma) DESC, feature) <= 2 AS ia, row_number() OVER (PARTITION BY world ORDER BY abs(m0) DESC, feature) <= 2 AS ib FROM ms),
+jc AS (SELECT world, count(*) FILTER (ia AND ib) / nullif(count(*) FILTER (ia OR ib)::DOUBLE, 0) AS jaccard FROM fl GROUP BY ALL)
+SELECT 'linear' AS model, avg(cosine) AS E_cos, avg(agree) AS E_rank, avg(jaccard) AS E_jaccard, (avg(cosine) + avg(agree) + avg(jaccard)) / 3 AS E_mix FROM cs JOIN sp USING (world) JOIN jc USING (world)"""
+
+
+@query(_BUNDLE, "E_cos E_rank E_jaccard E_mix")
 def i7_stability_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return at.stability(_wattr(spark, sf).withColumn("model", F.lit("linear")), ["model"], "clean", 2)
 
@@ -364,9 +386,14 @@ def i8_top_feature_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return at.top_feature_pairs(_attr(spark, sf), values, ["edition"])
 
 
+def _importance(rows: DataFrame) -> DataFrame:
+    """Importance of each feature to a class-balanced logistic model of the rows, ten repeats."""
+    return at.permutation_importance(rows, NUM, m.fitted(rows, "logistic_balanced", NUM, []), 10)
+
+
 @query()
 def i9_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return at.permutation_importance(src.labelled(spark, sf).select("row_id", "y", *NUM), NUM, _formula, 3)
+    return _importance(src.labelled(spark, sf).select("row_id", "y", *NUM))
 
 
 @query(f"WITH {_WATTR}, a AS (SELECT feature, avg(abs(value)) AS va FROM wattr WHERE world = 'noise' GROUP BY ALL), b AS (SELECT feature, avg(abs(value)) AS vb FROM wattr WHERE world = 'clean' GROUP BY ALL), rk AS (SELECT {average_rank('', 'va')} AS ra, {average_rank('', 'vb')} AS rb FROM a JOIN b USING (feature)) SELECT corr(ra, rb) AS spearman FROM rk", "spearman")
@@ -595,9 +622,8 @@ def m17_n4_decision_stability(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def m18_importance_stability(spark: SparkSession, sf: str) -> DataFrame:
     rows = src.labelled(spark, sf).select("row_id", "y", *NUM)
-    base = at.permutation_importance(rows, NUM, _formula, 2)
-    runs = [at.permutation_importance(stratified_subsample(rows, [], 252, 1, seed=42 + r).drop("run_id"), NUM, _formula, 2).withColumn("run_id", F.lit(r)) for r in range(3)]
-    return at.importance_agreement(cmp.stacked(runs), base, ["run_id"])
+    runs = [_importance(stratified_subsample(rows, [], 252, 1, seed=42 + r).drop("run_id").persist()).withColumn("run_id", F.lit(r)) for r in range(3)]
+    return at.importance_agreement(cmp.stacked(runs), _importance(rows), ["run_id"])
 
 
 _M19 = "ppvl AS (UNPIVOT (SELECT edition, model, fold, sens, spec, ppv, ppv_std FROM ppv_facts) ON sens, spec, ppv, ppv_std INTO NAME metric VALUE value), pd AS (SELECT f.model, f.metric, f.fold, f.value AS vf, d.value AS vd, f.value - d.value AS d FROM ppvl f JOIN ppvl d USING (model, metric, fold) WHERE f.edition = 'full' AND d.edition = 'demo')"

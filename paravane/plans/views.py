@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 
 from paravane.functions.draws import uniform
 from paravane.operators.compare import deltas, edition_join, long_form
-from paravane.operators.composite import components, composite
+from paravane.operators.composite import components, composite, final_ranking
 from paravane.operators.metrics import auroc, confusion, decision_rates, metric_bundle, sensitivity_threshold
-from paravane.operators.models import held_out_nb
+from paravane.operators.models import held_out_in_worlds, held_out_nb
 from paravane.operators.sampling import stratified_folds, stratified_subsample
-from paravane.sources.editions import labelled, predictions
+from paravane.sources.editions import CATEGORICAL, FOLDS, NUMERIC, editions, labelled, predictions, scratch_path, write_table
 
 from .ctes import NB_MODELS, RUNS
 
@@ -85,6 +85,33 @@ def held_out_areas(rows: DataFrame) -> DataFrame:
     return auroc(held_out_nb(rows, ["run_id"], NB_MODELS, 5), ["run_id", "model"], "value")
 
 
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read several times and costly to make again."""
+    path = scratch_path(df.sparkSession, tag)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def world_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics by edition, model, world, severity and fold of fitted models.
+
+    Each fold is perturbed as each of the ten worlds and scored by models of the other folds. The rows with their folds
+    are written once, since every world reads them, and so are the scores, which several metrics read.
+    """
+    rows = _kept(stratified_folds(editions(spark, sf_dir), ["edition"], FOLDS, 1).drop("repeat"), "world-folds")
+    scores = held_out_in_worlds(rows, ["edition"], NB_MODELS, FOLDS, NUMERIC, CATEGORICAL)
+    return metric_bundle(_kept(scores.drop("row_id"), "world-scores"), KEYS)
+
+
+def fitted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite and rank by edition of fitted models in the ten worlds; they have no E, which counts as 0."""
+    found = _kept(world_facts(spark, sf_dir), "world-facts")
+    each = components(found, ["edition", "fold", "model"], "W0_clean", "W9_label_noise")
+    mean = each.groupBy("edition", "model").agg(*[F.avg(c).alias(c) for c in ("R", "S_drop", "C_exp")])
+    score = composite(F.col("R"), F.col("S_drop"), F.col("C_exp"), F.lit(None).cast("double"))
+    return final_ranking(mean.withColumn("score", score), ["edition"])
+
+
 def reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out AUROC of each model over all labelled rows."""
     rows = stratified_folds(labelled(spark, sf_dir), [], 5, 1).withColumn("run_id", F.lit(0))
