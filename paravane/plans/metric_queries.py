@@ -622,8 +622,11 @@ def m17_n4_decision_stability(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def m18_importance_stability(spark: SparkSession, sf: str) -> DataFrame:
     rows = src.labelled(spark, sf).select("row_id", "y", *NUM)
-    runs = [_importance(stratified_subsample(rows, [], 252, 1, seed=42 + r).drop("run_id").persist()).withColumn("run_id", F.lit(r)) for r in range(3)]
-    return at.importance_agreement(cmp.stacked(runs), _importance(rows), ["run_id"])
+    runs = []
+    for r in range(3):
+        drawn = v.kept(stratified_subsample(rows, [], 252, 1, seed=42 + r).drop("run_id"), "subsample")
+        runs.append(v.kept(_importance(drawn), "importance").withColumn("run_id", F.lit(r)))
+    return at.importance_agreement(cmp.stacked(runs), v.kept(_importance(rows), "importance"), ["run_id"])
 
 
 _M19 = "ppvl AS (UNPIVOT (SELECT edition, model, fold, sens, spec, ppv, ppv_std FROM ppv_facts) ON sens, spec, ppv, ppv_std INTO NAME metric VALUE value), pd AS (SELECT f.model, f.metric, f.fold, f.value AS vf, d.value AS vd, f.value - d.value AS d FROM ppvl f JOIN ppvl d USING (model, metric, fold) WHERE f.edition = 'full' AND d.edition = 'demo')"

@@ -85,7 +85,7 @@ def held_out_areas(rows: DataFrame) -> DataFrame:
     return auroc(held_out_nb(rows, ["run_id"], NB_MODELS, 5), ["run_id", "model"], "value")
 
 
-def _kept(df: DataFrame, tag: str) -> DataFrame:
+def kept(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder, for what is read several times and costly to make again."""
     path = scratch_path(df.sparkSession, tag)
     write_table(df, path)
@@ -98,14 +98,14 @@ def world_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each fold is perturbed as each of the ten worlds and scored by models of the other folds. The rows with their folds
     are written once, since every world reads them, and so are the scores, which several metrics read.
     """
-    rows = _kept(stratified_folds(editions(spark, sf_dir), ["edition"], FOLDS, 1).drop("repeat"), "world-folds")
+    rows = kept(stratified_folds(editions(spark, sf_dir), ["edition"], FOLDS, 1).drop("repeat"), "world-folds")
     scores = held_out_in_worlds(rows, ["edition"], NB_MODELS, FOLDS, NUMERIC, CATEGORICAL)
-    return metric_bundle(_kept(scores.drop("row_id"), "world-scores"), KEYS)
+    return metric_bundle(kept(scores.drop("row_id"), "world-scores"), KEYS)
 
 
 def fitted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite and rank by edition of fitted models in the ten worlds; they have no E, which counts as 0."""
-    found = _kept(world_facts(spark, sf_dir), "world-facts")
+    found = kept(world_facts(spark, sf_dir), "world-facts")
     each = components(found, ["edition", "fold", "model"], "W0_clean", "W9_label_noise")
     mean = each.groupBy("edition", "model").agg(*[F.avg(c).alias(c) for c in ("R", "S_drop", "C_exp")])
     score = composite(F.col("R"), F.col("S_drop"), F.col("C_exp"), F.lit(None).cast("double"))
