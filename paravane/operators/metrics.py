@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from paravane.functions.scalars import clip, closed_bin, floor_bin, quantile_bin, ratio
 
+from .quantiles import quantiles_of_counts
+
 #: Equal slices of the score range; the first and the last are cut again by powers of two.
 SLICES, HALVINGS = 64, 24
 
@@ -41,22 +43,6 @@ def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     })
 
 
-def quantiles_of_counts(shares: list[float], n: Column, below: Column, total: Column, value: str = "p") -> list[Column]:
-    """Aggregates over counted values: their exact quantiles, interpolated between neighbours.
-
-    n rows hold the value, `below` hold less, and total are in the group. The row at a place is the greatest value
-    that has no more rows below it.
-    """
-    at = lambda place: F.max(F.when((n > 0) & (below <= place), F.col(value)))
-    out = []
-    for share in shares:
-        place = (total - 1) * share
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        up, down = F.max(place - F.floor(place)), F.max(F.ceil(place) - place)
-        out.append(F.when(low == high, low).otherwise(down * low + up * high))
-    return out
-
-
 def _area() -> Column:
     return F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.max("all_pos") * F.max("all_neg"))
 

@@ -17,14 +17,15 @@ from paravane.functions.draws import normal, uniform
 from paravane.functions.scalars import logistic
 
 from .metrics import metric_bundle
+from .quantiles import medians
 from .sampling import stratified_folds
 from .worlds import all_worlds
 
 
 def median_imputed(df: DataFrame, fit: DataFrame, cols: list[str]) -> DataFrame:
     """Nulls as the exact medians of fit's columns."""
-    medians = fit.agg(*[F.median(c).alias(f"__m_{c}") for c in cols])
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"__m_{c}") for c in cols}).select(*df.columns)
+    found = medians(fit, cols).withColumnsRenamed({c: f"__m_{c}" for c in cols})
+    return df.crossJoin(F.broadcast(found)).withColumns({c: F.coalesce(c, f"__m_{c}") for c in cols}).select(*df.columns)
 
 
 def standardised(df: DataFrame, fit: DataFrame, cols: list[str]) -> DataFrame:
@@ -51,10 +52,9 @@ class Prepared:
     """The preprocessor: medians, standardisation, most frequent categories and one-hot codes of a training table."""
 
     def __init__(self, train: DataFrame, num: list[str], cat: list[str]):
-        aggs = [F.median(c).alias(f"m_{c}") for c in num]
-        medians = train.agg(*aggs).first()
+        median = medians(train, num).first()
         self.num, self.cat = num, cat
-        self.median = {c: float(medians[f"m_{c}"] or 0.0) for c in num}
+        self.median = {c: float(median[c] or 0.0) for c in num}
         filled = train.fillna(self.median)
         stats = filled.agg(*[F.avg(c).alias(f"a_{c}") for c in num], *[F.stddev_pop(c).alias(f"s_{c}") for c in num]).first()
         self.scale = {c: (float(stats[f"a_{c}"]), float(stats[f"s_{c}"]) or 1.0) for c in num}
@@ -232,8 +232,8 @@ def held_out_nb(
     others = rows.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
     at = [*by, "fold"]
     moments = lambda p: [*[F.avg(c).alias(f"{p}a_{c}") for c in cols], *[F.var_pop(c).alias(f"{p}v_{c}") for c in cols]]
-    medians = [F.percentile_approx(c, 0.5, 10_000).alias(f"med_{c}") for c in cols] if test is not None else []
-    wide = others.groupBy(*at).agg(*[F.var_pop(c).alias(f"w_{c}") for c in cols], *medians)
+    middle = [F.percentile_approx(c, 0.5, 10_000).alias(f"med_{c}") for c in cols] if test is not None else []
+    wide = others.groupBy(*at).agg(*[F.var_pop(c).alias(f"w_{c}") for c in cols], *middle)
     per = others.groupBy(*at, "y").agg(F.count("*").alias("n"), *moments(""))
     side = lambda k: per.where(F.col("y") == k).select(*at, *[F.col(c).alias(f"{c}_{k}") for c in ("n", *[f"{m}_{c}" for m in "av" for c in cols])])
     stats = side(0).join(side(1), at).join(wide, at)

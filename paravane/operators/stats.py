@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from paravane.functions.draws import uniform
 from paravane.functions.scalars import finite, ratio
 
+from .quantiles import exact_quantiles, with_group_facts
+
 
 def average_rank(by: list[str], value: str, descending: bool = True) -> Column:
     """Rank in the group, ties sharing their mean rank."""
@@ -181,10 +183,9 @@ def paired_tests(df: DataFrame, by: list[str], d: str, scope: list[str] | None =
 
 def describe(df: DataFrame, by: list[str], c: str) -> DataFrame:
     """count, mean, sample std, min, quartiles and max of a column."""
-    q = lambda x: F.expr(f"percentile({c}, {x})")
-    return df.groupBy(*by).agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(c).alias("max"),
-    )
+    plain = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    quartiles = exact_quantiles(df, by, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return with_group_facts(plain, quartiles, by, "left").select(*by, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, by: list[str], c: str, bins: int = 30) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from paravane.functions.draws import key, normal, student3, uniform
 
+from .quantiles import exact_quantiles, with_group_facts
 from .sampling import hash_rank
 
 # World, kind, parameters, severity.
@@ -84,8 +85,8 @@ def missingness(df: DataFrame, by: list[str], num: list[str], seed: int = 42, ba
     """Values go at random; then, where the first numeric column is in its upper quarter, more go."""
     u = lambda what, c: uniform(what, c, F.col("row_id"), seed)
     blank = df.withColumns({c: F.when(u("mcar", c) >= base_p, F.col(c)) for c in num})
-    q = blank.groupBy(*by).agg(F.expr(f"percentile({num[0]}, 0.75)").alias("__q"))
-    blank = (blank.join(F.broadcast(q), by) if by else blank.crossJoin(F.broadcast(q))).withColumn("__hi", F.coalesce(F.col(num[0]) >= F.col("__q"), F.lit(False)))
+    q = exact_quantiles(blank, by, num[0], {"__q": 0.75})
+    blank = with_group_facts(blank, q, by, "left").withColumn("__hi", F.coalesce(F.col(num[0]) >= F.col("__q"), F.lit(False)))
     return blank.withColumns({c: F.when(~(F.col("__hi") & (u("mar", c) < extra_p)), F.col(c)) for c in num}).select(*df.columns)
 
 
@@ -117,7 +118,7 @@ def subgroup_mask(df: DataFrame, by: list[str], num: list[str], cat: list[str])
         mode = sizes.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(cat[0]).alias("v"))).alias("m")).select(*by, F.col("m.v").alias("__m"))
         test = F.col(cat[0]) == F.col("__m")
     elif num:
-        mode = df.groupBy(*by).agg(F.expr(f"percentile({num[0]}, 0.75)").alias("__m"))
+        mode = exact_quantiles(df, by, num[0], {"__m": 0.75})
         test = F.col(num[0]) >= F.col("__m")
     else:
         return df.withColumn("masked", F.lit(False))

@@ -127,12 +127,17 @@ _scratch: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only where the session names none and runs on this machine alone, as in tests, a temporary one is made.
+    """
     import tempfile
     import uuid
 
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _scratch.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="paravane-")
         _scratch[app] = root
