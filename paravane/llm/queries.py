@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .fim import fill_in_middle
 from .hmm import lm_scores
+from .importance import importance_resample
 from .license_scan import TEMPLATES, license_matches
 from .line_dedup import line_dedup
+from .main_text import main_text
 from .near_dedup import near_dedup
 from .passages import repeated_passages
 from .quality import quality_scores
@@ -66,6 +70,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, buckets=10_000, n_max=1)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed="1", fim_percent=90, spm_percent=20)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -120,13 +140,48 @@ SELECT doc_id, license, max(dice)::DOUBLE AS dice, count(*) AS n_units FROM p WH
 """
 
 
+# crc32 of a word by its table, which eight steps of the reflected polynomial give for each byte
+OP12_SQL = rf"""
+WITH bits AS (SELECT b, list_reduce(list_concat([b], range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) AS r(b)),
+tab AS (SELECT list(v ORDER BY b) AS t FROM bits),
+texts AS (SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+ws AS (SELECT kind, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+w AS (SELECT kind, doc_id, unnest(ws) AS word FROM ws),
+hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+bytes AS (SELECT word, list_transform(range(1, len(h), 2), lambda i: (strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1) AS bs FROM hexed),
+crc AS (SELECT word, xor(list_reduce(list_concat([4294967295], bs), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+n AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM w JOIN crc USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+m AS (SELECT doc_id, floor(sum(gain) / count(*))::BIGINT AS weight FROM w JOIN crc USING (word) JOIN g USING (bucket) WHERE kind = 'd' GROUP BY doc_id),
+h AS (SELECT doc_id, len(ws) AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM ws LEFT JOIN m USING (doc_id) WHERE kind = 'd'),
+c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+k AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+  (10 * count(*) FILTER (n_features >= 20) OVER ()) // 100 AS quota FROM c)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= quota THEN place END AS rank FROM k
+"""
+
+_GROUP = "('0x' || hex[{}:{}])::BIGINT"
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS hex, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS ts FROM documents),
+h AS (SELECT *, len(ts) AS n, {_GROUP.format(1, 8)} AS h1, {_GROUP.format(9, 16)} AS h2, {_GROUP.format(17, 24)} AS h3, {_GROUP.format(25, 32)} AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, text, array_to_string(ts[1:a], '') AS p, array_to_string(ts[a + 1:b], '') AS m, array_to_string(ts[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_dedup, op2_line_dedup, op3_lm_score, op4_near_dedup, op5_license_scan, op6_toxicity, op7_substring_dedup, op8_bpe,
-        op9_quality, op10_decontamination,
+        op9_quality, op10_decontamination, op11_main_text, op12_importance_resampling, op13_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op5_license_scan": _license_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op5_license_scan": _license_sql(), "op12_importance_resampling": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
