@@ -1,7 +1,9 @@
 """Substring dedup: paragraph MinHash banding, exact Jaccard, removals by component.
 
-Two kinds of paragraphs are compared. Lines of MIN_WORDS words or more are banded by MinHash: BANDS bands of ROWS rows
-miss a pair at similarity 0.75 with probability 0.0013. Lines that are equal word by word are one node before they are
+Two kinds of paragraphs are compared. Lines of MIN_WORDS words or more, and paragraphs that are wrapped into shorter
+lines, are banded by MinHash: BANDS bands of ROWS rows miss a pair at similarity 0.75 with probability 0.0013. A wrapped
+paragraph may begin at any line of a stretch of short lines, so the PARAGRAPH words (fewer at the stretch's end) from
+each such line over the line breaks are a paragraph, and a longer stretch as a whole is one. Paragraphs that are equal word by word are one node before they are
 banded, colliding nodes are joined and verified by exact Jaccard over 5-word shingles, and links are clustered by
 components. Passages that lie elsewhere in texts, over line breaks too, are found by windows of WINDOW words that start
 at content-defined anchors (winnowing, Schleimer et al. 2003): any 50 words that texts share hold a common window,
@@ -28,6 +30,8 @@ from .shingles import MinHash, mixed, windows
 
 WINDOW, REACH, ANCHOR = 24, 24, 3
 MIN_WORDS, BANDS, ROWS, SHINGLE = 20, 8, 2, 5
+#: Words of a wrapped paragraph, and the least distance of two that begin in one stretch: closer ones are alike by themselves.
+PARAGRAPH, APART = 40, 8
 #: Low bits of an anchor's hash that hold its place, so that the leftmost of equal ones is taken.
 _PLACE = (1 << 28) - 1
 
@@ -70,18 +74,44 @@ def run_keys(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.n
 
 
 class Lines:
-    """Lines of MIN_WORDS words or more: their digests and band keys."""
+    """Lines of MIN_WORDS words or more and wrapped paragraphs: their digests and band keys."""
 
     def __init__(self):
         self.one, self.two = Polynomial(0xD6E8FEB86659FD93), Polynomial(0xA0761D6478BD642F)
         self.minhash = MinHash(BANDS, ROWS, 64)
 
+    def _wrapped(self, w: Words, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end words of paragraphs over line breaks: first and end are those of the lines with words.
+
+        They begin at lines of less than MIN_WORDS words; of such lines that begin within APART words, at the one with the
+        least hash, so that equal passages give equal paragraphs wherever they stand. A stretch of short lines with more than
+        PARAGRAPH words is one too.
+        """
+        row, line, short = w.row[first], w.line[first], end - first < MIN_WORDS
+        joined = np.zeros(len(first), bool)
+        joined[1:] = short[1:] & short[:-1] & (row[1:] == row[:-1]) & (line[1:] == line[:-1] + 1)
+        stretch = np.cumsum(~joined)
+        last = np.append(np.flatnonzero(np.diff(stretch)), len(first) - 1) if len(first) else first
+        until = end[last[stretch - 1]]
+        hashes, begins = self.one.of(w.h, first, end) if len(first) else w.h[:0], short.copy()
+        for d in range(1, min(APART, len(first))):
+            near = (stretch[d:] == stretch[:-d]) & (first[d:] - first[:-d] < APART)
+            begins[d:] &= ~near | (hashes[d:] < hashes[:-d])
+            begins[:-d] &= ~near | (hashes[:-d] <= hashes[d:])
+        stop = np.minimum(first + PARAGRAPH, until)
+        begins &= stop - first >= MIN_WORDS
+        whole = short & ~joined & (until - first > PARAGRAPH)
+        return np.concatenate([first[begins], first[whole]]), np.concatenate([stop[begins], until[whole]])
+
     def of(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First word, end word, 16-byte digests (two columns of uint64) and band keys (a column each)."""
         first = np.flatnonzero(np.diff(w.row, prepend=-1) | np.diff(w.line, prepend=-1))
         end = np.append(first[1:], len(w.h))
+        over, stop = self._wrapped(w, first, end)
         long = end - first >= MIN_WORDS
-        first, end = first[long], end[long]
+        first, end = np.concatenate([first[long], over]), np.concatenate([end[long], stop])
+        order = np.argsort(first, kind="stable")
+        first, end = first[order], end[order]
         if not len(first):
             return first, end, np.empty((0, 2), np.uint64), np.empty((0, BANDS), np.int64)
         digest = np.stack([self.one.of(w.h, first, end), self.two.of(mixed(w.h), first, end)], axis=1)
@@ -100,7 +130,7 @@ _UNITS = {
 
 
 def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text its windows and long lines, as arrays."""
+    """For each text its windows and paragraphs, as arrays."""
     reader, of_lines = Reader(), Lines()
     for batch in batches:
         text, done = string_column(batch, "text"), 0
@@ -163,8 +193,8 @@ def chains_of(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[p
 
 
 CHAIN, SEED, LINE = 0, 1, 2
-_CUTS = "kind int, doc_id long, v int, start int, size int, a int, b int, keep long, h long, g int, same binary, grams array<long>"
-_CUT_TYPES = [pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+_CUTS = "kind int, doc_id long, v long, start int, size int, a int, b int, keep long, h long, g int, same binary, grams array<long>"
+_CUT_TYPES = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
 
 
 def cuts_of(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[pa.RecordBatch]:
@@ -261,18 +291,18 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_W
     extra columns are ignored.
     """
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    # a hash of the text tells the texts of a doc_id apart
-    texts, row = texts.select("doc_id", F.hash("text").alias("v"), "text"), ["doc_id", "v"]
+    # a hash of the text tells the texts of a doc_id apart; rows that repeat both are gathered as sets
+    texts, row = texts.select("doc_id", F.xxhash64("text").alias("v"), "text"), ["doc_id", "v"]
     spark_type = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
-    schema = "doc_id long, v int, " + ", ".join(f"{c} array<{spark_type[t]}>" for c, t in _UNITS.items())
+    schema = "doc_id long, v long, " + ", ".join(f"{c} array<{spark_type[t]}>" for c, t in _UNITS.items())
     units = written(texts.mapInArrow(units_of, schema), "passage-units")
 
     # windows with equal words
     x = units.select(*row, F.explode(F.arrays_zip("w_start", "w_h", "w_g")).alias("x"))
     seeds = x.select(*row, F.col("x.w_start").alias("start"), F.col("x.w_h").alias("h"), F.col("x.w_g").alias("g"))
     shared = held_by_several(seeds, ["h", "g"], "passage-shared")
-    of_texts = skew_join(seeds, shared, ["h", "g"]).groupBy(*row).agg(F.collect_list(F.struct("start", "h", "g", "keep")).alias("x"))
-    out = "doc_id long, v int, chains array<struct<start:int,size:int,keep:long>>, unsure array<struct<h:long,g:int>>, x array<struct<start:int,h:long,g:int,keep:long>>"
+    of_texts = skew_join(seeds, shared, ["h", "g"]).groupBy(*row).agg(F.collect_set(F.struct("start", "h", "g", "keep")).alias("x"))
+    out = "doc_id long, v long, chains array<struct<start:int,size:int,keep:long>>, unsure array<struct<h:long,g:int>>, x array<struct<start:int,h:long,g:int,keep:long>>"
     chained = written(of_texts.mapInArrow(partial(chains_of, least_words=min_words), out), "passage-chains")
     discard(shared)
     # a chain that is too short to tell has all runs of min_words around its windows compared, wherever they occur
@@ -295,7 +325,7 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_W
     of_lines = lines.where("near").groupBy("same").agg(F.min(F.struct(*row, "start", "size")).alias("at"))
     of_lines = of_lines.select("at.*", "same").select(*row, _want(LINE, "start", "size", same=F.col("same")).alias("x"))
 
-    want = written(chains.unionByName(seeded).unionByName(of_lines).groupBy(*row).agg(F.collect_list("x").alias("want")), "passage-want")
+    want = written(chains.unionByName(seeded).unionByName(of_lines).groupBy(*row).agg(F.collect_set("x").alias("want")), "passage-want")
     cuts = written(texts.join(want.hint("merge"), row).select(*row, "text", "want").mapInArrow(partial(cuts_of, run_words=max(min_words, WINDOW)), _CUTS), "passage-cuts")
     discard(units, chained, unsure, held, want)
 
@@ -313,5 +343,5 @@ def repeated_passages(docs: DataFrame, percent: int = 75, min_words: int = MIN_W
     cols = [*row, "start", "size", "a", "b", "keep"]
     spans = cuts.where(F.col("kind") == CHAIN).select(*cols)
     spans = spans.unionByName(skew_join(runs, long_runs, ["h", "g"]).select(*cols)).unionByName(skew_join(lines, kept, "same").select(*cols))
-    spans = spans.groupBy(*row).agg(F.collect_list(F.struct("start", "size", "a", "b", "keep")).alias("x"))
+    spans = spans.groupBy(*row).agg(F.collect_set(F.struct("start", "size", "a", "b", "keep")).alias("x"))
     return spans.mapInArrow(partial(spans_of, least_words=min_words), "doc_id long, start_char int, end_char int, n_words long, removed boolean, keep_doc_id long")

@@ -55,7 +55,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), percent=75, min_words=50)
+    return repeated_passages(table(spark, sf_dir, "documents"), percent=75, min_words=20)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
