@@ -1,18 +1,16 @@
 """Importance resampling towards a target: hashed n-gram counts of corpus and target weigh each document (DSIR, Xie et al. 2023).
 
-A document, its words joined by one space, is scanned once: the running CRC-32 at each word's two borders is stored.
+Documents, their words joined by single spaces, are scanned once: the running CRC-32 at each word's two borders is stored.
 CRC is linear over GF(2), so the CRC of any run of words is that of the longer prefix, xor that of the shorter one
-shifted by the run's length; shifts by powers of two are tables, and numpy applies them to all runs of a length at once.
+shifted by the run's length. Shifts by powers of two are tables, and numpy applies them to all runs of a length at once.
+The same law lets the scan itself run in chunks side by side, whose states a prefix sum of shifts then joins.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import accumulate, chain, repeat
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, skew_join, written
+from .common import skew_join, written
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# words: 0-9, letters, and all bytes of characters beyond ASCII
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)]] = True
 #: The reflected polynomial of CRC-32.
 POLYNOMIAL = 0xEDB88320
 
@@ -45,50 +46,87 @@ def _tables() -> np.ndarray:
 
 
 _SHIFT: list[np.ndarray] = []
+ONES = np.uint32(0xFFFFFFFF)
+#: Bytes that one lane of the scan reads, a power of two.
+CHUNK = 64
 
 
-def shifted(crc: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Each CRC after so many zero bytes, without the register's inversions."""
+def _shift(crc: np.ndarray, k: int) -> np.ndarray:
+    """Each register after 2**k zero bytes."""
     if not _SHIFT:
         _SHIFT.append(_tables())
+    t = _SHIFT[0][k]
+    return t[0, crc & 255] ^ t[1, (crc >> 8) & 255] ^ t[2, (crc >> 16) & 255] ^ t[3, crc >> 24]
+
+
+def shifted(crc: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Each register after so many zero bytes."""
     out = crc.astype(np.uint32)
     for k in range(int(length.max(initial=0)).bit_length()):
         some = np.flatnonzero((length >> k) & 1)
-        t, c = _SHIFT[0][k], out[some]
-        out[some] = t[0, c & 255] ^ t[1, (c >> 8) & 255] ^ t[2, (c >> 16) & 255] ^ t[3, c >> 24]
+        out[some] = _shift(out[some], k)
     return out
 
 
-def words_of(text: str | None) -> list[str]:
-    text = text or ""
-    return WORD.findall(text.lower() if text.isascii() else text.translate(_ASCII_LOWER))
+def _step(crc: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+    """Each register after one more byte."""
+    return _shift(crc ^ np.asarray(byte, np.uint32), 0)
+
+
+def running(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The CRC register, from zero, after the first at[i] bytes of data (at[i] > 0), in one scan."""
+    n = -(-len(data) // CHUNK)
+    lanes = np.zeros(n * CHUNK, np.uint8)
+    lanes[: len(data)] = data
+    lanes = lanes.reshape(n, CHUNK).T.copy()
+    inner, state = np.empty((CHUNK, n), np.uint32), np.zeros(n, np.uint32)
+    first = _shift(np.arange(256, dtype=np.uint32), 0)  # the register after one byte
+    for t in range(CHUNK):
+        inner[t] = state = first[(state ^ lanes[t]) & 255] ^ (state >> 8)
+    whole, d, k = state.copy(), 1, CHUNK.bit_length() - 1
+    while d < n:  # the register after each chunk, by doubling
+        whole[d:] ^= _shift(whole[:-d], k)
+        d, k = 2 * d, k + 1
+    chunk, inside = (at - 1) // CHUNK, (at - 1) % CHUNK
+    before = np.where(chunk > 0, whole[chunk - 1], np.uint32(0))
+    return inner[inside, chunk] ^ shifted(before, inside + 1)
 
 
 class Prefixes:
-    """Running CRCs of texts' words, each text from its own start."""
+    """Running CRCs at the borders of the words of several texts (UTF-8 bytes), over all of them in one scan."""
 
     def __init__(self, texts: list):
-        words = [[w.encode("utf-8") for w in words_of(t)] for t in texts]
-        self.counts = np.fromiter(map(len, words), np.int64, len(words))
-        pieces = [list(chain.from_iterable(zip(ws, repeat(b" ")))) for ws in words]
-        # of each text: at its start, after its first word, after the space that follows, after its second word ..
-        crcs = [np.fromiter(accumulate(ps, lambda c, p: crc32(p, c), initial=0), np.uint32, len(ps) + 1) for ps in pieces]
-        ends = [np.fromiter(accumulate(map(len, ps), initial=0), np.int64, len(ps) + 1) for ps in pieces]
-        join = lambda arrays, kind: np.concatenate(arrays) if arrays else np.empty(0, kind)
-        self.crc_before, self.crc_after = join([c[0:-1:2] for c in crcs], np.uint32), join([c[1::2] for c in crcs], np.uint32)
-        self.at_before, self.at_after = join([e[0:-1:2] for e in ends], np.int64), join([e[1::2] for e in ends], np.int64)
-        self.row = np.repeat(np.arange(len(words)), self.counts)
+        text = b"\n".join([*(t or b"" for t in texts), b""])
+        size = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts)) + 1
+        data = _LOWER[np.frombuffer(text, np.uint8)]
+        inside = _IN_WORD[data]
+        change = np.flatnonzero(np.diff(inside, prepend=False))
+        start, end = change[::2], change[1::2]  # the text ends outside of words
+        self.row = np.searchsorted(np.cumsum(size), start, "right")
+        self.counts = np.bincount(self.row, minlength=len(texts))
+        keep = inside.copy()
+        keep[end] = True  # one separator after each word
+        plain = data[keep]
+        plain[~inside[keep]] = 32
+        self.size = end - start
+        self.at_after = np.cumsum(self.size + 1) - 1
+        self.at_before = self.at_after - self.size
+        self.after = running(plain, self.at_after) if len(start) else np.empty(0, np.uint32)
+        self.before = np.zeros(len(start), np.uint32)
+        self.before[1:] = _step(self.after[:-1], 32)
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The CRC-32 of each run of k words, and its text's number."""
+        """The CRC-32 of each run of k words of a text, and the text's number."""
         first = np.arange(max(0, len(self.row) - k + 1))
-        first = first[self.row[first] == self.row[first + k - 1]]
+        if k > 1:
+            first = first[self.row[first] == self.row[first + k - 1]]
         last = first + k - 1
-        length = self.at_after[last] - self.at_before[first]
-        return self.crc_after[last] ^ shifted(self.crc_before[first], length), self.row[first]
+        # the shorter prefix, and the register's initial ones, are shifted by the run's length and cancel
+        crc = self.after[last] ^ shifted(self.before[first] ^ ONES, self.at_after[last] - self.at_before[first]) ^ ONES
+        return crc, self.row[first]
 
 
-def _blocks(batch: pa.RecordBatch, rows: int = 128, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _blocks(batch: pa.RecordBatch, rows: int = 4096, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in parts of so many rows, and so many bytes of text if no single text is longer."""
     lengths, at = pc.binary_length(batch["text"]).fill_null(0).to_pylist(), 0
     while at < batch.num_rows:
@@ -113,7 +151,7 @@ def bucket_counts(texts: DataFrame, buckets: int, n_max: int) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["bucket", "n"])
 
-    parts = texts.select("text").mapInArrow(counted, "bucket long, n long")
+    parts = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(counted, "bucket long, n long")
     return parts.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -160,7 +198,7 @@ def importance_scores(docs: DataFrame, target: DataFrame, buckets: int = 10_000,
                 arrays = [pa.array(x, pa.int64()) for x in (ids, prefixes.counts, features, weight, score)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_features", "weight", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(scored, "doc_id long, n_words long, n_features long, weight long, score long")
 
 

@@ -125,6 +125,11 @@ def test_furniture_scores_nothing():
 
 # ------------------------------------------------------- importance resampling
 
+def words_of(text):
+    lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
 TEXTS = [None, "", "a", "Hello wörld, the quick-brown fox", "x" * 3000 + " yy zz", "日本 語 ab12 c", "!!! ---", "A b a B", "long " * 20_000]
 
 
@@ -132,15 +137,23 @@ TEXTS = [None, "", "a", "Hello wörld, the quick-brown fox", "x" * 3000 + " yy z
 def test_crc_of_runs_from_prefixes(k):
     rng = random.Random(k)
     texts = TEXTS + ["".join(rng.choice("abC é1 .,\n") for _ in range(80)) for _ in range(60)]
-    crc, row = importance.Prefixes(texts).runs(k)
-    words = [importance.words_of(t) for t in texts]
+    crc, row = importance.Prefixes([None if t is None else t.encode() for t in texts]).runs(k)
+    words = [words_of(t) for t in texts]
     plain = [(zlib.crc32(" ".join(w[j : j + k]).encode()), i) for i, w in enumerate(words) for j in range(len(w) - k + 1)]
     assert list(zip(crc.tolist(), row.tolist())) == plain
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128, 1000, 64 * 33])
+def test_running_registers(n):
+    data = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+    at = np.arange(1, n + 1)
+    got = importance.running(data, at) ^ importance.shifted(np.full(n, 0xFFFFFFFF), at) ^ importance.ONES
+    assert got.tolist() == [zlib.crc32(data[:i].tobytes()) for i in at]
+
+
 def _brute(docs, target, percent, min_words, buckets, n_max, seed):
     def features(text):
-        w = importance.words_of(text)
+        w = words_of(text)
         return [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for k in range(1, n_max + 1) for i in range(len(w) - k + 1)], len(w)
 
     s, t = [0] * buckets, [0] * buckets
@@ -187,7 +200,7 @@ def test_resampling_empty_tables(spark):
 def test_resampling_query_draws_a_tenth(spark):
     got = op12_importance_resampling(spark, SF).collect()
     texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
-    able = sum(len(importance.words_of(t)) >= 20 for t in texts.values())
+    able = sum(len(words_of(t)) >= 20 for t in texts.values())
     assert len(got) == len(texts) and sorted(r["rank"] for r in got if r["rank"]) == list(range(1, able // 10 + 1))
 
 
