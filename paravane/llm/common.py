@@ -42,9 +42,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage and survives lost executors.
+
+    The table is deleted when the application ends, if discard() hasn't done so before.
+    """
     path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
+    at, store = _store(df.sparkSession, path)
+    store.deleteOnExit(at)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -74,6 +79,19 @@ def complete(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """Make an empty file, which is there whole or not at all."""
+    at, store = _store(spark, path)
+    store.create(at, True).close()
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The names of the files in a folder, without hidden ones; none if it doesn't exist."""
+    at, store = _store(spark, path)
+    names = [f.getPath().getName() for f in store.listStatus(at) if f.isFile()] if store.exists(at) else []
+    return sorted(n for n in names if n[0] not in "._")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that written() made and that nothing will read again, so that the shared folder stays small.
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, folders, fresh_path, remove, skew_join, text_or_empty, written
+from .common import ascii_lower, complete, files, folders, fresh_path, mark, remove, skew_join, text_or_empty, written
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -26,6 +26,9 @@ class DigestIndex:
     A digest is in the index once: the batch that brings it first decides which row stays, the one with its
     largest doc_id (null only if the batch has no other id for it). The index lives at its path, below a folder that
     tells the number of buckets; opening the path again, in this session or another, gives the same rows.
+
+    What a batch brings is written to batches/<name> before it is appended, and commits/<name> is made after. Where the
+    append broke off, opening the index or adding the batch again appends the rows that are still missing.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
@@ -33,9 +36,13 @@ class DigestIndex:
         made = [f.rsplit("/buckets-", 1)[1] for f in folders(spark, self.path) if "/buckets-" in f]
         self.buckets = int(made[0]) if made else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"digest_index_{uuid.uuid4().hex}"
-        self._open = False
+        self._open, self.done = False, set(files(spark, f"{self.path}/commits"))
         if made:
             self._define()
+        for folder in folders(spark, f"{self.path}/batches"):
+            batch = folder.rsplit("/", 1)[1]
+            if batch not in self.done and complete(spark, folder):
+                self._append(batch, again=True)
 
     def _define(self) -> None:
         spark_path = f"{self.path}/buckets-{self.buckets}"
@@ -48,19 +55,36 @@ class DigestIndex:
         """The index as (digest, keep_id), or None before the first batch."""
         return self.spark.table(self.name) if self._open else None
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Append to the index what batch(doc_id, digest) brings that is new; returns those (digest, keep_id)."""
-        known = self.rows()
-        fresh = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
-        if known is not None:
-            fresh = fresh.join(known.select("digest").hint("merge"), "digest", "left_anti")
-        fresh = written(fresh, "digest-batch")
+    def _batch(self, batch: str) -> DataFrame:
+        return self.spark.read.schema("digest string, keep_id long").parquet(f"{self.path}/batches/{batch}")
+
+    def _append(self, batch: str, again: bool = False) -> None:
+        """Append a written batch; again: without the rows that an append which broke off has left."""
         if not self._open:
             self._define()
+        rows = self._batch(batch)
+        if again:
+            rows = rows.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         # one task writes each bucket, so a batch adds one sorted file to it
-        dealt = fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        dealt = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
         dealt.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        return fresh
+        mark(self.spark, f"{self.path}/commits/{batch}")
+        self.done.add(batch)
+
+    def add(self, batch: DataFrame, name: str | None = None) -> DataFrame:
+        """Append to the index what batch(doc_id, digest) brings that is new; returns those (digest, keep_id).
+
+        A batch is added once: one of the same name that was added before changes nothing and returns the same rows.
+        """
+        name = f"{len(self.done):06d}" if name is None else name
+        if name not in self.done:
+            known = self.rows()
+            fresh = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+            if known is not None:
+                fresh = fresh.join(known.select("digest").hint("merge"), "digest", "left_anti")
+            fresh.select("digest", "keep_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batches/{name}")
+            self._append(name)
+        return self._batch(name)
 
     def close(self) -> None:
         """Forget the table's name; the index stays at its path."""
@@ -91,7 +115,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
     index = DigestIndex(spark)
     for k in reversed(range(batches)):
         part = F.coalesce(F.floor((F.col("doc_id") - lo) / step), F.lit(0))
-        discard(index.add(rows.where(part == k)))
+        index.add(rows.where(part == k), str(k))
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
     groups = written(index.rows().join(sizes, "digest"), "digest-groups")
     index.drop()

@@ -23,8 +23,8 @@ from .shingles import words_of
 STATES, HEAD, TAIL, GROUPS, SWEEPS = 8, 30_000, 2_048, 4, 2
 #: Tokens whose forward variables one block holds.
 BLOCK = 800_000
-#: Training cuts longer texts into sequences of so many tokens, so that one text's forward variables stay bounded.
-LONGEST = 100_000
+#: Of longer texts, training holds the forward variables of so many tokens at a time.
+PIECE = 100_000
 SUFFIX = 3
 
 
@@ -47,7 +47,7 @@ def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     while at < len(order):
         longest = max(1, int(length[order[at]]))
         some = order[at : at + max(1, BLOCK // longest)]
-        tokens = np.zeros((longest, len(some)), np.int64)
+        tokens = np.zeros((longest, len(some)), sequences[order[at]].dtype)
         for j, i in enumerate(some):
             tokens[: length[i], j] = sequences[i]
         yield some, length[some], tokens
@@ -98,6 +98,43 @@ class Hmm:
                 emits[:, k] += np.bincount(seen, gamma[:, k], len(emits))
 
 
+    def _run(self, a: np.ndarray | None, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled forward variables and scales of one sequence's tokens; a: the variables before them, None at its start."""
+        alphas, scales = np.empty((len(tokens), len(self.start))), np.empty(len(tokens))
+        for t, k in enumerate(tokens):
+            a = (self.start if a is None else a @ self.move) * self.emit[k]
+            scales[t] = a.sum()
+            alphas[t] = a = a / scales[t]
+        return alphas, scales
+
+    def expected_long(self, tokens: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray], piece: int = PIECE) -> None:
+        """As expected() for one sequence of any length: forward variables are kept at the borders of pieces only.
+
+        The backward pass goes through the pieces from the last to the first and makes each one's forward variables anew;
+        backward values pass over the borders, so the counts are those of the whole sequence.
+        """
+        starts, moves, emits = into
+        entering: list[np.ndarray | None] = [None]
+        for at in range(0, len(tokens) - piece, piece):
+            entering.append(self._run(entering[-1], tokens[at : at + piece])[0][-1])
+        w = None  # what the next token's emission, backward value and scale give
+        for k in range(len(entering) - 1, -1, -1):
+            part = tokens[k * piece : (k + 1) * piece]
+            alphas, scales = self._run(entering[k], part)
+            gammas = np.empty_like(alphas)
+            for t in range(len(part) - 1, -1, -1):
+                b = np.ones(len(self.start))
+                if w is not None:
+                    moves += self.move * np.outer(alphas[t], w)
+                    b = self.move @ w
+                gammas[t] = alphas[t] * b
+                w = self.emit[part[t]] * b / scales[t]
+            for s in range(len(self.start)):
+                emits[:, s] += np.bincount(part, gammas[:, s], len(emits))
+            if k == 0:
+                starts += gammas[0]
+
+
 def first_guess(freq: np.ndarray) -> Hmm:
     """States that differ a little from the words' overall shares, and seldom change."""
     rng = np.random.default_rng(11)
@@ -127,9 +164,12 @@ def baum_welch(coded: DataFrame, freq: np.ndarray) -> Hmm:
             model = sent.value
             into = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emit)
             for pdf in batches:
-                texts = (np.frombuffer(b, np.uint16) for b in pdf["cls"])
-                for _, lengths, tokens in blocks([t[i : i + LONGEST] for t in texts for i in range(0, len(t), LONGEST)]):
+                texts = [np.frombuffer(b, np.uint16) for b in pdf["cls"]]
+                for _, lengths, tokens in blocks([t for t in texts if len(t) <= PIECE]):
                     model.expected(lengths, tokens, into)
+                for text in texts:
+                    if len(text) > PIECE:
+                        model.expected_long(text, into, PIECE)
             # moves from state k are row -1-k, starts row -1-STATES
             used = np.flatnonzero(into[2].sum(axis=1))
             rows = np.concatenate([into[2][used], into[1], into[0][None]])

@@ -3,7 +3,7 @@
 Each batch of documents is merge-anti-joined with the runs: the keys that no run has make the batch's own sorted run of
 (line hash, documents that hold it), the others a run of additions. Runs lie on levels; when a level is full its runs
 are merged into one of the next level, so that a look-up reads few runs. The number of documents that hold a line is the
-sum over all runs.
+sum over all runs. A batch counts when its commit file is there, which is written last.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, complete, digest128, discard, folders, fresh_path, remove, skew_join, text_or_empty, written
+from .common import SPACES, ascii_lower, complete, digest128, discard, files, folders, fresh_path, mark, remove, skew_join, text_or_empty, written
 
 
 def line_key(line: Column) -> Column:
@@ -23,17 +23,21 @@ class LineRuns:
     """Sorted runs of (key, n_docs) below a path, by level; opening the path again finds them.
 
     A run is a folder level-<level>-<number>-<kind>; kind is `own` for keys that were new when it was written, `more` for
-    additions to keys of older runs. A run whose writing didn't end counts for nothing. A compaction writes the merged
-    run first, under the number of its last part and the next level, and a level's runs that it covers are then void.
+    additions to keys of older runs. A batch's runs count together, once commits/<number>-<name> is there: what a batch
+    that broke off has left counts for nothing, and is written over when the batch comes again. A compaction writes the
+    merged run first, under the number of its last part and the next level, and a level's runs that it covers are then
+    void.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.path, self.fanout = spark, path or fresh_path(spark, "line-runs"), fanout
-        self.runs: list[tuple[int, int, str]] = []  # level, number, kind
+        self.batches = dict(f.split("-", 1)[::-1] for f in files(spark, f"{self.path}/commits"))  # number by name
+        committed, self.runs = {int(n) for n in self.batches.values()}, []  # level, number, kind
         for folder in folders(spark, self.path):
-            if complete(spark, folder):
+            if "/level-" in folder and complete(spark, folder):
                 _, level, number, kind = folder.rsplit("/", 1)[1].split("-")
-                self.runs.append((int(level), int(number), kind))
+                if int(level) or int(number) in committed:
+                    self.runs.append((int(level), int(number), kind))
         upper = {r: max((n for level, n, _ in self.runs if level > r[0]), default=-1) for r in self.runs}
         self.runs = [r for r in self.runs if r[1] > upper[r]]
 
@@ -43,10 +47,10 @@ class LineRuns:
     def _read(self, *runs: tuple[int, int, str]) -> DataFrame:
         return self.spark.read.schema("key binary, n_docs long").parquet(*map(self._at, runs))
 
-    def _write(self, rows: DataFrame, run: tuple[int, int, str]) -> None:
+    def _write(self, rows: DataFrame, run: tuple[int, int, str]) -> tuple[int, int, str]:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows.repartition(parts, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(self._at(run))
-        self.runs.append(run)
+        return run
 
     @property
     def levels(self) -> list[list[int]]:
@@ -54,22 +58,27 @@ class LineRuns:
         top = max((r[0] for r in self.runs), default=0)
         return [sorted({r[1] for r in self.runs if r[0] == level}) for level in range(top + 1)]
 
-    def add(self, counts: DataFrame) -> None:
-        """Add a batch's (key, n_docs), then compact the levels that hold `fanout` batches."""
-        counts = written(counts.select("key", F.col("n_docs").cast("long").alias("n_docs")), "line-counts")
-        number = max((r[1] for r in self.runs), default=-1) + 1
-        if self.runs:
-            # what is known adds to the counts; it is written first, so a batch that broke off leaves no new key behind
-            self._write(counts.join(self.unseen(counts).select("key").hint("merge"), "key", "left_anti"), (0, number, "more"))
-            known = [r for r in self.runs if r[1] != number]
-            self._write(self.unseen(counts, known), (0, number, "own"))
-        else:
-            self._write(counts, (0, number, "own"))
-        discard(counts)
+    def add(self, counts: DataFrame, name: str | None = None) -> None:
+        """Add a batch's (key, n_docs), then compact the levels that hold `fanout` batches.
+
+        A batch is added once: one of the same name that was added before changes nothing, so a job that broke off can
+        add all its batches again.
+        """
+        if name not in self.batches:
+            counts = written(counts.select("key", F.col("n_docs").cast("long").alias("n_docs")), "line-counts")
+            number = max(map(int, self.batches.values()), default=-1) + 1
+            new = [self._write(self.unseen(counts), (0, number, "own"))]
+            if self.runs:  # the batch's keys that aren't its own
+                new.append(self._write(counts.join(self._read(new[0]).select("key").hint("merge"), "key", "left_anti"), (0, number, "more")))
+            name = str(number) if name is None else name
+            mark(self.spark, f"{self.path}/commits/{number}-{name}")
+            self.batches[name] = str(number)
+            self.runs += new
+            discard(counts)
         level = 0
         while len(full := [r for r in self.runs if r[0] == level]) and len({r[1] for r in full}) >= self.fanout:
-            self.runs = [r for r in self.runs if r[0] != level]
-            self._write(self._merged(full), (level + 1, max(r[1] for r in full), "own"))
+            merged = self._write(self._merged(full), (level + 1, max(r[1] for r in full), "own"))
+            self.runs = [r for r in self.runs if r[0] != level] + [merged]
             for run in full:
                 remove(self.spark, self._at(run))
             level += 1
@@ -81,9 +90,9 @@ class LineRuns:
         """(key, n_docs) over all runs."""
         return self._merged(self.runs) if self.runs else self.spark.createDataFrame([], "key binary, n_docs long")
 
-    def unseen(self, keys: DataFrame, runs: list[tuple[int, int, str]] | None = None) -> DataFrame:
+    def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys(key, ..) whose key no run has, by a sort-merge anti-join with each run."""
-        for run in self.runs if runs is None else runs:
+        for run in self.runs:
             if run[2] == "own":
                 keys = keys.join(self._read(run).hint("merge"), "key", "left_anti")
         return keys
