@@ -15,31 +15,35 @@ from .sampling import hash_rank
 from .stats import spearman
 
 
-def linear_attribution(df: DataFrame, coef: dict[str, float], keep: list[str]) -> DataFrame:
-    """keep, row_id, feature, value: coefficient times the distance from the feature's mean."""
-    means = df.agg(*[F.avg(c).alias(f"__a_{c}") for c in coef])
-    rows = df.crossJoin(F.broadcast(means)).withColumns({c: w * (F.col(c) - F.col(f"__a_{c}")) for c, w in coef.items()})
-    return rows.unpivot([*keep, "row_id"], list(coef), "feature", "value")
+def linear_attribution(df: DataFrame, coef: DataFrame, num: list[str], keep: list[str]) -> DataFrame:
+    """keep, row_id, feature, value: a fitted coefficient (coef: feature, coef) times the distance from the feature's mean."""
+    means = df.agg(*[F.avg(c).alias(f"__a_{c}") for c in num])
+    rows = df.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"__a_{c}") for c in num})
+    long = rows.unpivot([*keep, "row_id"], num, "feature", "away")
+    return long.join(F.broadcast(coef), "feature").select(*keep, "row_id", "feature", (F.col("coef") * F.col("away")).alias("value"))
 
 
 def sampled_shapley(rows: DataFrame, background: DataFrame, num: list[str], score: Callable[[DataFrame], DataFrame], draws: int = 8, seed: int = 42) -> DataFrame:
     """row_id, feature, value: Shapley values by sampling orders of features (Strumbelj and Kononenko 2014).
 
-    For each draw a background row is picked and features are ordered, both by keyed hashes; features before the
-    one in question come from the row, the others from the background. score() adds p to a table with the features.
+    For each draw a background row is picked and features are ordered, both by keyed hashes. The prefixes of one order are
+    scored once each: features in the prefix come from the row, the others from the background, and a feature's value is
+    what p gains where it joins, so d features cost d + 1 scores a draw. The values of a row add up to its p less the
+    mean p of the background rows that it drew. score() adds p to a table with rows' columns.
     """
     numbered = hash_rank(background.select("row_id", *num), [], key("background", F.col("row_id"), seed), name="i").drop("row_id")
     size = background.count()
     other = numbered.select("i", *[F.col(c).alias(f"o_{c}") for c in num])
-    cases = rows.select("row_id", *num).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    cases = cases.withColumn("i", hash32(key("pick", F.col("row_id"), F.col("draw"), seed)) % size + 1).join(other, "i")
-    cases = cases.withColumn("feature", F.explode(F.array(*map(F.lit, num))))
-    place = lambda c: hash32(key("order", F.col("row_id"), F.col("draw"), c, seed))
-    mine = hash32(F.concat_ws("|", F.lit("order"), F.col("row_id").cast("string"), F.col("draw").cast("string"), F.col("feature"), F.lit(str(seed))))
-    mix = lambda with_it: {c: F.when((place(c) < mine) | ((F.col("feature") == c) if with_it else F.lit(False)), F.col(c)).otherwise(F.col(f"o_{c}")) for c in num}
-    keep = ["row_id", "draw", "feature"]
-    both = cases.withColumns(mix(True)).select(*keep, *num, F.lit(1.0).alias("sign")).unionByName(cases.withColumns(mix(False)).select(*keep, *num, F.lit(-1.0).alias("sign")))
-    return score(both).groupBy("row_id", "feature").agg((F.sum(F.col("sign") * F.col("p")) / draws).alias("value"))
+    draw = key("pick", F.col("row_id"), F.col("draw"), seed)
+    cases = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("i", hash32(draw) % size + 1).join(other, "i")
+    place = F.array(*[F.struct(hash32(key("order", F.col("row_id"), F.col("draw"), c, seed)).alias("h"), F.lit(c).alias("c")) for c in num])
+    cases = cases.withColumn("order", F.transform(F.sort_array(place), lambda x: x["c"]))
+    cases = cases.withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit(len(num)))))
+    mixed = cases.withColumns({c: F.when(F.array_position("order", c) <= F.col("prefix"), F.col(c)).otherwise(F.col(f"o_{c}")) for c in num}).drop(*[f"o_{c}" for c in num], "i")
+    # p of a prefix counts for the feature that joined last and against the one that joins next
+    joins = F.array(F.struct(F.get("order", F.col("prefix") - 1).alias("feature"), F.col("p").alias("v")), F.struct(F.get("order", F.col("prefix")).alias("feature"), (-F.col("p")).alias("v")))
+    parts = score(mixed).select("row_id", F.explode(joins).alias("j")).where("j.feature IS NOT NULL")
+    return parts.groupBy("row_id", F.col("j.feature").alias("feature")).agg((F.sum("j.v") / draws).alias("value"))
 
 
 def mean_absolute(attr: DataFrame, by: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paravane.functions.scalars import clip, closed_bin, floor_bin, quantile_bin, ratio
+from paravane.sources.editions import kept
 
 from .quantiles import quantiles_of_counts
 
@@ -13,34 +14,42 @@ from .quantiles import quantiles_of_counts
 SLICES, HALVINGS = 64, 24
 
 
-def _slice(p: Column) -> Column:
+def score_slice(p: Column) -> Column:
     """A number that rises with p: scores near 0 and 1, where rare classes lie, have finer slices."""
     fine = lambda x: F.least(F.floor(-F.log2(F.greatest(x, F.lit(2.0**-HALVINGS)))), F.lit(HALVINGS))
     low, high = F.lit(HALVINGS) - fine(p), F.lit(HALVINGS + SLICES) + fine(1 - p)
     return F.when(p < 1 / SLICES, low).when(p > 1 - 1 / SLICES, high).otherwise(HALVINGS + F.floor(p * SLICES)).cast("int")
 
 
-def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Positives and negatives of each distinct score, with those of all lower scores and of all scores.
+def by_score(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Positives and negatives of each distinct score, written once: every metric is a function of these counts.
+
+    Rows without a score are left out.
+    """
+    counts = df.where(F.col("p").isNotNull()).groupBy(*keys, "p")
+    return kept(counts.agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")), "by-score")
+
+
+def cumulated(counts: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """counts(keys.., p, cols..), a table with a row for each score, with <col>_below of all lower scores and all_<col>.
 
     Sums run inside slices of the score range; totals of whole slices are added from a table of a few rows a group. So a
-    group of any size is spread over tasks, and rows shuffle once, as counts. Rows without a score are left out.
+    group of any size is spread over tasks.
     """
-    by_score = df.where(F.col("p").isNotNull()).groupBy(*keys, "p")
-    by_score = by_score.agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")).withColumn("slice", _slice(F.col("p")))
-    slices = by_score.groupBy(*keys, "slice").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))
+    sliced = counts.withColumn("slice", score_slice(F.col("p")))
     over, all_ = Window.partitionBy(*keys).orderBy("slice"), Window.partitionBy(*keys)
     below = over.rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        *keys, "slice", *[F.coalesce(F.sum(c).over(below), F.lit(0.0)).alias(f"{c}_below") for c in ("sp", "sn")],
-        F.sum("sp").over(all_).alias("all_pos"), F.sum("sn").over(all_).alias("all_neg"),
-    )
+    slices = sliced.groupBy(*keys, "slice").agg(*[F.sum(c).alias(f"s_{c}") for c in cols]).select(
+        *keys, "slice", *[F.coalesce(F.sum(f"s_{c}").over(below), F.lit(0.0)).alias(f"b_{c}") for c in cols], *[F.sum(f"s_{c}").over(all_).alias(f"all_{c}") for c in cols]
+    )
     inside = Window.partitionBy(*keys, "slice").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    joined = by_score.join(slices, [*keys, "slice"])
-    return joined.withColumns({
-        "pos_below": F.col("sp_below") + F.coalesce(F.sum("pos").over(inside), F.lit(0.0)),
-        "neg_below": F.col("sn_below") + F.coalesce(F.sum("neg").over(inside), F.lit(0.0)),
-    })
+    out = sliced.join(slices, [*keys, "slice"])
+    return out.withColumns({f"{c}_below": F.col(f"b_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c in cols}).drop(*[f"b_{c}" for c in cols])
+
+
+def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Positives and negatives of each distinct score, with those of all lower scores and of all scores."""
+    return cumulated(by_score(df, keys), keys, ["pos", "neg"])
 
 
 def _area() -> Column:
@@ -77,36 +86,47 @@ def _cuts(bins: int) -> Column:
     return F.array(F.lit(0.0), *quantiles_of_counts([i / bins for i in range(1, bins)], n, below, total), F.lit(1.0))
 
 
+def _bin(p: Column, bins: int, mode: str) -> Column:
+    return quantile_bin(p, F.col("cuts")) if mode == "adaptive" else (floor_bin if mode == "floor" else closed_bin)(p, bins)
+
+
+def _binned(df: DataFrame, keys: list[str], bins: int, mode: str) -> DataFrame:
+    """keys, bin, n, p_sum, pos of all scored rows; rows that are in no bin have one outside the range."""
+    if mode == "adaptive":
+        counts = by_score(df, keys)
+        cuts = cumulated(counts, keys, ["pos", "neg"]).groupBy(*keys).agg(_cuts(bins).alias("cuts"))
+        counts, n = counts.join(F.broadcast(cuts) if not keys else cuts, keys), F.col("pos") + F.col("neg")
+        return counts.groupBy(*keys, _bin(F.col("p"), bins, mode).alias("bin")).agg(F.sum(n).cast("long").alias("n"), F.sum(F.col("p") * n).alias("p_sum"), F.sum("pos").alias("pos"))
+    binned = df.groupBy(*keys, _bin(F.col("p"), bins, mode).alias("bin"))
+    return binned.agg(F.count("*").alias("n"), F.sum("p").alias("p_sum"), F.sum("y").cast("double").alias("pos"))
+
+
 def curve(df: DataFrame, keys: list[str], bins: int = 15, mode: str = "floor") -> DataFrame:
     """Reliability curve: keys, bin, p_mean, y_mean, n; empty bins don't appear.
 
     mode "floor": left-closed bins, p = 1 is in none; "closed": the last bin holds 1; "adaptive": bins between the
     group's own score quantiles, right-closed.
     """
-    if mode == "adaptive":
-        cuts = score_counts(df, keys).groupBy(*keys).agg(_cuts(bins).alias("cuts"))
-        binned = df.join(F.broadcast(cuts) if not keys else cuts, keys).withColumn("bin", quantile_bin(F.col("p"), F.col("cuts")))
-    else:
-        binned = df.withColumn("bin", (floor_bin if mode == "floor" else closed_bin)(F.col("p"), bins))
-    points = binned.groupBy(*keys, "bin").agg(F.avg("p").alias("p_mean"), F.avg("y").alias("y_mean"), F.count("*").alias("n"))
-    return points.where((F.col("bin") >= 0) & (F.col("bin") < bins))
+    points = _binned(df, keys, bins, mode).where((F.col("bin") >= 0) & (F.col("bin") < bins))
+    return points.select(*keys, "bin", (F.col("p_sum") / F.col("n")).alias("p_mean"), (F.col("pos") / F.col("n")).alias("y_mean"), "n")
 
 
 def ece(df: DataFrame, keys: list[str], bins: int = 15, mode: str = "floor", name: str = "ece") -> DataFrame:
-    """Expected calibration error: mean gap of a curve's bins by their share of all rows."""
-    total = df.groupBy(*keys).agg(F.count("*").alias("rows"))
-    points = curve(df, keys, bins, mode).groupBy(*keys).agg(F.sum(F.abs(F.col("y_mean") - F.col("p_mean")) * F.col("n")).alias("gap"))
-    return total.join(points, keys, "left").select(*keys, (F.coalesce("gap", F.lit(0.0)) / F.col("rows")).alias(name))
+    """Expected calibration error: mean gap of a curve's bins by their share of all rows. One pass over the rows."""
+    gap = F.when((F.col("bin") >= 0) & (F.col("bin") < bins), F.abs(F.col("pos") - F.col("p_sum"))).otherwise(0.0)
+    return _binned(df, keys, bins, mode).groupBy(*keys).agg((F.sum(gap) / F.sum("n")).alias(name))
 
 
 def brier_parts(df: DataFrame, keys: list[str], bins: int = 15, mode: str = "adaptive") -> DataFrame:
     """Murphy's reliability, resolution and uncertainty over a curve's bins."""
-    base = df.groupBy(*keys).agg(F.avg("y").alias("base"), F.count("*").alias("rows"))
-    joined = curve(df, keys, bins, mode).join(base, keys)
-    share = F.col("n") / F.col("rows")
+    cells = _binned(df, keys, bins, mode)
+    over = Window.partitionBy(*keys)  # a group has a row for each bin
+    joined = cells.withColumns({"rows": F.sum("n").over(over), "base": F.sum("pos").over(over) / F.sum("n").over(over)})
+    joined = joined.where((F.col("bin") >= 0) & (F.col("bin") < bins))
+    share, p_mean, y_mean = F.col("n") / F.col("rows"), F.col("p_sum") / F.col("n"), F.col("pos") / F.col("n")
     return joined.groupBy(*keys).agg(
-        F.sum(share * F.pow(F.col("p_mean") - F.col("y_mean"), 2.0)).alias("brier_rel"),
-        F.sum(share * F.pow(F.col("y_mean") - F.col("base"), 2.0)).alias("brier_res"),
+        F.sum(share * F.pow(p_mean - y_mean, 2.0)).alias("brier_rel"),
+        F.sum(share * F.pow(y_mean - F.col("base"), 2.0)).alias("brier_res"),
         F.max(F.col("base") * (1 - F.col("base"))).alias("brier_unc"),
     )
 
@@ -114,10 +134,11 @@ def brier_parts(df: DataFrame, keys: list[str], bins: int = 15, mode: str = "ada
 def metric_bundle(df: DataFrame, keys: list[str], eps: float = 1e-7, bins: int = 15) -> DataFrame:
     """auroc, auprc, brier, log_loss, ece, aece, Brier parts, n_eval and prevalence of each group.
 
-    Scores are first held to [eps, 1 - eps]. All values are functions of the counts of distinct scores, so rows shuffle
-    once; the bins come from the counts too, joined with each group's quantiles.
+    Scores are first held to [eps, 1 - eps]. All values are functions of the counts of distinct scores, which are written
+    once, so the scored rows are read once; the bins come from the counts too, joined with each group's quantiles.
     """
-    counts = score_counts(df.withColumn("p", clip(F.col("p"), eps, 1 - eps)), keys)
+    scores = by_score(df.withColumn("p", clip(F.col("p"), eps, 1 - eps)), keys)
+    counts = cumulated(scores, keys, ["pos", "neg"])
     p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
     rows = F.sum(pos + neg)
     whole = counts.groupBy(*keys).agg(
@@ -125,7 +146,8 @@ def metric_bundle(df: DataFrame, keys: list[str], eps: float = 1e-7, bins: int =
         (F.sum(-pos * F.ln(p) - neg * F.ln(1 - p)) / rows).alias("log_loss"), rows.cast("long").alias("n_eval"), (F.sum("pos") / rows).alias("prevalence"),
         _cuts(bins).alias("cuts"),
     )
-    cells = counts.join(whole.select(*keys, "cuts"), keys).groupBy(*keys, quantile_bin(p, F.col("cuts")).alias("abin"), floor_bin(p, bins).alias("fbin"))
+    whole = kept(whole, "metrics")  # a row for each group, read three times
+    cells = scores.join(whole.select(*keys, "cuts"), keys).groupBy(*keys, quantile_bin(p, F.col("cuts")).alias("abin"), floor_bin(p, bins).alias("fbin"))
     cells = cells.agg(F.sum(pos + neg).alias("n"), F.sum(p * (pos + neg)).alias("p_sum"), F.sum("pos").alias("pos"))
     sums = [F.sum(c).alias(c) for c in ("n", "p_sum", "pos")]
     gap = F.abs(F.col("pos") - F.col("p_sum"))
@@ -158,6 +180,22 @@ def sensitivity_threshold(df: DataFrame, keys: list[str], target: float = 0.80)
     return counts.groupBy(*keys).agg(F.coalesce(thr, F.lit(1.0)).alias("thr"))
 
 
+def held_out_thresholds(df: DataFrame, keys: list[str], folds: list[int], target: float = 0.80) -> DataFrame:
+    """keys, fold, thr for each of folds: the quantile 1 - target of the positives' scores in the other folds.
+
+    df has fold. Positives are counted once, by score and fold; what a fold's threshold is taken from is all counts less
+    its own. 1 where the other folds have no positives; a group without any gives no row.
+    """
+    positive = df.where((F.col("y") == 1) & F.col("p").isNotNull()).groupBy(*keys, "p")
+    each = [f"in_{k}" for k in folds]
+    counts = kept(positive.agg(F.count("*").cast("double").alias("pos"), *[F.count_if(F.col("fold") == k).cast("double").alias(c) for k, c in zip(folds, each)]), "positives")
+    cum, found = cumulated(counts, keys, ["pos", *each]), []
+    for k, c in zip(folds, each):
+        thr = quantiles_of_counts([1 - target], F.col("pos") - F.col(c), F.col("pos_below") - F.col(f"{c}_below"), F.col("all_pos") - F.col(f"all_{c}"))[0]
+        found.append(F.struct(F.lit(k).alias("fold"), F.coalesce(thr, F.lit(1.0)).alias("thr")))
+    return cum.groupBy(*keys).agg(F.array(*found).alias("t")).select(*keys, F.explode("t").alias("t")).select(*keys, "t.fold", "t.thr")
+
+
 def confusion(df: DataFrame, keys: list[str], thr: str = "thr") -> DataFrame:
     """tp, fp, tn and fn at p >= thr."""
     hit, y = F.col("p") >= F.col(thr), F.col("y") == 1

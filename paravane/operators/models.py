@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paravane.functions.draws import normal, uniform
+from paravane.functions.draws import uniform
 from paravane.functions.scalars import logistic
+from paravane.sources.editions import kept
 
+from .calibration import calibrate
 from .metrics import metric_bundle
 from .quantiles import medians
 from .sampling import stratified_folds
@@ -75,18 +76,49 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("y") == 1, n.n / (2 * pos)).otherwise(n.n / (2 * max(1, n.n - pos))))
 
 
-def fourier(df: DataFrame, dims: int, width: int, gamma: float, seed: int = 42) -> DataFrame:
-    """Random Fourier features of `features` (Rahimi and Recht 2007): their products approximate an RBF kernel."""
-    spark = df.sparkSession
-    draws = spark.range(dims * (width + 1)).select(normal("rff", F.col("id"), seed).alias("g"), uniform("rff-phase", F.col("id"), seed).alias("u")).collect()
-    x = vector_to_array("features")
+def hadamard(x):
+    """The Walsh-Hadamard transform of each row, in place; the width is a power of two."""
+    n, width = x.shape
+    step = 1
+    while step < width:
+        pair = x.reshape(n, width // (2 * step), 2, step)
+        low, high = pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]
+        pair[:, :, 0], pair[:, :, 1] = low, high
+        step *= 2
+    return x
+
+
+def fastfood(x, dims: int, gamma: float, seed: int = 42):
+    """`dims` random features of each row of x, whose products approximate exp(-gamma * squared distance).
+
+    Random signs, a Hadamard transform, a permutation, Gaussian weights and another transform stand in for a dense
+    Gaussian matrix (Le, Sarlos, Smola 2013), so a row costs dims * log(width).
+    """
+    import numpy as np
+
+    rng, width = np.random.default_rng(seed), 1 << max(0, (x.shape[1] - 1).bit_length())
+    padded = np.zeros((len(x), width))
+    padded[:, : x.shape[1]] = x
     out = []
-    for j in range(dims):
-        w = [draws[j * (width + 1) + i].g * math.sqrt(2 * gamma) for i in range(width)]
-        phase = draws[j * (width + 1) + width].u * 2 * math.pi
-        dot = F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        out.append(math.sqrt(2 / dims) * F.cos(dot + phase))
-    return df.withColumn("features", array_to_vector(F.array(*out)))
+    for _ in range(-(-dims // width)):
+        sign, order, g = rng.choice([-1.0, 1.0], width), rng.permutation(width), rng.standard_normal(width)
+        length = np.sqrt(rng.chisquare(width, width)) / np.linalg.norm(g)
+        dot = hadamard(hadamard(padded * sign)[:, order] * g) * length / np.sqrt(width)
+        out.append(np.cos(np.sqrt(2 * gamma) * dot + rng.uniform(0, 2 * np.pi, width)))
+    return np.sqrt(2 / dims) * np.concatenate(out, axis=1)[:, :dims]
+
+
+def fourier(df: DataFrame, dims: int, gamma: float, seed: int = 42) -> DataFrame:
+    """df with `features` as Fastfood features of an RBF kernel, made in Arrow batches."""
+
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        for rows in batches:
+            yield pd.Series(list(fastfood(np.stack(rows.to_numpy()), dims, gamma, seed)) if len(rows) else [])
+
+    to_features = F.pandas_udf(made, "array<double>")
+    return df.withColumn("features", array_to_vector(to_features(vector_to_array("features"))))
 
 
 def hashed_cuts(train: DataFrame, width: int, bins: int = 8, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
@@ -121,7 +153,7 @@ def estimators(
         "random_forest": (lambda: RandomForestClassifier(**forest), None),
         "extra_trees": (lambda: RandomForestClassifier(bootstrap=False, featureSubsetStrategy="sqrt", **forest), lambda train: hashed_cuts(train, width)),
         "gradient_boosting": (lambda: GBTClassifier(maxIter=rounds, stepSize=0.03, maxDepth=3, seed=42, **common), None),
-        "svc_rbf": (lambda: LinearSVC(maxIter=50, regParam=1 / max(1, n_rows), weightCol="weight", **common), lambda _: lambda d: fourier(d, 128, width, 1 / width)),
+        "svc_rbf": (lambda: LinearSVC(maxIter=50, regParam=1 / max(1, n_rows), weightCol="weight", **common), lambda _: lambda d: fourier(d, 128, 1 / width)),
         "mlp": (lambda: MultilayerPerceptronClassifier(layers=[width, *layers, 2], maxIter=steps, seed=42, **common), None),
         "gaussian_nb": (lambda: NaiveBayes(modelType="gaussian", **common), None),
     }
@@ -173,25 +205,39 @@ def inner_scores(train: DataFrame, name: str, num: list[str], cat: list[str], fo
     return full.join(inner, "row_id", "left").withColumn("p", F.coalesce("p_oof", "p")).drop("p_oof")
 
 
+def nested_scores(rows: DataFrame, name: str, num: list[str], cat: list[str], inner: int = 3, seed: int = 42, outer: list | None = None, **sizes) -> DataFrame:
+    """outer, inner, held, row_id, y, p, written: what calibration needs of every outer fold of rows(fold, ..).
+
+    Each model is fitted on the rows outside an outer and an inner fold, and scores both: held rows are those of the inner
+    fold, the others are those of the outer one. outer: the outer folds, all where None.
+    """
+    rows = kept(rows.withColumnRenamed("fold", "outer"), "outer-folds")
+    out = None
+    for k in sorted(r[0] for r in rows.select("outer").distinct().collect()) if outer is None else outer:
+        train = kept(stratified_folds(rows.where(F.col("outer") != k), [], inner, 1, seed).drop("repeat"), "inner-folds")
+        for j in range(1, inner + 1):
+            score = fitted(train.where(F.col("fold") != j).drop("fold"), name, num, cat, **sizes)
+            asked = train.where(F.col("fold") == j).drop("fold").withColumn("held", F.lit(True)).unionByName(rows.where(F.col("outer") == k).withColumn("held", F.lit(False)))
+            part = score(asked).select(F.lit(k).alias("outer"), F.lit(j).alias("inner"), "held", "row_id", "y", "p")
+            out = part if out is None else out.unionByName(part)
+    return kept(out, "nested-scores")
+
+
+def calibrated_scores(nested: DataFrame, method: str) -> DataFrame:
+    """outer, row_id, y, p of the rows of outer folds: the mean over inner folds of the scores calibrated on those.
+
+    The calibrators of all outer and inner folds are fitted and applied in one plan.
+    """
+    keys = ["outer", "inner"]
+    found = calibrate(nested.where("held"), nested.where("not held").drop("held"), keys, method)
+    return found.groupBy("outer", "row_id", "y").agg(F.avg("q").alias("p"))
+
+
 def calibrated(train: DataFrame, test: DataFrame, name: str, num: list[str], cat: list[str], method: str = "sigmoid", folds: int = 3, seed: int = 42, **sizes) -> DataFrame:
     """test's rows with p averaged over inner folds: fitted on the rest, calibrated on the fold by sigmoid or isotonic."""
-    tagged = stratified_folds(train, [], folds, 1, seed).drop("repeat")
-    parts = None
-    for k in range(1, folds + 1):
-        fit, held = tagged.where(F.col("fold") != k), tagged.where(F.col("fold") == k)
-        margin = lambda d: d.withColumn("m", F.ln((F.col("p") + 1e-6) / (1 - F.col("p") + 1e-6)))
-        score = fitted(fit, name, num, cat, **sizes)
-        on, to = margin(score(held)), margin(score(test))
-        if method == "sigmoid":
-            make = VectorAssembler(inputCols=["m"], outputCol="mv")
-            model = LogisticRegression(featuresCol="mv", labelCol="y").fit(make.transform(on.select("m", "y")))
-            part = model.transform(make.transform(to)).select("row_id", vector_to_array("probability")[1].alias("q"))
-        else:
-            make = VectorAssembler(inputCols=["p"], outputCol="pv")
-            model = IsotonicRegression(featuresCol="pv", labelCol="y").fit(make.transform(on.select("p", F.col("y").cast("double").alias("y"))))
-            part = model.transform(make.transform(to)).select("row_id", F.col("prediction").alias("q"))
-        parts = part if parts is None else parts.unionByName(part)
-    return test.join(parts.groupBy("row_id").agg(F.avg("q").alias("p")), "row_id")
+    rows = train.withColumn("fold", F.lit(0)).unionByName(test.withColumn("fold", F.lit(1)))
+    found = calibrated_scores(nested_scores(rows, name, num, cat, folds, seed, [1], **sizes), method)
+    return test.join(found.select("row_id", "p"), "row_id")
 
 
 def evaluate_all(df: DataFrame, names: list[str], num: list[str], cat: list[str], folds: int = 2, **sizes) -> DataFrame:
@@ -218,40 +264,96 @@ def closed_form_nb(train: DataFrame, test: DataFrame, by: list[str], num: list[s
     return rows.withColumn("p", logistic(like(1) - like(0))).select(*test.columns, "p")
 
 
+def nb_statistics(rows: DataFrame, by: list[str], cols: list[str], folds: int, middle: bool = False) -> DataFrame:
+    """by.., fold: what naive Bayes models without each fold need, from one small table of moments by fold and class.
+
+    For each class k the count n_<k>, means a_<col>_<k> and variances v_<col>_<k> of the other folds, their pooled means
+    m_<col> and variances w_<col>; with `middle` also medians (approximate beyond 10,000 values, in bounded memory).
+    """
+    at = [*by, "fold"]
+    held = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("held")
+    parts = rows.groupBy(*at, "y").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for k, f in (("k", F.count), ("a", F.avg), ("v", F.var_pop)) for c in cols])
+    parts = parts.select("*", held).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
+
+    def pooled(by_class: list[str], mean: str, var: str) -> DataFrame:
+        mean_of = lambda c, x: F.try_divide(F.sum(F.col(f"k_{c}") * x), F.sum(f"k_{c}"))
+        m = {c: mean_of(c, F.col(f"a_{c}")) for c in cols}
+        spread = {c: F.greatest(mean_of(c, F.col(f"v_{c}") + F.col(f"a_{c}") * F.col(f"a_{c}")) - m[c] * m[c], F.lit(0.0)) for c in cols}
+        return parts.groupBy(*at, *by_class).agg(F.sum("n").alias("n"), *[m[c].alias(f"{mean}_{c}") for c in cols], *[spread[c].alias(f"{var}_{c}") for c in cols])
+
+    per, wide = pooled(["y"], "a", "v"), pooled([], "m", "w").drop("n")
+    if middle:
+        others = rows.select(*rows.columns, held).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
+        wide = wide.join(others.groupBy(*at).agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"med_{c}") for c in cols]), at)
+    side = lambda k: per.where(F.col("y") == k).select(*at, *[F.col(c).alias(f"{c}_{k}") for c in ("n", *[f"{m}_{c}" for m in "av" for c in cols])])
+    return side(0).join(side(1), at).join(wide, at)
+
+
+def _smoothing(used: list[str], smooth: float) -> Column:
+    return smooth * F.greatest(*[F.col(f"w_{c}") for c in used], F.lit(0.0))
+
+
+def _likelihood(used: list[str], k: int, smooth: float) -> Column:
+    """The log of class k's share times its densities, over nb_statistics()."""
+    out = F.ln(F.col(f"n_{k}").cast("double"))
+    for c in used:
+        var = F.col(f"v_{c}_{k}") + _smoothing(used, smooth)
+        out = out - 0.5 * F.ln(var) - F.pow(F.col(c) - F.col(f"a_{c}_{k}"), 2.0) / (2 * var)
+    return out
+
+
 def held_out_nb(
-    rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, smooth: float = 1e-9, test: DataFrame | None = None, keep: tuple[str, ...] = ()
+    rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, smooth: float = 1e-9, test: DataFrame | None = None, keep: tuple[str, ...] = (), fill: bool = True
 ) -> DataFrame:
     """by.., keep.., model, row_id, y, p of naive Bayes models, each on its columns, for all groups in one plan.
 
     rows has fold: a row's p comes from the class means and variances of the other folds of its group, which are counted
     once for all models. As in closed_form_nb(), `smooth` times the greatest variance is added to each. Where test is
-    given, its rows are scored in place of rows, each with its fold; a null there counts as the median of the other folds
-    (approximate beyond 10,000 values, in bounded memory).
+    given, its rows are scored in place of rows, each with its fold; with fill, a null there counts as the median of the
+    other folds.
     """
     cols = sorted({c for used in models.values() for c in used})
-    others = rows.withColumn("held", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
-    at = [*by, "fold"]
-    moments = lambda p: [*[F.avg(c).alias(f"{p}a_{c}") for c in cols], *[F.var_pop(c).alias(f"{p}v_{c}") for c in cols]]
-    middle = [F.percentile_approx(c, 0.5, 10_000).alias(f"med_{c}") for c in cols] if test is not None else []
-    wide = others.groupBy(*at).agg(*[F.var_pop(c).alias(f"w_{c}") for c in cols], *middle)
-    per = others.groupBy(*at, "y").agg(F.count("*").alias("n"), *moments(""))
-    side = lambda k: per.where(F.col("y") == k).select(*at, *[F.col(c).alias(f"{c}_{k}") for c in ("n", *[f"{m}_{c}" for m in "av" for c in cols])])
-    stats = side(0).join(side(1), at).join(wide, at)
+    at, fill = [*by, "fold"], fill and test is not None
+    stats = nb_statistics(rows, by, cols, folds, fill)
 
-    def like(used: list[str], k: int) -> Column:
-        more = smooth * F.greatest(*[F.col(f"w_{c}") for c in used], F.lit(0.0))
-        out = F.ln(F.col(f"n_{k}").cast("double"))
-        for c in used:
-            var = F.col(f"v_{c}_{k}") + more
-            out = out - 0.5 * F.ln(var) - F.pow(F.col(c) - F.col(f"a_{c}_{k}"), 2.0) / (2 * var)
-        return out
-
-    scores = F.array(*[F.struct(F.lit(name).alias("model"), logistic(like(used, 1) - like(used, 0)).alias("p")) for name, used in models.items()])
+    scores = F.array(*[F.struct(F.lit(name).alias("model"), logistic(_likelihood(used, 1, smooth) - _likelihood(used, 0, smooth)).alias("p")) for name, used in models.items()])
     scored = (rows if test is None else test).join(stats, at)
-    if test is not None:
+    if fill:
         scored = scored.withColumns({c: F.coalesce(c, f"med_{c}") for c in cols})
-    kept = [*by, *keep]
-    return scored.select(*kept, "row_id", "y", F.explode(scores).alias("s")).select(*kept, "s.model", "row_id", "y", "s.p")
+    kept_cols = [*by, *keep]
+    return scored.select(*kept_cols, "row_id", "y", F.explode(scores).alias("s")).select(*kept_cols, "s.model", "row_id", "y", "s.p")
+
+
+def nb_scored(df: DataFrame, stats: DataFrame, by: list[str], used: list[str], smooth: float = 1e-9) -> DataFrame:
+    """df(by.., fold, columns) with p of the model on `used` whose statistics nb_statistics() gave; one row a group is broadcast."""
+    joined = df.join(F.broadcast(stats), [*by, "fold"])
+    return joined.select(*df.columns, logistic(_likelihood(used, 1, smooth) - _likelihood(used, 0, smooth)).alias("p"))
+
+
+def held_out_nb_attributions(
+    rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, smooth: float = 1e-9, test: DataFrame | None = None, keep: tuple[str, ...] = (), fill: bool = False
+) -> DataFrame:
+    """by.., keep.., model, row_id, feature, value: Shapley values of the log-odds of held_out_nb()'s models.
+
+    The log-odds of naive Bayes are a sum over features, so a feature's Shapley value is its term less that term's mean
+    over the background, the rows that the model was fitted on. Those means follow from the pooled moments; a row's
+    values add up to its log-odds less the background's mean.
+    """
+    cols = sorted({c for used in models.values() for c in used})
+    at, fill = [*by, "fold"], fill and test is not None
+    parts = []
+    for name, used in models.items():
+        more = _smoothing(used, smooth)
+        for c in used:
+            far = lambda k, x: x / (2 * (F.col(f"v_{c}_{k}") + more))  # noqa: B023, E731
+            here = lambda k: far(k, F.pow(F.col(c) - F.col(f"a_{c}_{k}"), 2.0))  # noqa: B023, E731
+            mean = lambda k: far(k, F.col(f"w_{c}") + F.pow(F.col(f"m_{c}") - F.col(f"a_{c}_{k}"), 2.0))  # noqa: B023, E731
+            parts.append(F.struct(F.lit(name).alias("model"), F.lit(c).alias("feature"), ((here(0) - here(1)) - (mean(0) - mean(1))).alias("value")))
+    joined = (rows if test is None else test).join(nb_statistics(rows, by, cols, folds, fill), at)
+    if fill:
+        joined = joined.withColumns({c: F.coalesce(c, f"med_{c}") for c in cols})
+    kept_cols = [*by, *keep]
+    return joined.select(*kept_cols, "row_id", F.explode(F.array(*parts)).alias("s")).select(*kept_cols, "s.model", "row_id", "s.feature", "s.value")
 
 
 def held_out_in_worlds(rows: DataFrame, by: list[str], models: dict[str, list[str]], folds: int, num: list[str], cat: list[str], seed: int = 42) -> DataFrame:

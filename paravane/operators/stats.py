@@ -197,29 +197,63 @@ def histogram(df: DataFrame, by: list[str], c: str, bins: int = 30) -> DataFrame
     return rows.groupBy(*by, "bin").agg(F.min(F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("bin") / bins).alias("lo"), F.count("*").alias("n"))
 
 
-def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Least squares of y on xs with an intercept: term, coef, se, t_stat, p, ci_lo, ci_hi, vif, r2, adj_r2, n.
+def ols(df: DataFrame, y: str, xs: list[str], by: list[str] | None = None) -> DataFrame:
+    """Least squares of y on xs with an intercept in each group: by.., term, coef, se, t_stat, p, ci_lo, ci_hi, vif, r2, adj_r2, n.
 
-    Fitted by Spark ML's normal equations; needs three complete rows at least and more rows than terms.
+    One aggregation gives the covariances of each group's complete rows; coefficients, errors and inflation factors come
+    from the inverse of that small matrix. A group needs three complete rows at least, more rows than terms, and regressors
+    that aren't collinear; others give no rows. Without `by`, too few rows are an error.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = df.select(F.col(y).cast("double").alias("label"), *[F.col(x).cast("double") for x in xs]).dropna()
-    n = rows.count()
-    if n < max(3, len(xs) + 2):
-        raise ValueError(f"{n} complete rows are too few for {len(xs)} terms")
-    fit = lambda target, cols: LinearRegression(solver="normal", labelCol=target).fit(VectorAssembler(inputCols=cols, outputCol="features").transform(rows))
-    model = fit("label", xs)
-    s = model.summary
-    vif = [1 / max(1e-12, 1 - fit(x, [z for z in xs if z != x]).summary.r2) if len(xs) > 1 else 1.0 for x in xs]
-    coef, se, t, p = [*model.coefficients.toArray().tolist(), model.intercept], s.coefficientStandardErrors, s.tValues, s.pValues
+    by, k = by or [], len(xs)
+    names = [*xs, y]
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(names)]).dropna(subset=[f"__{i}" for i in range(k + 1)])
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.array(*[F.avg(f"__{i}") for i in range(k + 1)]).alias("mean"), F.array(*[F.covar_pop(f"__{i}", f"__{j}") for i, j in pairs]).alias("cov")
+    )
+    if not by and (n := rows.count()) < max(3, k + 2):
+        raise ValueError(f"{n} complete rows are too few for {k} terms")
+    terms = [*xs, "intercept"]
+    fields = "term string, coef double, se double, t_stat double, p double, ci_lo double, ci_hi double, vif double, r2 double, adj_r2 double, n long"
+
+    def solve(pdfs):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in pdfs:
+            out = []
+            for _, r in pdf.iterrows():
+                n, c, m = int(r["n"]), np.zeros((k + 1, k + 1)), np.asarray(r["mean"], float)
+                if n < max(3, k + 2):
+                    continue
+                for (i, j), v in zip(pairs, r["cov"]):
+                    c[i, j] = c[j, i] = v
+                if np.linalg.matrix_rank(c[:k, :k] / np.sqrt(np.outer(d := np.maximum(np.diag(c)[:k], 1e-300), d))) < k:
+                    continue
+                inverse = np.linalg.inv(c[:k, :k])
+                slope = inverse @ c[:k, k]
+                explained, free = slope @ c[:k, k], n - k - 1
+                s2 = max(0.0, c[k, k] - explained) * n / free
+                coef = np.append(slope, m[k] - slope @ m[:k])
+                se = np.sqrt(s2 / n * np.append(np.diag(inverse), 1 + m[:k] @ inverse @ m[:k]))
+                vif = [*(np.diag(inverse) * np.diag(c)[:k]).tolist(), None]
+                r2 = explained / c[k, k] if c[k, k] > 0 else None
+                adjusted = None if r2 is None else 1 - (1 - r2) * (n - 1) / free
+                half = t_point(free)
+                for name, b, e, f in zip(terms, coef.tolist(), se.tolist(), vif):
+                    t = b / e if e > 0 else None
+                    p = None if t is None else t_tail(abs(t), free)
+                    out.append((*[r[g] for g in by], name, b, e, t, p, b - half * e, b + half * e, f, r2, adjusted, n))
+            yield pd.DataFrame(out, columns=[*by, *[x.split()[0] for x in fields.split(", ")]])
+
+    groups = [f"`{g}` {df.schema[g].dataType.simpleString()}" for g in by]
+    return sums.mapInPandas(solve, ", ".join([*groups, fields]))
+
+
+def t_point(free: float, tail: float = 0.05) -> float:
+    """The two-sided point of Student's t."""
     lo, hi = 0.0, 1000.0
-    for _ in range(80):  # the two-sided 5 % point of t
+    for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if t_tail(mid, s.degreesOfFreedom) > 0.05 else (lo, mid)
-    out = [
-        (name, float(c), float(e), float(a), float(b), float(c - lo * e), float(c + lo * e), v, float(s.r2), float(s.r2adj), n)
-        for name, c, e, a, b, v in zip([*xs, "intercept"], coef, se, t, p, [*map(float, vif), None])
-    ]
-    return df.sparkSession.createDataFrame(out, "term string, coef double, se double, t_stat double, p double, ci_lo double, ci_hi double, vif double, r2 double, adj_r2 double, n long")
+        lo, hi = (mid, hi) if t_tail(mid, free) > tail else (lo, mid)
+    return lo

@@ -16,6 +16,7 @@ from paravane.sources import editions as src
 from paravane.sources.editions import CATEGORICAL as CAT
 from paravane.sources.editions import NUMERIC as NUM
 
+from . import views as v
 from .ctes import EDGES15, SUBSAMPLE, SUBSAMPLE_KEY, arr, binned, h32, lit, normal as sql_normal, student3, u
 from .registry import query
 
@@ -84,9 +85,9 @@ def b13_finite_filter(spark: SparkSession, sf: str) -> DataFrame:
     return r.where(finite(F.col("ratio")))
 
 
-@query("SELECT edition, model, world, count(*) AS n, avg(p) AS p FROM predictions WHERE model IN ('model_a', 'model_d') AND world NOT IN ('clean', 'label_noise') GROUP BY ALL", "p")
+@query("SELECT edition, model, world, count(*) AS n, avg(p) AS p FROM predictions WHERE model IN ('nb_123', 'nb_12') AND world NOT IN ('clean', 'label_noise') GROUP BY ALL", "p")
 def b14_membership_filter(spark: SparkSession, sf: str) -> DataFrame:
-    kept = src.predictions(spark, sf).where(F.col("model").isin("model_a", "model_d") & ~F.col("world").isin("clean", "label_noise"))
+    kept = v.predictions(spark, sf).where(F.col("model").isin("nb_123", "nb_12") & ~F.col("world").isin("clean", "label_noise"))
     return kept.groupBy("edition", "model", "world").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
 
 
@@ -301,12 +302,10 @@ def e12_closed_form_nb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _calibrated(spark: SparkSession, sf: str, name: str, methods: tuple[str, ...]) -> DataFrame:
-    """Every labelled row scored by the calibrated model of the other of two folds."""
+    """Every labelled row scored by the calibrated models of the other of two folds."""
     rows = s.stratified_folds(src.labelled(spark, sf), [], 2, 1).drop("repeat")
-    out = []
-    for k in (1, 2):
-        train, test = rows.where(F.col("fold") != k).drop("fold"), rows.where(F.col("fold") == k).drop("fold")
-        out += [m.calibrated(train, test, name, NUM, CAT, how, 2).withColumn("method", F.lit(how)) for how in methods]
+    nested = m.nested_scores(rows, name, NUM, CAT, 2)
+    out = [m.calibrated_scores(nested, how).withColumn("method", F.lit(how)) for how in methods]
     return reduce(DataFrame.unionByName, out).select("method", "row_id", "y", "p")
 
 
@@ -347,7 +346,7 @@ def d5_subsample_models(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT edition, model, fold, row_id, least(greatest(p / 0.7e0 - 0.2e0, 0e0), 1e0) AS held, exp(-p) AS e, ln(1 + p) AS l, sqrt(p) AS s, 1 / (1 + exp(-p)) AS g, {binned('p', arr(EDGES15))} AS bin, least({binned('p', arr(EDGES15))}, 14) AS closed FROM scored", "held e l s g")
 def p1_p2_p3_scalars(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p")
-    rows = src.stand_in_scores(src.editions(spark, sf)).withColumn("fold", src.fold_of(F.col("row_id")))
+    rows = v.predictions(spark, sf).where("world = 'clean'")
     return rows.select("edition", "model", "fold", "row_id", clip(p / 0.7 - 0.2).alias("held"), F.exp(-p).alias("e"), F.log1p(p).alias("l"), F.sqrt(p).alias("s"), logistic(p).alias("g"), floor_bin(p, 15).alias("bin"), closed_bin(p, 15).alias("closed"))
 
 

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paravane.functions.draws import uniform
 from paravane.operators import attribution as at
 from paravane.operators import compare as cmp
 from paravane.operators import composite as co
 from paravane.operators import metrics as mt
 from paravane.operators import models as m
 from paravane.operators import stats as st
-from paravane.operators.sampling import fixed_sample, stratified_subsample
+from paravane.operators.sampling import stratified_subsample
 from paravane.sources import editions as src
 from paravane.sources.editions import NUMERIC as NUM
 
 from . import views as v
-from .ctes import EDGES15, KEYS, arr, average_rank, binned, lit, u
+from .ctes import EDGES15, KEYS, arr, average_rank, binned, linear_ctes, lit, stability_ctes, u
 from .registry import query
 
 EM = ["edition", "model"]
@@ -25,22 +24,22 @@ K5 = v.KEYS
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return src.predictions(spark, sf).where("world = 'clean'").drop("world", "severity")
+    return v.predictions(spark, sf).where("world = 'clean'").drop("world", "severity")
 
 
 @query(f"SELECT {KEYS}, auroc FROM areas", "auroc")
 def f1_auroc(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.auroc(src.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5)
+    return mt.auroc(v.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5)
 
 
 @query(f"SELECT {KEYS}, auprc FROM areas", "auprc")
 def f2_average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.average_precision(src.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5)
+    return mt.average_precision(v.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5)
 
 
 @query(f"SELECT {KEYS}, avg((p - y) * (p - y)) AS brier FROM predictions GROUP BY ALL", "brier")
 def f3_brier(spark: SparkSession, sf: str) -> DataFrame:
-    return src.predictions(spark, sf).groupBy(*K5).agg(mt.brier().alias("brier"))
+    return v.predictions(spark, sf).groupBy(*K5).agg(mt.brier().alias("brier"))
 
 
 def _ll(eps: str) -> str:
@@ -50,7 +49,7 @@ def _ll(eps: str) -> str:
 
 @query(f"SELECT {KEYS}, {_ll('1e-7')} AS loose, {_ll('1e-15')} AS tight FROM predictions GROUP BY ALL", "loose tight")
 def f4_log_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return src.predictions(spark, sf).groupBy(*K5).agg(mt.log_loss(1e-7).alias("loose"), mt.log_loss(1e-15).alias("tight"))
+    return v.predictions(spark, sf).groupBy(*K5).agg(mt.log_loss(1e-7).alias("loose"), mt.log_loss(1e-15).alias("tight"))
 
 
 def _ece(edges: list[float], closed: bool) -> str:
@@ -62,12 +61,12 @@ SELECT {KEYS}, coalesce(sum(abs(ym - pm) * n) FILTER (bin < {len(edges) - 1}), 0
 
 @query(_ece(EDGES15, False), "ece")
 def f5_ece_floor(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.ece(src.predictions(spark, sf), K5, 15, "floor")
+    return mt.ece(v.predictions(spark, sf), K5, 15, "floor")
 
 
 @query(_ece([i / 10 for i in range(11)], True), "ece")
 def f6_ece_closed(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.ece(src.predictions(spark, sf), K5, 10, "closed")
+    return mt.ece(v.predictions(spark, sf), K5, 10, "closed")
 
 
 @query(f"SELECT {KEYS}, aece FROM aeces", "aece")
@@ -77,7 +76,7 @@ def f7_adaptive_ece(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT {KEYS}, bin, p_mean, y_mean, n FROM curve", "p_mean y_mean")
 def f8_reliability_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return mt.curve(src.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
+    return mt.curve(v.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
 
 
 @query(f"SELECT * FROM murphy", "brier_rel brier_res brier_unc")
@@ -87,13 +86,13 @@ def f9_brier_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT edition, model, world, bin, sum(p_mean * n) / sum(n) AS p_mean, sum(y_mean * n) / sum(n) AS y_mean, sum(n)::BIGINT AS n, stddev_pop(y_mean) AS y_sd, count(DISTINCT fold) AS n_folds FROM curve GROUP BY ALL", "p_mean y_mean y_sd")
 def f10_pooled_curve(spark: SparkSession, sf: str) -> DataFrame:
-    points = mt.curve(src.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
+    points = mt.curve(v.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
     return mt.pooled_curve(points, ["edition", "model", "world"])
 
 
-@query("SELECT edition, fold, count(*) AS n, avg(y) AS prevalence FROM predictions WHERE model = 'model_a' AND world = 'clean' GROUP BY ALL", "prevalence")
+@query("SELECT edition, fold, count(*) AS n, avg(y) AS prevalence FROM predictions WHERE model = 'nb_123' AND world = 'clean' GROUP BY ALL", "prevalence")
 def f11_prevalence(spark: SparkSession, sf: str) -> DataFrame:
-    return clean(spark, sf).where("model = 'model_a'").groupBy("edition", "fold").agg(F.count("*").alias("n"), F.avg("y").alias("prevalence"))
+    return clean(spark, sf).where("model = 'nb_123'").groupBy("edition", "fold").agg(F.count("*").alias("n"), F.avg("y").alias("prevalence"))
 
 
 @query(
@@ -168,7 +167,7 @@ def g2_component_summary(spark: SparkSession, sf: str) -> DataFrame:
     return st.bootstrap_mean(long, ["edition", "model", "component"], "value", BOOT)
 
 
-@query("SELECT edition, model, avg(time_fit) AS fit_mean, stddev_samp(time_fit) AS fit_std, avg(time_total) AS total_mean, stddev_samp(time_total) AS total_std FROM costs GROUP BY ALL", "fit_mean fit_std total_mean total_std")
+@query()
 def g3_cost_summary(spark: SparkSession, sf: str) -> DataFrame:
     aggs = [f(c).alias(f"{c[5:]}_{n}") for c in ("time_fit", "time_total") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))]
     return v.costs(spark, sf).groupBy(*EM).agg(*aggs)
@@ -297,12 +296,14 @@ def h12_fold_composite(spark: SparkSession, sf: str) -> DataFrame:
     return v.fold_scores(spark, sf)
 
 
-COEF = {"x1": 0.00001, "x2": 0.0002, "x3": 0.05}
-_ATTR = "attr AS (" + " UNION ALL ".join(f"SELECT edition, row_id, '{c}' AS feature, {lit(w)} * ({c} - (SELECT avg(z.{c}) FROM labelled z)) AS value FROM editions WHERE edition = 'full'" for c, w in COEF.items()) + ")"
+_ATTR = "attr AS (" + " UNION ALL ".join(f"SELECT edition, row_id, '{c}' AS feature, b{i} * ({c} - m{i}) AS value FROM editions, lin WHERE edition = 'full'" for i, c in enumerate(NUM, 1)) + ")"
 
 
 def _attr(spark: SparkSession, sf: str) -> DataFrame:
-    return at.linear_attribution(src.labelled(spark, sf).withColumn("edition", F.lit("full")), COEF, ["edition"])
+    """Attributions of a linear model of the label, fitted on all labelled rows."""
+    rows = src.labelled(spark, sf)
+    coef = st.ols(rows, "y", NUM).where("term <> 'intercept'").select(F.col("term").alias("feature"), "coef")
+    return at.linear_attribution(rows.withColumn("edition", F.lit("full")), coef, NUM, ["edition"])
 
 
 @query(f"WITH {_ATTR} SELECT * FROM attr", "value")
@@ -310,15 +311,13 @@ def i1_linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return _attr(spark, sf)
 
 
-def _formula(df: DataFrame) -> DataFrame:
-    """A score that mixes two features."""
-    return df.withColumn("p", 1 / (1 + F.exp(-(F.col("x1") / 250000.0 - 1) * (1 + F.col("x2") / 10000.0))))
-
-
 @query()
 def i2_sampled_shapley(spark: SparkSession, sf: str) -> DataFrame:
-    rows = src.labelled(spark, sf)
-    return at.sampled_shapley(fixed_sample(rows, 250), rows, ["x1", "x2", "x3"], _formula, 8)
+    """Every row of edition full, attributed by sampling to the score of the model that didn't see its fold."""
+    rows = v.folded(spark, sf).where("edition = 'full'")
+    stats = v.kept(m.nb_statistics(rows, ["edition"], NUM, src.FOLDS), "nb-statistics")
+    score = lambda df: m.nb_scored(df, stats, ["edition"], NUM)
+    return at.sampled_shapley(rows, rows, NUM, score, 4)
 
 
 @query(f"WITH {_ATTR} SELECT edition, feature, avg(abs(value)) AS mean_abs FROM attr GROUP BY ALL", "mean_abs")
@@ -326,58 +325,55 @@ def i3_mean_absolute(spark: SparkSession, sf: str) -> DataFrame:
     return at.mean_absolute(_attr(spark, sf), ["edition"])
 
 
-_WATTR = "wattr AS (" + " UNION ALL ".join(
-    f"SELECT '{wd}' AS world, row_id, '{c}' AS feature, {lit(w)} * ({c} - (SELECT avg({c}) FROM labelled)) * {f} AS value FROM labelled"
-    for wd, f in (("clean", "1e0"), ("noise", f"({u("'wobble|' || row_id")} + 0.2e0)"), ("turn", "(CASE WHEN row_id % 3 = 0 THEN -1e0 ELSE 0.5e0 END)")) for c, w in COEF.items()
-) + ")"
+_FULL = "edition = 'full' AND model = 'nb_123'"
+_WORLD = stability_ctes("full_pairs", "world", "'nb_123' AS model", "e_world")
+_WORLDS = f"WITH full_pairs AS (SELECT * FROM attr_pairs WHERE {_FULL}), " + ", ".join(f"{k} AS ({sql})" for k, sql in _WORLD.items())
 
 
-def _wattr(spark: SparkSession, sf: str) -> DataFrame:
-    base = _attr(spark, sf).select("row_id", "feature", "value")
-    worlds = F.array(
-        F.struct(F.lit("clean").alias("world"), F.lit(1.0).alias("f")), F.struct(F.lit("noise").alias("world"), (uniform("wobble", F.col("row_id")) + 0.2).alias("f")),
-        F.struct(F.lit("turn").alias("world"), F.when(F.col("row_id") % 3 == 0, -1.0).otherwise(0.5).alias("f")),
-    )
-    return base.withColumn("w", F.explode(worlds)).select("w.world", "row_id", "feature", (F.col("value") * F.col("w.f")).alias("value"))
+def _worlds(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributions of a fitted model of edition full in the clean world and in those that move features."""
+    return v.attributions(spark, sf).where(f"{_FULL} AND world <> 'label_noise'")
 
 
-@query(f"""WITH {_WATTR}, pr AS (SELECT a.world, a.row_id, a.feature, a.value, b.value AS v0 FROM wattr a JOIN wattr b ON b.world = 'clean' AND a.row_id = b.row_id AND a.feature = b.feature WHERE a.world <> 'clean'),
-rw AS (SELECT world, row_id, sum(value * v0) / nullif(sqrt(sum(value * value) * sum(v0 * v0)), 0) AS c FROM pr GROUP BY ALL) SELECT world, (avg(c) + 1) / 2 AS cosine FROM rw GROUP BY ALL""", "cosine")
-def i4_row_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    a = _wattr(spark, sf)
-    base = a.where("world = 'clean'").select("row_id", "feature", F.col("value").alias("v0"))
-    return at.row_cosine(a.where("world <> 'clean'").join(base, ["row_id", "feature"]), ["world"], "value", "v0")
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    a, keys = _worlds(spark, sf), ["fold", "row_id", "feature"]
+    base = a.where("world = 'clean'").select(*keys, F.col("value").alias("v0"))
+    return a.where("world <> 'clean'").join(base, keys)
 
 
-_MEANS = f"{_WATTR}, pr AS (SELECT a.world, a.row_id, a.feature, a.value, b.value AS v0 FROM wattr a JOIN wattr b ON b.world = 'clean' AND a.row_id = b.row_id AND a.feature = b.feature WHERE a.world <> 'clean'), ms AS (SELECT world, feature, avg(abs(value)) AS ma, avg(abs(v0)) AS m0 FROM pr GROUP BY ALL)"
+@query(f"{_WORLDS} SELECT * FROM e_world_cos", "cosine")
+def i4_row_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return at.row_cosine(_pairs(spark, sf), ["world"], "value", "v0")
 
 
 def _means(spark: SparkSession, sf: str) -> DataFrame:
-    a = _wattr(spark, sf)
-    base = a.where("world = 'clean'").select("row_id", "feature", F.col("value").alias("v0"))
-    return a.where("world <> 'clean'").join(base, ["row_id", "feature"]).groupBy("world", "feature").agg(F.avg(F.abs("value")).alias("ma"), F.avg(F.abs("v0")).alias("m0"))
+    return _pairs(spark, sf).groupBy("world", "feature").agg(F.avg(F.abs("value")).alias("ma"), F.avg(F.abs("v0")).alias("m0"))
 
 
-@query(f"WITH {_MEANS}, rk AS (SELECT world, {average_rank('world', 'ma')} AS ra, {average_rank('world', 'm0')} AS rb FROM ms) SELECT world, corr(ra, rb) AS spearman FROM rk GROUP BY ALL", "spearman")
+@query(f"{_WORLDS} SELECT * FROM e_world_rank", "spearman")
 def i5_rank_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return st.spearman(_means(spark, sf), ["world"], "ma", "m0")
 
 
-@query(f"WITH {_MEANS}, fl AS (SELECT world, row_number() OVER (PARTITION BY world ORDER BY abs(ma) DESC, feature) <= 2 AS ia, row_number() OVER (PARTITION BY world ORDER BY abs(m0) DESC, feature) <= 2 AS ib FROM ms) SELECT world, count(*) FILTER (ia AND ib) / nullif(count(*) FILTER (ia OR ib)::DOUBLE, 0) AS jaccard FROM fl GROUP BY ALL", "jaccard")
+@query(f"{_WORLDS} SELECT * FROM e_world_top", "jaccard")
 def i6_topk_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.jaccard_top(_means(spark, sf), ["world"], "feature", "ma", "m0", 2)
 
 
-_BUNDLE = f"""WITH {_MEANS}, rw AS (SELECT world, row_id, sum(value * v0) / nullif(sqrt(sum(value * value) * sum(v0 * v0)), 0) AS c FROM pr GROUP BY ALL), cs AS (SELECT world, (avg(c) + 1) / 2 AS cosine FROM rw GROUP BY ALL),
-rk AS (SELECT world, {average_rank('world', 'ma')} AS ra, {average_rank('world', 'm0')} AS rb FROM ms), sp AS (SELECT world, (coalesce(corr(ra, rb), 0) + 1) / 2 AS agree FROM rk GROUP BY ALL),
-fl AS (SELECT world, row_number() OVER (PARTITION BY world ORDER BY abs(ma) DESC, feature) <= 2 AS ia, row_number() OVER (PARTITION BY world ORDER BY abs(m0) DESC, feature) <= 2 AS ib FROM ms),
-jc AS (SELECT world, count(*) FILTER (ia AND ib) / nullif(count(*) FILTER (ia OR ib)::DOUBLE, 0) AS jaccard FROM fl GROUP BY ALL)
-SELECT 'linear' AS model, avg(cosine) AS E_cos, avg(agree) AS E_rank, avg(jaccard) AS E_jaccard, (avg(cosine) + avg(agree) + avg(jaccard)) / 3 AS E_mix FROM cs JOIN sp USING (world) JOIN jc USING (world)"""
+@query(f"{_WORLDS} SELECT * FROM e_world", "E_cos E_rank E_jaccard E_mix")
+def i7_stability_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    return at.stability(_worlds(spark, sf), ["model"], "clean", 2)
 
 
-@query(_BUNDLE, "E_cos E_rank E_jaccard E_mix")
-def i7_stability_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    return at.stability(_wattr(spark, sf).withColumn("model", F.lit("linear")), ["model"], "clean", 2)
+@query("SELECT edition, model, fold, E_cos, E_rank, E_jaccard, E_mix FROM e_fold", "E_cos E_rank E_jaccard E_mix")
+def i7_fold_stability(spark: SparkSession, sf: str) -> DataFrame:
+    return v.fold_stability(spark, sf)
+
+
+@query("SELECT edition, world, fold, model, row_id, feature, value FROM attributions", "value")
+def i1_fitted_attributions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of both editions in four worlds, attributed to the features of models that didn't see its fold."""
+    return v.attributions(spark, sf)
 
 
 @query(f"WITH {_ATTR}, bt AS (SELECT feature FROM attr GROUP BY feature ORDER BY avg(abs(value)) DESC, feature LIMIT 1) SELECT row_id, feature, edition, CASE feature WHEN 'x1' THEN x1 WHEN 'x2' THEN x2 ELSE x3 END AS x, value FROM attr JOIN bt USING (feature) JOIN labelled USING (row_id)", "x value")
@@ -396,9 +392,10 @@ def i9_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     return _importance(src.labelled(spark, sf).select("row_id", "y", *NUM))
 
 
-@query(f"WITH {_WATTR}, a AS (SELECT feature, avg(abs(value)) AS va FROM wattr WHERE world = 'noise' GROUP BY ALL), b AS (SELECT feature, avg(abs(value)) AS vb FROM wattr WHERE world = 'clean' GROUP BY ALL), rk AS (SELECT {average_rank('', 'va')} AS ra, {average_rank('', 'vb')} AS rb FROM a JOIN b USING (feature)) SELECT corr(ra, rb) AS spearman FROM rk", "spearman")
+@query(f"WITH a AS (SELECT world, feature, avg(abs(value)) AS w FROM attributions WHERE {_FULL} GROUP BY ALL), rk AS (SELECT {average_rank('', 'a.w')} AS ra, {average_rank('', 'b.w')} AS rb FROM a JOIN a b USING (feature) WHERE a.world = 'noise' AND b.world = 'clean') SELECT corr(ra, rb) AS spearman FROM rk", "spearman")
 def i10_importance_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda w: at.mean_absolute(_wattr(spark, sf).where(F.col("world") == w), []).withColumnRenamed("mean_abs", "importance")
+    kept = v.kept(at.mean_absolute(_worlds(spark, sf), ["world"]), "mean-attributions").withColumnRenamed("mean_abs", "importance")
+    one = lambda w: kept.where(F.col("world") == w).drop("world")
     return at.importance_agreement(one("noise").withColumn("g", F.lit(1)), one("clean"), ["g"]).drop("g")
 
 
@@ -410,13 +407,13 @@ def j1_j5_edition_joins(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.deltas(cmp.edition_join(v.facts(spark, sf), keys, ["auroc", "ece"]), keys, ["auroc", "ece"])
 
 
-_HALVES = "a AS (SELECT model, fold, score FROM fold_scores WHERE edition = 'full' AND fold <> 1), b AS (SELECT model, fold, score FROM fold_scores WHERE edition = 'demo' AND model <> 'model_d')"
+_HALVES = "a AS (SELECT model, fold, score FROM fold_scores WHERE edition = 'full' AND fold <> 1), b AS (SELECT model, fold, score FROM fold_scores WHERE edition = 'demo' AND model <> 'nb_12')"
 
 
 @query(f"WITH {_HALVES} SELECT (SELECT count(*) FROM a JOIN b USING (model, fold)) AS n_merged, (SELECT count(*) FROM a ANTI JOIN b USING (model, fold)) AS n_left_only, (SELECT count(*) FROM b ANTI JOIN a USING (model, fold)) AS n_right_only")
 def j6_m22_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     f = v.fold_scores(spark, sf)
-    a, b = f.where("edition = 'full' AND fold <> 1").select("model", "fold", "score"), f.where("edition = 'demo' AND model <> 'model_d'").select("model", "fold", "score")
+    a, b = f.where("edition = 'full' AND fold <> 1").select("model", "fold", "score"), f.where("edition = 'demo' AND model <> 'nb_12'").select("model", "fold", "score")
     return cmp.unmatched(a, b, ["model", "fold"])
 
 
@@ -462,22 +459,24 @@ def l3_l9_signed_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return st.signed_ranks(v.metric_deltas(spark, sf), ["model", "metric"], "d")
 
 
-@query("""WITH s AS (SELECT model, metric, count(*) FILTER (d > 0) AS n_pos, count(*) FILTER (d < 0) AS n_neg FROM metric_deltas GROUP BY ALL)
-SELECT model, metric, n_pos, n_neg, least(1e0, 2 * list_sum(list_transform(range(0, least(n_pos, n_neg) + 1), lambda k: exp(lgamma(n_pos + n_neg + 1) - lgamma(k + 1) - lgamma(n_pos + n_neg - k + 1) - (n_pos + n_neg) * ln(2))))) AS p_sign FROM s""", "p_sign")
+_SIGN_TEST = """WITH s AS (SELECT model, metric, count(*) FILTER (d > 0) AS n_pos, count(*) FILTER (d < 0) AS n_neg FROM metric_deltas GROUP BY ALL)
+SELECT model, metric, n_pos, n_neg, least(1e0, 2 * list_sum(list_transform(range(0, least(n_pos, n_neg) + 1), lambda k: exp(lgamma(n_pos + n_neg + 1) - lgamma(k + 1) - lgamma(n_pos + n_neg - k + 1) - (n_pos + n_neg) * ln(2))))) AS p_sign FROM s"""
+
+
+@query(_SIGN_TEST, "p_sign")
 def l4_sign_test(spark: SparkSession, sf: str) -> DataFrame:
     return st.sign_test(v.metric_deltas(spark, sf), ["model", "metric"], "d")
 
 
-_P = u("'pv|' || model || '|' || metric")
-_HOLM = f"""WITH pv AS (SELECT model, metric, CASE WHEN model <> 'model_c' THEN {_P} / 5 END AS p FROM metric_deltas GROUP BY ALL),
+_HOLM = f"""WITH pv AS (SELECT model, metric, p_sign AS p FROM ({_SIGN_TEST})),
 o AS (SELECT *, coalesce(p, 1e0) AS q, count(*) OVER (PARTITION BY metric) AS mm, row_number() OVER (PARTITION BY metric ORDER BY coalesce(p, 1e0), model) AS i FROM pv)
 SELECT model, metric, p, max(least(1e0, (mm - i + 1) * q)) OVER (PARTITION BY metric ORDER BY q, model ROWS UNBOUNDED PRECEDING) AS p_holm FROM o"""
 
 
 @query(_HOLM, "p p_holm")
 def l5_k3_holm(spark: SparkSession, sf: str) -> DataFrame:
-    p = F.when(F.col("model") != "model_c", uniform("pv", F.col("model"), F.col("metric")) / 5)
-    rows = v.metric_deltas(spark, sf).select("model", "metric").distinct().withColumn("p", p)
+    """The sign tests' p-values, stepped down over the models of each metric."""
+    rows = st.sign_test(v.metric_deltas(spark, sf), ["model", "metric"], "d").select("model", "metric", F.col("p_sign").alias("p"))
     return st.holm(rows, ["metric"], "p", ["model"], "p_holm")
 
 
@@ -503,6 +502,22 @@ def l10_regression(spark: SparkSession, sf: str) -> DataFrame:
     return st.ols(d, "delta_score", ["delta_R", "delta_S_drop", "delta_C_exp"])
 
 
+def _grouped_regression() -> str:
+    fits = ", ".join(f"{k} AS ({sql})" for k, sql in linear_ctes("labelled", "k2").items()).replace("lin_", "seg_").replace("lin AS", "seg AS")
+    rss = "(n * (vy - (b1 * d1 + b2 * d2 + b3 * d3)) / (n - 4))"
+    term = lambda name, b, inner, vif: f"SELECT k2, '{name}' AS term, {b} AS coef, sqrt({rss} * {inner}) AS se, {b} / sqrt({rss} * {inner}) AS t_stat, {vif} AS vif, n FROM seg"
+    terms = [term(c, f"b{i}", f"i{i}{i} / n", f"c{i}{i} * i{i}{i}") for i, c in enumerate(NUM, 1)]
+    spread = " + ".join(f"m{i} * i{i}{j} * m{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+    terms.append(term("intercept", "(my - b1 * m1 - b2 * m2 - b3 * m3)", f"(1 + {spread}) / n", "NULL::DOUBLE"))
+    return f"WITH {fits} " + " UNION ALL ".join(terms)
+
+
+@query(_grouped_regression(), "coef se t_stat vif")
+def l10_grouped_regression(spark: SparkSession, sf: str) -> DataFrame:
+    """The label on three columns, in every segment at once."""
+    return st.ols(src.labelled(spark, sf), "y", NUM, ["k2"]).select("k2", "term", "coef", "se", "t_stat", "vif", "n")
+
+
 _M1 = "SELECT f.model, f.score AS score_full, d.score AS score_demo, f.score - d.score AS delta_score, rank() OVER (ORDER BY f.score DESC) AS rank_full, rank() OVER (ORDER BY d.score DESC) AS rank_demo FROM scores f JOIN scores d USING (model) WHERE f.edition = 'full' AND d.edition = 'demo'"
 
 
@@ -529,11 +544,34 @@ def m4_delta_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.delta_intervals(v.metric_deltas(spark, sf).withColumnRenamed("d", "delta"), "world", BOOT)
 
 
+_MODEL_PAIRS = "SELECT a.edition, a.model AS m1, b.model AS m2, a.score - b.score AS d FROM fold_scores a JOIN fold_scores b ON a.edition = b.edition AND a.fold = b.fold AND a.model < b.model"
+_PAIRED = """ts AS (SELECT {by}, count(d) AS n, avg(d) AS mean_delta, avg(d) / nullif(stddev_samp(d) / sqrt(count(d)), 0) AS t_stat FROM {rows} GROUP BY ALL),
+dr AS (SELECT {by}, d, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2e0 AS r FROM {rows} WHERE d <> 0),
+ws AS (SELECT {by}, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS wilcoxon FROM dr GROUP BY ALL)
+SELECT {by}, n, mean_delta, t_stat, wilcoxon FROM ts LEFT JOIN ws USING ({by})"""
+
+
+def _statistics(d: DataFrame, by: list[str]) -> DataFrame:
+    rows = v.kept(d, "differences")
+    return st.paired_t(rows, by, "d").join(st.signed_ranks(rows, by, "d").select(*by, "wilcoxon"), by, "left")
+
+
+@query(f"WITH {_PAIRED.format(rows='fold_deltas', by='model')}", "mean_delta t_stat wilcoxon")
+def m5_paired_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """t and W of m5_paired_tests, whose p-values SQL can't give."""
+    return _statistics(v.fold_deltas(spark, sf), ["model"])
+
+
 @query()
 def m5_paired_tests(spark: SparkSession, sf: str) -> DataFrame:
     return st.paired_tests(v.fold_deltas(spark, sf), ["model"], "d")
 
 
+@query(f"WITH pairs AS ({_MODEL_PAIRS}), {_PAIRED.format(rows='pairs', by='edition, m1, m2')}", "mean_delta t_stat wilcoxon")
+def m6_model_pair_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _statistics(cmp.model_pairs(v.fold_scores(spark, sf), ["edition", "fold"], "score"), ["edition", "m1", "m2"])
+
+
 @query()
 def m6_model_pair_tests(spark: SparkSession, sf: str) -> DataFrame:
     pairs = cmp.model_pairs(v.fold_scores(spark, sf), ["edition", "fold"], "score")
@@ -563,6 +601,11 @@ def m9_test_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.deltas(cmp.edition_join(t, ["m1", "m2"], ["t"]), [], ["t"])
 
 
+@query(f"WITH {_PAIRED.format(rows='metric_deltas', by='metric, model')}", "mean_delta t_stat wilcoxon")
+def m10_metric_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return _statistics(v.metric_deltas(spark, sf), ["metric", "model"])
+
+
 @query()
 def m10_metric_tests(spark: SparkSession, sf: str) -> DataFrame:
     return st.paired_tests(v.metric_deltas(spark, sf), ["metric", "model"], "d", ["metric"])
@@ -572,7 +615,7 @@ _POOL = "pooled AS (SELECT edition, model, world, bin, sum(y_mean * n) / sum(n)
 
 
 def _pooled(spark: SparkSession, sf: str) -> DataFrame:
-    points = mt.curve(src.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
+    points = mt.curve(v.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
     return mt.pooled_curve(points, ["edition", "model", "world"])
 
 
@@ -586,7 +629,7 @@ def m12_n2_largest_shifts(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.curve_distance(_pooled(spark, sf), ["model", "world"]).select("model", "world", "max_gap").orderBy(F.desc("max_gap"), "model", "world").limit(5)
 
 
-@query("WITH c AS (SELECT edition, model, avg(coalesce(time_attr, time_pred, time_fit)) AS t FROM costs GROUP BY ALL) SELECT f.model, f.t AS t_full, d.t AS t_demo, f.t - d.t AS delta_t FROM c f JOIN c d USING (model) WHERE f.edition = 'full' AND d.edition = 'demo'", "t_full t_demo delta_t")
+@query()
 def m13_cost_comparison(spark: SparkSession, sf: str) -> DataFrame:
     c = v.costs(spark, sf)
     c = c.groupBy(*EM).agg(F.avg(cmp.cost_choice(c, ["time_attr", "time_pred", "time_fit"])).alias("t"))
@@ -673,16 +716,16 @@ def n5_topk_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT edition, count(*) AS n, sum(n)::BIGINT AS rws FROM curve WHERE fold = 1 GROUP BY ALL UNION ALL SELECT edition, count(*), sum(n)::BIGINT FROM curve WHERE fold = 2 GROUP BY ALL UNION ALL SELECT edition, count(*), sum(n)::BIGINT FROM curve WHERE fold = 3 GROUP BY ALL")
 def o1_union_curves(spark: SparkSession, sf: str) -> DataFrame:
-    points = mt.curve(src.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
+    points = mt.curve(v.predictions(spark, sf).withColumn("p", mt.clip(F.col("p"), 1e-7, 1 - 1e-7)), K5, 15)
     return cmp.stacked([points.where(F.col("fold") == k).groupBy("edition").agg(F.count("*").alias("n"), F.sum("n").alias("rws")) for k in (1, 2, 3)])
 
 
 @query("SELECT DISTINCT model, row_id FROM predictions WHERE edition = 'demo' AND p > 0.5 INTERSECT SELECT DISTINCT model, row_id FROM predictions WHERE edition = 'full' AND y = 1")
 def o2_o3_set_operations(spark: SparkSession, sf: str) -> DataFrame:
-    p = src.predictions(spark, sf)
+    p = v.predictions(spark, sf)
     return p.where("edition = 'demo' AND p > 0.5").select("model", "row_id").intersect(p.where("edition = 'full' AND y = 1").select("model", "row_id"))
 
 
 @query("SELECT model, row_id, edition, world, p / 0.7e0 AS p FROM (SELECT *, row_number() OVER (PARTITION BY model, row_id ORDER BY edition, severity) AS rn FROM predictions) WHERE rn = 1", "p")
 def o5_first_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    return cmp.first_by_key(src.predictions(spark, sf), ["model", "row_id"], ["edition", "severity"]).select("model", "row_id", "edition", "world", (F.col("p") / 0.7).alias("p"))
+    return cmp.first_by_key(v.predictions(spark, sf), ["model", "row_id"], ["edition", "severity"]).select("model", "row_id", "edition", "world", (F.col("p") / 0.7).alias("p"))

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paravane.functions.draws import uniform
+from paravane.functions.draws import normal, uniform
+from paravane.operators.attribution import stability
 from paravane.operators.compare import deltas, edition_join, long_form
-from paravane.operators.composite import components, composite, final_ranking
-from paravane.operators.metrics import auroc, confusion, decision_rates, metric_bundle, sensitivity_threshold
-from paravane.operators.models import held_out_in_worlds, held_out_nb
+from paravane.operators.composite import components, composite, final_ranking, with_stability
+from paravane.operators.metrics import auroc, confusion, decision_rates, held_out_thresholds, metric_bundle
+from paravane.operators.models import closed_form_nb, held_out_in_worlds, held_out_nb, held_out_nb_attributions
 from paravane.operators.sampling import stratified_folds, stratified_subsample
-from paravane.sources.editions import CATEGORICAL, FOLDS, NUMERIC, editions, labelled, predictions, scratch_path, write_table
+from paravane.operators.worlds import all_worlds, with_stats
+from paravane.sources.editions import CATEGORICAL, FOLDS, NUMERIC, editions, fold_of, kept, labelled
 
-from .ctes import NB_MODELS, RUNS
+from .ctes import ATTRIBUTED, MODELS, NB_MODELS, RUNS
 
 KEYS = ["edition", "model", "world", "severity", "fold"]
 METRICS = ["auroc", "brier", "log_loss", "ece", "aece"]
@@ -25,15 +29,56 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema])
 
 
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both editions' labelled rows with their fold, written once: fits, worlds and scores all read them."""
+    rows = editions(spark, sf_dir).withColumn("fold", fold_of(F.col("row_id")))
+    return kept(rows.select("edition", "fold", "row_id", "y", *NUMERIC), "folded")
+
+
+def four_worlds(rows: DataFrame) -> DataFrame:
+    """rows in the worlds clean, noise, shift and label_noise, by each fold's own statistics, in one pass."""
+    base, row = with_stats(rows, ["edition", "fold"], NUMERIC), F.col("row_id")
+    noisy = {c: F.col(c) + normal("noise", c, row, 42) * 0.2 * F.col(f"sd_{c}") for c in NUMERIC}
+    moved = {c: F.col(c) + 0.3 * F.col(f"sd_{c}") for c in NUMERIC}
+    flipped = F.when(uniform("flip", row, 42) < 0.1, 1 - F.col("y")).otherwise(F.col("y"))
+    same = {c: F.col(c) for c in NUMERIC}
+    worlds = [("clean", 0, F.col("y"), same), ("noise", 1, F.col("y"), noisy), ("shift", 2, F.col("y"), moved), ("label_noise", 3, flipped, same)]
+    each = F.array(*[F.struct(F.lit(n).alias("world"), F.lit(s).alias("severity"), y.alias("y"), *[x[c].alias(c) for c in NUMERIC]) for n, s, y, x in worlds])
+    return base.select("edition", "fold", "row_id", F.explode(each).alias("w")).select("edition", "fold", "row_id", "w.*")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored-rows fact: edition, model, world, severity, fold, row_id, y, p.
+
+    Naive Bayes models on different columns, fitted on the clean rows of the other folds, score each fold in each world.
+    """
+    rows = folded(spark, sf_dir)
+    out = held_out_nb(rows, ["edition"], MODELS, FOLDS, test=four_worlds(rows), keep=("world", "severity", "fold"), fill=False)
+    return out.select("edition", "model", "world", "severity", "fold", "row_id", "y", "p")
+
+
+def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edition, world, fold, model, row_id, feature, value: Shapley values of the models of ATTRIBUTED, of every row in every world."""
+    rows = folded(spark, sf_dir)
+    return held_out_nb_attributions(rows, ["edition"], {m: MODELS[m] for m in ATTRIBUTED}, FOLDS, test=four_worlds(rows), keep=("world", "fold"))
+
+
+def fold_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E_cos, E_rank, E_jaccard and E_mix by edition, model and fold: attributions in the worlds against the clean ones."""
+    found = attributions(spark, sf_dir).where("world <> 'label_noise'")  # whose features are the clean ones
+    return kept(stability(found, ["edition", "model", "fold"], "clean", 2), "stability")
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metrics by edition, model, world, severity and fold: a few rows, kept since comparisons read them often."""
-    return metric_bundle(predictions(spark, sf_dir), KEYS).persist()
+    """All metrics by edition, model, world, severity and fold: a few rows, written since comparisons read them often."""
+    return kept(metric_bundle(predictions(spark, sf_dir), KEYS).coalesce(1), "facts")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components by edition, fold and model, with a stand-in E for two of the models."""
-    e = F.when(F.col("model").isin("model_a", "model_d"), uniform("E", F.col("edition"), F.col("fold"), F.col("model")))
-    return components(facts(spark, sf_dir), ["edition", "fold", "model"]).withColumn("E", e)
+    """Components by edition, fold and model; E is that of the models with attributions, null for the others."""
+    keys = ["edition", "fold", "model"]
+    found = components(facts(spark, sf_dir), keys)
+    return kept(with_stability(found, fold_stability(spark, sf_dir).select(*keys, F.col("E_mix").alias("E")), keys).coalesce(1), "parts")
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +110,13 @@ def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """thr by edition, model and fold: the positives of the other folds at a sensitivity of 0.8."""
     clean = predictions(spark, sf_dir).where("world = 'clean'").drop("world", "severity")
-    held = clean.select(F.col("fold").alias("held")).distinct()
-    others = clean.crossJoin(F.broadcast(held)).where("fold <> held").drop("fold").withColumnRenamed("held", "fold")
-    return sensitivity_threshold(others, ["edition", "model", "fold"], 0.8)
+    return held_out_thresholds(clean, ["edition", "model"], list(range(1, FOLDS + 1)), 0.8)
 
 
 def ppv_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion counts and rates by edition, model and fold; thresholds from the other folds' positives, shared prevalence."""
     clean = predictions(spark, sf_dir).where("world = 'clean'").drop("world", "severity")
-    pi = clean.where("edition = 'full' AND model = 'model_a'").agg(F.avg("y").alias("pi"))
+    pi = clean.where("edition = 'full' AND model = 'nb_123'").agg(F.avg("y").alias("pi"))
     test = clean.crossJoin(F.broadcast(pi))
     test = test.join(fold_thresholds(spark, sf_dir), ["edition", "model", "fold"], "left").withColumn("thr", F.coalesce("thr", F.lit(1.0)))
     out = confusion(test, ["edition", "model", "fold", "thr", "pi"])
@@ -85,30 +128,34 @@ def held_out_areas(rows: DataFrame) -> DataFrame:
     return auroc(held_out_nb(rows, ["run_id"], NB_MODELS, 5), ["run_id", "model"], "value")
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, for what is read several times and costly to make again."""
-    path = scratch_path(df.sparkSession, tag)
-    write_table(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def world_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both editions with stratified folds, written once, since every world reads them."""
+    return kept(stratified_folds(editions(spark, sf_dir), ["edition"], FOLDS, 1).drop("repeat"), "world-folds")
 
 
-def world_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def world_facts(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """All metrics by edition, model, world, severity and fold of fitted models.
 
-    Each fold is perturbed as each of the ten worlds and scored by models of the other folds. The rows with their folds
-    are written once, since every world reads them, and so are the scores, which several metrics read.
+    Each fold is perturbed as each of the ten worlds and scored by models of the other folds.
     """
-    rows = kept(stratified_folds(editions(spark, sf_dir), ["edition"], FOLDS, 1).drop("repeat"), "world-folds")
-    scores = held_out_in_worlds(rows, ["edition"], NB_MODELS, FOLDS, NUMERIC, CATEGORICAL)
-    return metric_bundle(kept(scores.drop("row_id"), "world-scores"), KEYS)
+    rows = world_rows(spark, sf_dir) if rows is None else rows
+    return metric_bundle(held_out_in_worlds(rows, ["edition"], MODELS, FOLDS, NUMERIC, CATEGORICAL).drop("row_id"), KEYS)
+
+
+def world_stability(rows: DataFrame) -> DataFrame:
+    """E by edition, model and fold over the ten worlds, without those that change labels or replace rows."""
+    tests = all_worlds(rows, ["edition", "fold"], NUMERIC, CATEGORICAL).where("NOT world IN ('W7_prevalence', 'W9_label_noise')")
+    found = held_out_nb_attributions(rows, ["edition"], {m: MODELS[m] for m in ATTRIBUTED}, FOLDS, test=tests, keep=("world", "fold"), fill=True)
+    return stability(kept(found, "world-attributions"), ["edition", "model", "fold"], "W0_clean", 2)
 
 
 def fitted_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite and rank by edition of fitted models in the ten worlds; they have no E, which counts as 0."""
-    found = kept(world_facts(spark, sf_dir), "world-facts")
-    each = components(found, ["edition", "fold", "model"], "W0_clean", "W9_label_noise")
-    mean = each.groupBy("edition", "model").agg(*[F.avg(c).alias(c) for c in ("R", "S_drop", "C_exp")])
-    score = composite(F.col("R"), F.col("S_drop"), F.col("C_exp"), F.lit(None).cast("double"))
+    """Composite and rank by edition of fitted models in the ten worlds; models without attributions have E null, which counts as 0."""
+    rows, keys = world_rows(spark, sf_dir), ["edition", "fold", "model"]
+    found = kept(world_facts(spark, sf_dir, rows), "world-facts")
+    each = with_stability(components(found, keys, "W0_clean", "W9_label_noise"), world_stability(rows).select(*keys, F.col("E_mix").alias("E")), keys)
+    mean = each.groupBy("edition", "model").agg(*[F.avg(c).alias(c) for c in ("R", "S_drop", "C_exp", "E")])
+    score = composite(F.col("R"), F.col("S_drop"), F.col("C_exp"), F.col("E"))
     return final_ranking(mean.withColumn("score", score), ["edition"])
 
 
@@ -121,10 +168,31 @@ def reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_scores(spark: SparkSession, sf_dir: str, runs: int = RUNS) -> DataFrame:
     """Held-out AUROC of each model in each of many subsamples of 252 rows, a small table that is kept while it is read again."""
     rows = stratified_folds(stratified_subsample(labelled(spark, sf_dir), [], 252, runs), ["run_id"], 5, 1)
-    return held_out_areas(rows.persist())
+    return kept(held_out_areas(rows).coalesce(1), "run-scores")
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir).where("world = 'clean'")
-    fit, pred = F.col("n_eval") / 1000.0, F.col("auroc") * 10
-    return f.select("edition", "model", "fold", fit.alias("time_fit"), pred.alias("time_pred"), F.when(F.col("model") == "model_a", F.col("brier") * 100).alias("time_attr"), (fit + pred).alias("time_total"))
+    """edition, model, fold, and the seconds that fitting, scoring, attributing and all of it took: measured, so they differ from run to run.
+
+    Each model is fitted on the other folds, scores its fold in the four worlds, and is attributed where it can be; every
+    one of these is a Spark job of its own, whose result goes nowhere.
+    """
+    rows, out = folded(spark, sf_dir), []
+    tests = kept(four_worlds(rows), "four-worlds")
+
+    def seconds(df: DataFrame) -> float:
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    for edition in ("full", "demo"):
+        for model, used in MODELS.items():
+            for k in range(1, FOLDS + 1):
+                mine = rows.where((F.col("edition") == edition) & (F.col("fold") != k))
+                test = tests.where((F.col("edition") == edition) & (F.col("fold") == k))
+                fit = seconds(mine.groupBy("y").agg(F.count("*"), *[f(c) for f in (F.avg, F.var_pop) for c in used]))
+                both = max(fit, seconds(closed_form_nb(mine, test, [], used)))
+                some = rows.where(F.col("edition") == edition).withColumn("fold", F.when(F.col("fold") == k, 1).otherwise(2))
+                attr = seconds(held_out_nb_attributions(some, ["edition"], {model: used}, 2, test=test.withColumn("fold", F.lit(1)))) if model in ATTRIBUTED else None
+                out.append((edition, model, k, fit, both - fit, attr, both + (attr or 0.0)))
+    return spark.createDataFrame(out, "edition string, model string, fold int, time_fit double, time_pred double, time_attr double, time_total double")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paravane.functions.draws import key, hash32, uniform
-from paravane.functions.scalars import clip, nulled
+from paravane.functions.draws import hash32, key
+from paravane.functions.scalars import nulled
 
 NUMERIC, CATEGORICAL = ["x1", "x2", "x3"], ["k1", "k2"]
 WORLDS = ["clean", "noise", "shift", "label_noise"]
@@ -62,40 +62,10 @@ def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("edition", F.explode(both))
 
 
-def stand_in_scores(df: DataFrame) -> DataFrame:
-    """df with a row for each of four stand-in models: model, p in [0, 1]. Plain arithmetic on keyed draws."""
-    u = lambda m: uniform("score", m, F.col("row_id"))
-    y = F.col("y")
-    models = F.array(
-        F.struct(F.lit("model_a").alias("model"), (0.4 * y + 0.6 * u("a")).alias("p")),
-        F.struct(F.lit("model_b").alias("model"), F.round(0.2 * y + 0.8 * u("b"), 1).alias("p")),
-        F.struct(F.lit("model_c").alias("model"), u("c").alias("p")),
-        F.struct(F.lit("model_d").alias("model"), clip(F.col("x1") / 500000.0).alias("p")),
-    )
-    return df.withColumn("s", F.explode(models)).select(*df.columns, "s.model", "s.p")
-
-
 def fold_of(row_id: Column, k: int = FOLDS) -> Column:
     return (hash32(key("fold", row_id)) % k + 1).cast("int")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored-rows fact: edition, model, world, fold, row_id, y, p. Worlds blur scores or flip labels."""
-    base = stand_in_scores(editions(spark, sf_dir)).withColumn("fold", fold_of(F.col("row_id")))
-    v = uniform("world", F.col("model"), F.col("row_id"))
-    noisy = clip(0.8 * F.col("p") + 0.2 * v)
-    shifted = clip(0.9 * F.col("p") + 0.1)
-    flipped = F.when(v < 0.1, 1 - F.col("y")).otherwise(F.col("y"))
-    worlds = F.array(
-        F.struct(F.lit("clean").alias("world"), F.lit(0).alias("severity"), F.col("y").alias("wy"), F.col("p").alias("wp")),
-        F.struct(F.lit("noise").alias("world"), F.lit(1).alias("severity"), F.col("y").alias("wy"), noisy.alias("wp")),
-        F.struct(F.lit("shift").alias("world"), F.lit(2).alias("severity"), F.col("y").alias("wy"), shifted.alias("wp")),
-        F.struct(F.lit("label_noise").alias("world"), F.lit(3).alias("severity"), flipped.alias("wy"), F.col("p").alias("wp")),
-    )
-    out = base.withColumn("w", F.explode(worlds))
-    return out.select("edition", "model", "w.world", "w.severity", "fold", "row_id", F.col("w.wy").alias("y"), F.col("w.wp").alias("p"))
-
-
 def profile(df: DataFrame, y: str) -> DataFrame:
     """One row per column: role, nulls, distinct values; with the table's rows and prevalence. One pass."""
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
@@ -142,3 +112,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
         root = _scratch.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="paravane-")
         _scratch[app] = root
     return f"{root.rstrip('/')}/paravane/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read several times and costly to make again.
+
+    The table is deleted when the application ends.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
+    write_table(df, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,13 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paravane.functions.draws import uniform
+from paravane.operators import attribution as at
 from paravane.operators import models as m
 from paravane.operators import sampling as s
 from paravane.plans import views as v
 from paravane.plans.catalogue import QUERIES
-from paravane.plans.metric_queries import COEF
+from paravane.plans.ctes import ATTRIBUTED, MODELS
 from paravane.sources import editions as src
+from paravane.sources.editions import NUMERIC as NUM
 
 
 @pytest.fixture(scope="module")
@@ -27,13 +28,23 @@ def sf(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def worlds(spark, sf):
-    """world -> rows x features, of every labelled row."""
-    rows = src.labelled(spark, sf).withColumn("u", uniform("wobble", F.col("row_id"))).orderBy("row_id").collect()
-    x = np.array([[r[c] for c in COEF] for r in rows])
-    clean = (x - x.mean(0)) * np.array(list(COEF.values()))
-    turn = np.array([-1.0 if r.row_id % 3 == 0 else 0.5 for r in rows])
-    assert len(rows) == 60
-    return {"clean": clean, "noise": clean * (np.array([r.u for r in rows]) + 0.2)[:, None], "turn": clean * turn[:, None]}
+    """world -> rows x features of edition full: terms of plain naive Bayes log-odds less their means over the fitted rows."""
+    rows = v.folded(spark, sf).where("edition = 'full'")
+    train = rows.orderBy("row_id").toPandas()
+    moved = v.four_worlds(rows).where("world <> 'label_noise'").toPandas().sort_values("row_id")
+    assert len(train) == 60
+    out = {}
+    for world, mine in moved.groupby("world"):
+        values = np.zeros((60, 3))
+        for k in (1, 2, 3):
+            fit = train[train.fold != k]
+            more = 1e-9 * max(fit[c].var(ddof=0) for c in NUM)
+            for j, c in enumerate(NUM):
+                moments = [(fit[c][fit.y == y].mean(), fit[c][fit.y == y].var(ddof=0) + more) for y in (0, 1)]
+                term = lambda x: sum(sign * (-0.5 * np.log(var) - (x - mean) ** 2 / (2 * var)) for sign, (mean, var) in zip((-1, 1), moments))  # noqa: B023, E731
+                values[(mine.fold == k).to_numpy(), j] = term(mine[c][mine.fold == k]) - term(fit[c]).mean()
+        out[world] = values
+    return out
 
 
 def cosine(a, b):
@@ -49,6 +60,49 @@ def top2(a):
     return set(np.abs(a).mean(0).argsort()[-2:])
 
 
+def test_attributions_add_up(spark, sf, worlds):
+    got = v.attributions(spark, sf).where("edition = 'full' AND model = 'nb_123'").toPandas()
+    for world, values in worlds.items():
+        mine = got[got.world == world].pivot(index="row_id", columns="feature", values="value")
+        assert np.allclose(mine[NUM].to_numpy(), values, atol=1e-8)
+    # to the log-odds of the score, less their mean over the rows that the model was fitted on
+    p = v.predictions(spark, sf).where("edition = 'full' AND model = 'nb_123' AND world = 'noise'").toPandas().sort_values("row_id")
+    gap = np.log(p.p / (1 - p.p)).to_numpy() - worlds["noise"].sum(axis=1)
+    assert all(np.ptp(gap[(p.fold == k).to_numpy()]) < 1e-8 for k in (1, 2, 3))
+
+
+def test_sampled_values_add_up_and_agree_with_the_exact_ones(spark, sf):
+    rows = v.folded(spark, sf).where("edition = 'full'")
+    stats = m.nb_statistics(rows, ["edition"], NUM, 3)
+    calls = []
+    score = lambda df: (calls.append(df.count()), m.nb_scored(df, stats, ["edition"], NUM))[1]
+    got = at.sampled_shapley(rows, rows, NUM, score, 60).toPandas()
+    assert calls == [60 * 60 * 4]  # prefixes of three features
+    p = m.nb_scored(rows, stats, ["edition"], NUM).toPandas().set_index("row_id").p
+    total = got.groupby("row_id").value.sum()
+    # sums differ from p by the mean of the drawn background scores, so by little from each other within a fold
+    base = p[total.index] - total
+    assert base.std() < 0.1 and abs(base.mean() - p.mean()) < 0.1
+    # a feature that the model doesn't read has no value
+    few = at.sampled_shapley(rows.limit(5), rows, NUM, lambda df: m.nb_scored(df, stats, ["edition"], ["x1", "x2"]), 4).toPandas()
+    assert (few[few.feature == "x3"].value.abs() < 1e-12).all() and len(few) == 15
+
+
+def test_stability_enters_the_composite(spark, sf):
+    parts = v.parts(spark, sf).toPandas()
+    assert parts[parts.model.isin(ATTRIBUTED)].E.between(0, 1).all() and parts[~parts.model.isin(ATTRIBUTED)].E.isna().all()
+    ranking = v.fitted_ranking(spark, sf).toPandas()
+    assert ranking[ranking.model.isin(ATTRIBUTED)].E.between(0, 1).all() and ranking[~ranking.model.isin(ATTRIBUTED)].E.isna().all()
+    r = ranking.iloc[0]
+    assert math.isclose(r.score, 0.4 * r.R + 0.3 * r.S_drop + 0.2 * r.C_exp + 0.1 * (0 if math.isnan(r.E) else r.E), abs_tol=1e-9)
+
+
+def test_costs_are_measured(spark, sf):
+    got = v.costs(spark, sf).toPandas()
+    assert len(got) == 2 * len(MODELS) * 3 and (got.time_fit > 0).all() and (got.time_total >= got.time_fit).all()
+    assert got[got.model.isin(ATTRIBUTED)].time_attr.gt(0).all() and got[~got.model.isin(ATTRIBUTED)].time_attr.isna().all()
+
+
 def test_attribution_queries_read_every_row(spark, sf, worlds):
     clean = worlds["clean"]
     others = {k: v for k, v in worlds.items() if k != "clean"}
@@ -65,11 +119,12 @@ def test_attribution_queries_read_every_row(spark, sf, worlds):
 
 def test_calibration_trains_on_all_of_its_folds(spark, sf, monkeypatch):
     seen = []
-    monkeypatch.setattr(m, "calibrated", lambda train, test, *a, **k: (seen.append({r.row_id for r in train.collect()}), test.withColumn("p", F.lit(0.5)))[1])
-    QUERIES["e13_calibration"](spark, sf)
+    monkeypatch.setattr(m, "fitted", lambda train, *a, **k: (seen.append({r.row_id for r in train.collect()}), lambda d: d.withColumn("p", F.lit(0.5)))[1])
+    got = QUERIES["e13_calibration"](spark, sf).collect()
     tagged = s.stratified_folds(src.labelled(spark, sf), [], 2, 1)
     folds = [{r.row_id for r in tagged.where(f"fold = {k}").collect()} for k in (1, 2)]
-    assert len(seen) == 4 and all(x in seen for x in folds) and all(x in folds for x in seen)
+    assert len(seen) == 4 and seen[0] | seen[1] == folds[1] and seen[2] | seen[3] == folds[0]
+    assert not seen[0] & seen[1] and sorted((r.method, r.row_id) for r in got) == [(how, i) for how in ("isotonic", "sigmoid") for i in range(1, 61)]
 
 
 def test_every_row_gets_a_score(spark, sf):
@@ -80,7 +135,7 @@ def test_every_row_gets_a_score(spark, sf):
 
 
 def test_thresholds_come_from_the_other_folds(spark, sf):
-    clean = src.predictions(spark, sf).where("world = 'clean'").toPandas()
+    clean = v.predictions(spark, sf).where("world = 'clean'").toPandas()
     got = v.ppv_facts(spark, sf).collect()
     assert {(r.edition, r.model, r.fold) for r in got} == set(clean.groupby(["edition", "model", "fold"]).groups)
     for r in got:
