@@ -190,7 +190,7 @@ def fit_score(train: DataFrame, test: DataFrame, name: str, num: list[str], cat:
 
 def out_of_fold(df: DataFrame, name: str, num: list[str], cat: list[str], folds: int = 3, seed: int = 42, **sizes) -> DataFrame:
     """Each row with fold and p of the model that didn't see its fold."""
-    tagged = stratified_folds(df, [], folds, 1, seed).drop("repeat").persist()
+    tagged = kept(stratified_folds(df, [], folds, 1, seed).drop("repeat"), "folds")
     out = None
     for k in range(1, folds + 1):
         part = fit_score(tagged.where(F.col("fold") != k), tagged.where(F.col("fold") == k), name, num, cat, **sizes)
@@ -393,3 +393,47 @@ def subsample_logistic(samples: DataFrame, by: list[str], num: list[str], steps:
 
     schema = samples.select(*by, "row_id", "y").withColumn("p", F.lit(None).cast("double")).schema
     return samples.groupBy(*by).applyInPandas(fit, schema)
+
+
+def subsample_importance(samples: DataFrame, by: list[str], num: list[str], repeats: int = 10, steps: int = 12, seed: int = 42) -> DataFrame:
+    """by.., feature, importance: permutation importance of a class-balanced logistic model of each of many small samples.
+
+    samples: by.., row_id, y, columns; a sample is fitted, shuffled and measured in its group's own task, so its size must be
+    bounded, as a subsample's is. Importance is the mean drop of the AUROC; a sample of one class has nulls.
+    """
+
+    def measure(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("row_id")
+        y, x = pdf["y"].to_numpy(float), pdf[num].to_numpy(float)
+        x = np.where(np.isnan(x), np.nanmedian(x, axis=0) if len(x) else 0.0, x)
+        positive, drops = int(y.sum()), [None] * len(num)
+        if 0 < positive < len(y):
+            sd = x.std(0)
+            x = np.c_[(x - x.mean(0)) / np.where(sd > 0, sd, 1), np.ones(len(x))]
+            weight, w = np.where(y == 1, len(y) / (2 * positive), len(y) / (2 * (len(y) - positive))), np.zeros(x.shape[1])
+            for _ in range(steps):  # reweighted least squares
+                q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                h = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([1.0] * len(num) + [1e-9])
+                w += np.linalg.solve(h, x.T @ (weight * (y - q)) - np.r_[w[:-1], 0.0])
+
+            def area(score):
+                _, at, n = np.unique(score, return_inverse=True, return_counts=True)
+                rank = (np.cumsum(n) - (n - 1) / 2)[at]
+                return (rank[y == 1].sum() - positive * (positive + 1) / 2) / (positive * (len(y) - positive))
+
+            base, rng = area(x @ w), np.random.default_rng([seed, *map(int, pdf[by].iloc[0])])
+            for j in range(len(num)):
+                lost = 0.0
+                for _ in range(repeats):
+                    lost += base - area(x @ w + (rng.permutation(x[:, j]) - x[:, j]) * w[j])
+                drops[j] = lost / repeats
+        out = pd.DataFrame({"feature": num, "importance": drops})
+        for i, b in enumerate(by):
+            out.insert(i, b, pdf[b].iloc[0])
+        return out
+
+    schema = ", ".join([*[f"`{b}` {samples.schema[b].dataType.simpleString()}" for b in by], "feature string, importance double"])
+    return samples.groupBy(*by).applyInPandas(measure, schema)

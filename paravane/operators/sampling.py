@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paravane.functions.draws import hash32, key
+from paravane.sources.editions import kept
 
-#: A group's rows are numbered in so many slices of the hash range.
-SLICES = 64
+#: A group's rows are numbered in 2 ** SLICE_BITS slices of the hash range, about equal, so a group of 4e9 rows has 1e6 in one.
+SLICE_BITS = 12
 
 
 def hash_rank(df: DataFrame, by: list[str], k: Column, row_id: str = "row_id", name: str = "rank") -> DataFrame:
-    """df with each row's place (from 1) in its group by the hash of k, ties by row_id.
+    """df with each row's place (from 1) in its group by the hash of k, ties by row_id."""
+    return draw_rank(df, by, hash32(k), row_id, name)
 
-    Rows are numbered inside slices of the hash range; the counts of lower slices, SLICES rows a group, are added.
+
+def draw_rank(df: DataFrame, by: list[str], draw: Column, row_id: str = "row_id", name: str = "rank") -> DataFrame:
+    """df with each row's place (from 1) in its group by a 32-bit draw, ties by row_id.
+
+    Rows are numbered inside slices of the draws' range; the counts of lower slices, 2 ** SLICE_BITS rows a group at most, are added.
     """
-    rows = df.withColumn("__h", hash32(k)).withColumn("__s", F.shiftright("__h", 26).cast("int"))
+    rows = df.withColumn("__h", draw).withColumn("__s", F.shiftright("__h", 32 - SLICE_BITS).cast("int"))
     low = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     offset = rows.groupBy(*by, "__s").agg(F.count("*").alias("__n")).select(*by, "__s", F.coalesce(F.sum("__n").over(low), F.lit(0)).alias("__low"))
     inside = Window.partitionBy(*by, "__s").orderBy("__h", row_id)
@@ -50,25 +56,39 @@ def class_targets(counts: DataFrame, by: list[str], n: int, floor: int = 2) -> D
     return held.select(*by, "y", want.cast("long").alias("want"))
 
 
+def run_draws(row_id: Column, runs: int, bound: Column, seed: int = 42) -> Column:
+    """Array of (run_id, h): the row's 32-bit draw for each run where it is at most bound, 8 lower-case hex digits.
+
+    One digest gives the draws of four runs; a draw becomes a number only where it is kept.
+    """
+    digest = lambda b: F.md5(F.concat_ws("|", F.lit("subsample"), b.cast("string"), row_id.cast("string"), F.lit(str(seed))).cast("binary"))
+    four = lambda b, d: F.array(*[F.struct((4 * b + i + 1).cast("int").alias("run_id"), F.substr(d, F.lit(8 * i + 1), F.lit(8)).alias("h")) for i in range(4)])
+    blocks = F.transform(F.sequence(F.lit(0), F.lit((runs - 1) // 4)), lambda b: F.struct(b.alias("b"), digest(b).alias("d")))
+    near = F.flatten(F.transform(blocks, lambda x: F.filter(four(x["b"], x["d"]), lambda z: (z["h"] <= bound) & (z["run_id"] <= runs))))
+    return F.transform(near, lambda z: F.struct(z["run_id"].alias("run_id"), F.conv(z["h"], 16, 10).cast("long").alias("h")))
+
+
 def stratified_subsample(df: DataFrame, by: list[str], n: int, runs: int = 1, floor: int = 2, seed: int = 42) -> DataFrame:
     """`runs` subsamples of n rows of each group without replacement, with run_id; classes as class_targets() says.
 
-    Only rows whose hash lies under a bound, about where the wanted number ends and a wide margin beyond, are shuffled
-    and numbered. A run that the bound leaves short has all its rows numbered.
+    A row's draws for all runs are one array, and only those under a bound, about where the wanted number ends and a wide
+    margin beyond, become rows; they are written, then numbered. Where the bound leaves a run short, all its rows are
+    numbered.
     """
     sizes = df.groupBy(*by, "y").agg(F.count("*").alias("n"))
-    want = class_targets(sizes, by, n, floor).join(sizes, [*by, "y"])
-    share = (F.col("want") + 12 * F.sqrt("want") + 20) / F.col("n")
-    want = want.select(*by, "y", "want", F.least(share, F.lit(1.0)).alias("__share"))
-    each = df.join(F.broadcast(want), [*by, "y"])
-    draw = key("subsample", F.col("run_id"), F.col("row_id"), seed)
-    near = each.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs)))).where(hash32(draw) < F.col("__share") * 2.0**32)
-    groups = want.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    want = kept(class_targets(sizes, by, n, floor).join(sizes, [*by, "y"]), "subsample-targets")
+    share = F.least((F.col("want") + 12 * F.sqrt("want") + 20) / F.col("n"), F.lit(1.0))
+    bound = lambda share: F.lower(F.lpad(F.hex(F.least(share * 2.0**32, F.lit(2.0**32 - 1)).cast("long")), 8, "0"))
+    each = df.join(F.broadcast(want.select(*by, "y", "want", bound(share).alias("__bound"))), [*by, "y"])
+    drawn = lambda d: d.select(*df.columns, "want", F.inline(run_draws(F.col("row_id"), runs, F.col("__bound"), seed)))
+    near = kept(drawn(each), "subsample-draws")
+    groups = want.select(*by, "y", "want", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run_id"))
     held = near.groupBy(*by, "run_id", "y").agg(F.count("*").alias("__held"))
-    short = groups.join(held, [*by, "run_id", "y"], "left").where("coalesce(__held, 0) < want").select(*by, "y", "run_id")
-    near = near.join(F.broadcast(short), [*by, "run_id", "y"], "left_anti")
-    again = each.join(F.broadcast(short), [*by, "y"])
-    ranked = hash_rank(near.unionByName(again), [*by, "run_id", "y"], draw)
+    short = kept(groups.join(held, [*by, "run_id", "y"], "left").where("coalesce(__held, 0) < want").select(*by, "y", "run_id"), "subsample-short")
+    if not short.isEmpty():
+        near = near.join(F.broadcast(short), [*by, "run_id", "y"], "left_anti")
+        near = near.unionByName(drawn(each.withColumn("__bound", F.lit("ffffffff"))).join(F.broadcast(short), [*by, "y", "run_id"]))
+    ranked = draw_rank(near, [*by, "run_id", "y"], F.col("h"))
     return ranked.where(F.col("rank") <= F.col("want")).select(*df.columns, "run_id")
 
 

@@ -12,12 +12,13 @@ from paravane.functions.scalars import clip, closed_bin, finite, floor_bin, logi
 from paravane.operators import models as m
 from paravane.operators import sampling as s
 from paravane.operators import worlds as w
+from paravane.operators.trees import forest_scores
 from paravane.sources import editions as src
 from paravane.sources.editions import CATEGORICAL as CAT
 from paravane.sources.editions import NUMERIC as NUM
 
 from . import views as v
-from .ctes import EDGES15, SUBSAMPLE, SUBSAMPLE_KEY, arr, binned, h32, lit, normal as sql_normal, student3, u
+from .ctes import EDGES15, RUNS, SUBSAMPLE, SUBSAMPLE_KEY, arr, binned, h32, lit, normal as sql_normal, student3, u
 from .registry import query
 
 X = "x1 x2 x3"
@@ -220,9 +221,9 @@ def d4_stratified_subsample(spark: SparkSession, sf: str) -> DataFrame:
     return s.stratified_subsample(src.labelled(spark, sf).select("row_id", "y"), [], 252, 1)
 
 
-@query(SUBSAMPLE.format(n=252, runs=10, h=SUBSAMPLE_KEY))
+@query(SUBSAMPLE.format(n=252, runs=RUNS, h=SUBSAMPLE_KEY))
 def d5_repeated_subsamples(spark: SparkSession, sf: str) -> DataFrame:
-    return s.stratified_subsample(src.labelled(spark, sf).select("row_id", "y"), [], 252, 10)
+    return s.stratified_subsample(src.labelled(spark, sf).select("row_id", "y"), [], 252, RUNS)
 
 
 @query("SELECT edition, k1, CASE WHEN min(n) < 2 OR count(*) < 2 THEN 0 ELSE least(5, min(n)) END::INT AS n_folds FROM (SELECT edition, k1, y, count(*) AS n FROM editions GROUP BY ALL) GROUP BY ALL")
@@ -285,7 +286,23 @@ def _fitted(name: str):
     return run
 
 
-for _id, _name in [("e6_logistic_l2", "logistic_l2"), ("e7_random_forest", "random_forest"), ("e8_extra_trees", "extra_trees"), ("e9_gradient_boosting", "gradient_boosting"), ("e10_svc_rbf", "svc_rbf"), ("e11_mlp", "mlp"), ("e12_gaussian_nb", "gaussian_nb")]:
+def _forest(random_cuts: bool, trees: int):
+    """Both folds of both editions in one plan: every row's score from the forest that didn't see its fold."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = s.stratified_folds(src.editions(spark, sf), ["edition"], 2, 1).drop("repeat")
+        return forest_scores(rows, ["edition"], NUM, CAT, [1, 2], trees=trees, depth=6, random_cuts=random_cuts).select("edition", "row_id", "y", "p")
+
+    return run
+
+
+for _id, _cuts in [("e7_random_forest", False), ("e8_extra_trees", True)]:
+    _f = _forest(_cuts, 100)
+    _f.__name__ = _id
+    query()(_f)
+
+
+for _id, _name in [("e6_logistic_l2", "logistic_l2"), ("e9_gradient_boosting", "gradient_boosting"), ("e10_svc_rbf", "svc_rbf"), ("e11_mlp", "mlp"), ("e12_gaussian_nb", "gaussian_nb")]:
     _f = _fitted(_name)
     _f.__name__ = _id
     query()(_f)
@@ -339,7 +356,7 @@ def d3_inner_scores(spark: SparkSession, sf: str) -> DataFrame:
 def d5_subsample_models(spark: SparkSession, sf: str) -> DataFrame:
     from paravane.operators.metrics import metric_bundle
 
-    sample = s.stratified_folds(s.stratified_subsample(src.labelled(spark, sf), [], 252, 20), ["run_id"], 5, 1)
+    sample = s.stratified_folds(s.stratified_subsample(src.labelled(spark, sf), [], 252, RUNS), ["run_id"], 5, 1)
     return metric_bundle(m.subsample_logistic(sample, ["run_id"], ["x1", "x2"]), ["run_id"])
 
 

@@ -16,7 +16,7 @@ from paravane.sources import editions as src
 from paravane.sources.editions import NUMERIC as NUM
 
 from . import views as v
-from .ctes import EDGES15, KEYS, arr, average_rank, binned, linear_ctes, lit, stability_ctes, u
+from .ctes import EDGES15, KEYS, RUNS, arr, average_rank, binned, linear_ctes, lit, stability_ctes, u
 from .registry import query
 
 EM = ["edition", "model"]
@@ -664,12 +664,10 @@ def m17_n4_decision_stability(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def m18_importance_stability(spark: SparkSession, sf: str) -> DataFrame:
+    """Importances in each of 1,000 subsamples against those of the whole table."""
     rows = src.labelled(spark, sf).select("row_id", "y", *NUM)
-    runs = []
-    for r in range(3):
-        drawn = v.kept(stratified_subsample(rows, [], 252, 1, seed=42 + r).drop("run_id"), "subsample")
-        runs.append(v.kept(_importance(drawn), "importance").withColumn("run_id", F.lit(r)))
-    return at.importance_agreement(cmp.stacked(runs), v.kept(_importance(rows), "importance"), ["run_id"])
+    runs = m.subsample_importance(stratified_subsample(rows, [], 252, RUNS), ["run_id"], NUM)
+    return at.importance_agreement(runs, v.kept(_importance(rows), "importance"), ["run_id"])
 
 
 _M19 = "ppvl AS (UNPIVOT (SELECT edition, model, fold, sens, spec, ppv, ppv_std FROM ppv_facts) ON sens, spec, ppv, ppv_std INTO NAME metric VALUE value), pd AS (SELECT f.model, f.metric, f.fold, f.value AS vf, d.value AS vd, f.value - d.value AS d FROM ppvl f JOIN ppvl d USING (model, metric, fold) WHERE f.edition = 'full' AND d.edition = 'demo')"

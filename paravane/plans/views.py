@@ -167,7 +167,7 @@ def reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_scores(spark: SparkSession, sf_dir: str, runs: int = RUNS) -> DataFrame:
     """Held-out AUROC of each model in each of many subsamples of 252 rows, a small table that is kept while it is read again."""
-    rows = stratified_folds(stratified_subsample(labelled(spark, sf_dir), [], 252, runs), ["run_id"], 5, 1)
+    rows = kept(stratified_folds(stratified_subsample(labelled(spark, sf_dir), [], 252, runs), ["run_id"], 5, 1), "runs")
     return kept(held_out_areas(rows).coalesce(1), "run-scores")
 
 
