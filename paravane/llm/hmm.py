@@ -10,7 +10,9 @@ each sweep takes several steps. Scores come from the scaled forward recursion an
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 from zlib import crc32
 
 import numpy as np
@@ -33,6 +35,21 @@ def tail_class(word: str, end: int) -> int:
     return end + 1 + crc32(word[-SUFFIX:].encode("utf-8")) % TAIL
 
 
+class Classes(dict):
+    """Classes of words: the frequent ones, and a bounded number of others as they come."""
+
+    def __init__(self, head: dict[str, int], most: int = 300_000):
+        super().__init__(head)
+        self.head, self.most = head, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > len(self.head) + self.most:
+            self.clear()
+            self.update(self.head)
+        got = self[word] = tail_class(word, len(self.head))
+        return got
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, c) over all words of train(text)."""
     words = F.split(ascii_lower(F.col("text")), "[\\x20\\x09-\\x0D]+")
@@ -47,7 +64,8 @@ def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     while at < len(order):
         longest = max(1, int(length[order[at]]))
         some = order[at : at + max(1, BLOCK // longest)]
-        tokens = np.zeros((longest, len(some)), sequences[order[at]].dtype)
+        # numpy looks up 64-bit indexes fastest; a single text of any length stays as it is
+        tokens = np.zeros((longest, len(some)), np.int64 if longest <= BLOCK else sequences[order[at]].dtype)
         for j, i in enumerate(some):
             tokens[: length[i], j] = sequences[i]
         yield some, length[some], tokens
@@ -60,43 +78,54 @@ class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def forward(self, lengths: np.ndarray, tokens: np.ndarray, keep: bool = False):
-        """Natural log-likelihoods; with keep also the scaled forward variables and the scales."""
-        n = len(lengths)
-        total, alphas, scales = np.zeros(n), [], []
-        a = np.empty((0, len(self.start)))
+    def forward(self, lengths: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Natural log-likelihoods."""
+        total, a = np.zeros(len(lengths)), np.empty((0, len(self.start)))
         for t in range(int(lengths.max(initial=0))):
             live = int(np.searchsorted(-lengths, -t))  # lengths fall, so these sequences still run
             a = (np.broadcast_to(self.start, (live, len(self.start))) if t == 0 else a[:live] @ self.move) * self.emit[tokens[t, :live]]
             s = a.sum(axis=1)
-            a = a / s[:, None]
+            a /= s[:, None]
             total[:live] += np.log(s)
-            if keep:
-                alphas.append(a)
-                scales.append(s)
-        return (total, alphas, scales) if keep else total
+        return total
 
     def expected(self, lengths: np.ndarray, tokens: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Add the block's expected counts of starts, moves and emissions."""
-        _, alphas, scales = self.forward(lengths, tokens, True)
-        starts, moves, emits = into
-        b, gammas, seen = np.empty((0, len(self.start))), [], []
-        for t in range(len(alphas) - 1, -1, -1):
-            live = len(alphas[t])
-            nxt = np.ones((live, len(self.start)))
-            if len(b):
-                w = self.emit[tokens[t + 1, : len(b)]] * b / scales[t + 1][:, None]
-                moves += self.move * (alphas[t][: len(b)].T @ w)
-                nxt[: len(b)] = w @ self.move.T
-            b = nxt
-            gammas.append(alphas[t] * b)
-            seen.append(tokens[t, :live])
-        if gammas:
-            starts += gammas[-1].sum(axis=0)
-            gamma, seen = np.concatenate(gammas), np.concatenate(seen)
-            for k in range(len(self.start)):
-                emits[:, k] += np.bincount(seen, gamma[:, k], len(emits))
+        """Add the block's expected counts of starts, moves and emissions.
 
+        The tokens of all sequences that still run at a time lie end to end, time after time, so emissions are looked up once.
+        """
+        steps = int(lengths.max(initial=0))
+        if not steps:
+            return
+        starts, moves, emits = into
+        live = np.searchsorted(-lengths, -np.arange(steps))
+        at = np.concatenate([[0], np.cumsum(live)])
+        flat = np.concatenate([tokens[t, : live[t]] for t in range(steps)])
+        given = self.emit[flat]
+        alphas, scales, back = np.empty_like(given), np.empty(len(flat)), np.ascontiguousarray(self.move.T)
+        for t in range(steps):
+            i, j = at[t], at[t + 1]
+            a = alphas[i:j]
+            if t:
+                np.matmul(alphas[at[t - 1] : at[t - 1] + j - i], self.move, out=a)
+                a *= given[i:j]
+            else:
+                np.multiply(self.start, given[i:j], out=a)
+            scales[i:j] = a.sum(axis=1)
+            a /= scales[i:j, None]
+        given /= scales[:, None]
+        gammas, w = np.empty_like(alphas), np.empty((0, len(self.start)))
+        for t in range(steps - 1, -1, -1):
+            i, j, k = at[t], at[t + 1], len(w)
+            b = np.ones((j - i, len(self.start)))
+            if k:
+                moves += self.move * (alphas[i : i + k].T @ w)
+                b[:k] = w @ back
+            np.multiply(alphas[i:j], b, out=gammas[i:j])
+            w = b * given[i:j]
+        starts += gammas[: at[1]].sum(axis=0)
+        for k in range(len(self.start)):
+            emits[:, k] += np.bincount(flat, gammas[:, k], len(emits))
 
     def _run(self, a: np.ndarray | None, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward variables and scales of one sequence's tokens; a: the variables before them, None at its start."""
@@ -210,7 +239,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     n, v = (total.n or 0) + n_train, (total.v or 0) + (n_train > 0)
     top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
     end = len(top)
-    head = spark.sparkContext.broadcast({r.word: (i, float(np.log10(r.c + 1))) for i, r in enumerate(top)})
+    head = spark.sparkContext.broadcast({r.word: i for i, r in enumerate(top)})
     names = F.broadcast(spark.createDataFrame([(r.word,) for r in top], "word string"))
     by_tail = F.crc32(F.right("word", F.lit(SUFFIX)).cast("binary")) % TAIL
     tails = counts.join(names, "word", "left_anti").groupBy(by_tail.alias("t")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
@@ -218,33 +247,25 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     for r in tails:
         in_class[r.t], distinct[r.t] = r.n, r.v
     freq = np.concatenate([[r.c for r in top], [n_train], in_class]).astype(float)
-    log_z = spark.sparkContext.broadcast(np.log10(in_class + distinct + 1))
-    of_end = float(np.log10(n_train + 1))
+    # what a token of each class adds to the sums: the log of a frequent word's count, less the log of a shared class's size
+    added = np.concatenate([np.log10(freq[:end] + 1), [np.log10(n_train + 1)], -np.log10(in_class + distinct + 1)])
+    log_added = spark.sparkContext.broadcast(added)
 
     def code(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        known, z, tail_of = head.value, log_z.value, {}
+        class_of, logs = Classes(head.value), log_added.value
         for pdf in batches:
             out = []
             for text in pdf["text"]:
                 words = words_of(text)
-                cls, total, rare, rest = [], of_end, 0.0, {}
-                for w in words:
-                    if (got := known.get(w)) is not None:
-                        cls.append(got[0])
-                        total += got[1]
-                    else:
-                        if (c := tail_of.get(w)) is None:
-                            if len(tail_of) > 300_000:
-                                tail_of.clear()
-                            c = tail_of[w] = tail_class(w, end)
-                        cls.append(c)
-                        rest[w] = rest.get(w, 0) + 1
-                        rare -= z[c - end - 1]
-                cls.append(end)
-                common = len(words) - sum(rest.values()) + (n_train > 0)
-                out.append((np.array(cls, np.uint16).tobytes(), len(cls), total, rare, common, list(rest), list(rest.values())))
+                cls = np.empty(len(words) + 1, np.uint16)
+                cls[:-1] = np.fromiter(map(class_of.__getitem__, words), np.uint16, len(words))
+                cls[-1] = end
+                tail, terms = cls > end, logs[cls]
+                rest = Counter(compress(words, tail.tolist()))
+                common = len(words) - int(tail.sum()) + (n_train > 0)
+                out.append((cls.tobytes(), len(cls), float(terms[~tail].sum()), float(terms[tail].sum()), common, list(rest), list(rest.values())))
             new = pd.DataFrame(out, columns=["cls", "n_tokens", "common_sum", "class_sum", "common_known", "rare", "times"])
             yield pd.concat([pdf[["doc_id", "held_out"]].astype({"doc_id": "Int64"}).reset_index(drop=True), new], axis=1)
 
