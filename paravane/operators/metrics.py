@@ -215,8 +215,11 @@ def decision_rates(conf: DataFrame, prevalence: Column) -> DataFrame:
     return out.withColumn("ppv_std", ratio(up, up + (1 - F.col("spec")) * (1 - prevalence)))
 
 
-def ppv_run(train: DataFrame, test: DataFrame, keys: list[str], prevalence: Column, target: float = 0.80) -> DataFrame:
-    """Thresholds from train's scores, applied to test's rows: confusion counts and rates per group."""
+def ppv_run(train: DataFrame, test: DataFrame, keys: list[str], prevalence: DataFrame, target: float = 0.80) -> DataFrame:
+    """Thresholds from train's scores, applied to test's rows: confusion counts and rates per group.
+
+    prevalence: one row, pi_ref, to which the predictive value is standardised.
+    """
     thr = sensitivity_threshold(train, keys, target)
     conf = confusion(test.join(thr, keys), [*keys, "thr"])
-    return decision_rates(conf, prevalence)
+    return decision_rates(conf.crossJoin(F.broadcast(prevalence)), F.col("pi_ref"))

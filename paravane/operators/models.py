@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,9 +18,11 @@ from paravane.functions.scalars import logistic
 from paravane.sources.editions import kept
 
 from .calibration import calibrate
+from .linear import fastfood, hadamard, linear_scores  # noqa: F401
 from .metrics import metric_bundle
 from .quantiles import medians
 from .sampling import stratified_folds
+from .trees import forest_scores
 from .worlds import all_worlds
 
 
@@ -76,38 +79,6 @@ def balanced(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.when(F.col("y") == 1, n.n / (2 * pos)).otherwise(n.n / (2 * max(1, n.n - pos))))
 
 
-def hadamard(x):
-    """The Walsh-Hadamard transform of each row, in place; the width is a power of two."""
-    n, width = x.shape
-    step = 1
-    while step < width:
-        pair = x.reshape(n, width // (2 * step), 2, step)
-        low, high = pair[:, :, 0] + pair[:, :, 1], pair[:, :, 0] - pair[:, :, 1]
-        pair[:, :, 0], pair[:, :, 1] = low, high
-        step *= 2
-    return x
-
-
-def fastfood(x, dims: int, gamma: float, seed: int = 42):
-    """`dims` random features of each row of x, whose products approximate exp(-gamma * squared distance).
-
-    Random signs, a Hadamard transform, a permutation, Gaussian weights and another transform stand in for a dense
-    Gaussian matrix (Le, Sarlos, Smola 2013), so a row costs dims * log(width).
-    """
-    import numpy as np
-
-    rng, width = np.random.default_rng(seed), 1 << max(0, (x.shape[1] - 1).bit_length())
-    padded = np.zeros((len(x), width))
-    padded[:, : x.shape[1]] = x
-    out = []
-    for _ in range(-(-dims // width)):
-        sign, order, g = rng.choice([-1.0, 1.0], width), rng.permutation(width), rng.standard_normal(width)
-        length = np.sqrt(rng.chisquare(width, width)) / np.linalg.norm(g)
-        dot = hadamard(hadamard(padded * sign)[:, order] * g) * length / np.sqrt(width)
-        out.append(np.cos(np.sqrt(2 * gamma) * dot + rng.uniform(0, 2 * np.pi, width)))
-    return np.sqrt(2 / dims) * np.concatenate(out, axis=1)[:, :dims]
-
-
 def fourier(df: DataFrame, dims: int, gamma: float, seed: int = 42) -> DataFrame:
     """df with `features` as Fastfood features of an RBF kernel, made in Arrow batches."""
 
@@ -198,55 +169,102 @@ def out_of_fold(df: DataFrame, name: str, num: list[str], cat: list[str], folds:
     return out
 
 
-def inner_scores(train: DataFrame, name: str, num: list[str], cat: list[str], folds: int = 3, seed: int = 42) -> DataFrame:
-    """Train's rows with out-of-fold p, and the full model's p where a row has none."""
-    inner = out_of_fold(train, name, num, cat, folds, seed).select("row_id", F.col("p").alias("p_oof"))
-    full = fit_score(train, train, name, num, cat)
-    return full.join(inner, "row_id", "left").withColumn("p", F.coalesce("p_oof", "p")).drop("p_oof")
+#: Models that linear_scores() fits for all groups and folds at once.
+LINEAR: dict[str, dict] = {"logistic_l2": {}, "logistic_balanced": {"balanced": True}, "svc_rbf": {"loss": "hinge", "balanced": True, "dims": 128}}
 
 
-def nested_scores(rows: DataFrame, name: str, num: list[str], cat: list[str], inner: int = 3, seed: int = 42, outer: list | None = None, **sizes) -> DataFrame:
-    """outer, inner, held, row_id, y, p, written: what calibration needs of every outer fold of rows(fold, ..).
+def held_out_scores(rows: DataFrame, by: list[str], name: str, num: list[str], cat: list[str], folds: int, trees: int = 100, depth: int = 6, **sizes) -> DataFrame:
+    """by.., fold, row_id, y, p: each row's score by the named model fitted on the other folds (1 to folds) of its group.
 
-    Each model is fitted on the rows outside an outer and an inner fold, and scores both: held rows are those of the inner
-    fold, the others are those of the outer one. outer: the outer folds, all where None.
+    Linear models, the kernel machine, forests and naive Bayes (numeric columns alone) come out of one plan for all groups and
+    folds. Boosting and the perceptron are fitted one after another, with `sizes` as estimators() takes them.
     """
-    rows = kept(rows.withColumnRenamed("fold", "outer"), "outer-folds")
-    out = None
-    for k in sorted(r[0] for r in rows.select("outer").distinct().collect()) if outer is None else outer:
-        train = kept(stratified_folds(rows.where(F.col("outer") != k), [], inner, 1, seed).drop("repeat"), "inner-folds")
-        for j in range(1, inner + 1):
-            score = fitted(train.where(F.col("fold") != j).drop("fold"), name, num, cat, **sizes)
-            asked = train.where(F.col("fold") == j).drop("fold").withColumn("held", F.lit(True)).unionByName(rows.where(F.col("outer") == k).withColumn("held", F.lit(False)))
-            part = score(asked).select(F.lit(k).alias("outer"), F.lit(j).alias("inner"), "held", "row_id", "y", "p")
+    cols, every = [*by, "fold", "row_id", "y", "p"], list(range(1, folds + 1))
+    if name in LINEAR:
+        return linear_scores(rows, by, num, cat, every, **LINEAR[name]).select(*cols)
+    if name in ("random_forest", "extra_trees"):
+        return forest_scores(rows, by, num, cat, every, trees, depth, random_cuts=name == "extra_trees").select(*cols)
+    if name == "gaussian_nb":
+        return held_out_nb(rows, by, {name: num}, folds, test=rows, keep=("fold",)).select(*cols)
+    rows, out = kept(rows, "folds"), None
+    for group in rows.select(*by).distinct().collect() if by else [()]:
+        mine = reduce(lambda df, g: df.where(F.col(g[0]).eqNullSafe(F.lit(g[1]))), zip(by, group), rows)
+        for k in every:
+            part = fit_score(mine.where(F.col("fold") != k), mine.where(F.col("fold") == k), name, num, cat, trees=trees, depth=depth, **sizes).select(*cols)
             out = part if out is None else out.unionByName(part)
-    return kept(out, "nested-scores")
+    return out
+
 
+def training_copies(rows: DataFrame, by: list[str], outer: list[int], inner: int, seed: int = 42) -> DataFrame:
+    """The training rows of each outer fold of rows(by.., fold, ..), once for each: outer, and fold, the inner one."""
+    copies = rows.withColumnRenamed("fold", "__of").withColumn("outer", F.explode(F.array(*[F.lit(k) for k in outer]))).where("__of <> outer")
+    return stratified_folds(copies.drop("__of"), [*by, "outer"], inner, 1, seed).drop("repeat")
 
-def calibrated_scores(nested: DataFrame, method: str) -> DataFrame:
-    """outer, row_id, y, p of the rows of outer folds: the mean over inner folds of the scores calibrated on those.
+
+def inner_scores(rows: DataFrame, by: list[str], name: str, num: list[str], cat: list[str], outer: int, inner: int = 3, seed: int = 42, **sizes) -> DataFrame:
+    """by.., outer, row_id, y, p: out-of-fold scores inside the training rows of every outer fold of rows(by.., fold, ..).
+
+    A row that no inner model scores (the other inner folds of a tiny group are empty, or naive Bayes misses a class there)
+    gets the score of the model fitted on all training rows of its outer fold.
+    """
+    at = [*by, "outer"]
+    copies = kept(training_copies(rows, by, list(range(1, outer + 1)), inner, seed), "inner-folds")
+    found = held_out_scores(copies, at, name, num, cat, inner, **sizes).select(*at, "row_id", "p")
+    found = kept(copies.select(*at, "row_id", "y").join(found, [*at, "row_id"], "left"), "inner-scores")
+    if found.where("p IS NULL").isEmpty():
+        return found
+    twice = copies.withColumn("fold", F.explode(F.array(F.lit(1), F.lit(2))))  # fold 2's model sees each row, as fold 1
+    full = held_out_scores(twice, at, name, num, cat, 2, **sizes).where("fold = 2").select(*at, "row_id", F.col("p").alias("p_full"))
+    return found.join(full, [*at, "row_id"], "left").withColumn("p", F.coalesce("p", "p_full")).drop("p_full")
+
+
+def nested_scores(rows: DataFrame, name: str, num: list[str], cat: list[str], inner: int = 3, seed: int = 42, outer: list | None = None, by: list[str] | None = None) -> DataFrame:
+    """by.., outer, inner, held, row_id, y, p, written: what calibration needs of every outer fold of rows(by.., fold, ..).
+
+    Each model, one of LINEAR, is fitted on the rows outside an outer and an inner fold, and scores both: held rows are those
+    of the inner fold, the others are those of the outer one. All models come out of one plan. outer: the outer folds, all
+    where None.
+    """
+    by = by or []
+    rows = kept(rows, "outer-folds")
+    outer = sorted(r[0] for r in rows.select("fold").distinct().collect()) if outer is None else outer
+    tests = rows.where(F.col("fold").isin(outer)).withColumns({"outer": F.col("fold"), "fold": F.lit(None).cast("int")})
+    both = training_copies(rows, by, outer, inner, seed).unionByName(tests)
+    found = linear_scores(both, [*by, "outer"], num, cat, list(range(1, inner + 1)), **LINEAR[name])
+    return kept(found.select(*by, "outer", F.col("held").alias("inner"), F.col("fold").isNotNull().alias("held"), "row_id", "y", "p"), "nested-scores")
+
+
+def calibrated_scores(nested: DataFrame, method: str, by: list[str] | None = None) -> DataFrame:
+    """by.., outer, row_id, y, p of the rows of outer folds: the mean over inner folds of the scores calibrated on those.
 
     The calibrators of all outer and inner folds are fitted and applied in one plan.
     """
-    keys = ["outer", "inner"]
-    found = calibrate(nested.where("held"), nested.where("not held").drop("held"), keys, method)
-    return found.groupBy("outer", "row_id", "y").agg(F.avg("q").alias("p"))
+    at = [*(by or []), "outer"]
+    found = calibrate(nested.where("held"), nested.where("not held").drop("held"), [*at, "inner"], method)
+    return found.groupBy(*at, "row_id", "y").agg(F.avg("q").alias("p"))
 
 
-def calibrated(train: DataFrame, test: DataFrame, name: str, num: list[str], cat: list[str], method: str = "sigmoid", folds: int = 3, seed: int = 42, **sizes) -> DataFrame:
+def calibrated(train: DataFrame, test: DataFrame, name: str, num: list[str], cat: list[str], method: str = "sigmoid", folds: int = 3, seed: int = 42) -> DataFrame:
     """test's rows with p averaged over inner folds: fitted on the rest, calibrated on the fold by sigmoid or isotonic."""
     rows = train.withColumn("fold", F.lit(0)).unionByName(test.withColumn("fold", F.lit(1)))
-    found = calibrated_scores(nested_scores(rows, name, num, cat, folds, seed, [1], **sizes), method)
+    found = calibrated_scores(nested_scores(rows, name, num, cat, folds, seed, [1]), method)
     return test.join(found.select("row_id", "p"), "row_id")
 
 
-def evaluate_all(df: DataFrame, names: list[str], num: list[str], cat: list[str], folds: int = 2, **sizes) -> DataFrame:
-    """Out-of-fold metrics of every named model over one edition."""
-    out = None
+def evaluate_all(df: DataFrame, by: list[str], names: list[str], num: list[str], cat: list[str], folds: int = 2, inner: int = 2, seed: int = 42, sigmoid: tuple[str, ...] = ("svc_rbf",), **sizes) -> DataFrame:
+    """by.., model and out-of-fold metrics of every named model over each group (edition) of df.
+
+    Models named in `sigmoid` are calibrated over inner folds of their training rows.
+    """
+    rows = kept(stratified_folds(df, by, folds, 1, seed).drop("repeat"), "folds")
+    out = []
     for name in names:
-        part = out_of_fold(df, name, num, cat, folds, **sizes).withColumn("model", F.lit(name)).select("model", "row_id", "y", "p")
-        out = part if out is None else out.unionByName(part)
-    return metric_bundle(out, ["model"])
+        if name in sigmoid:
+            found = calibrated_scores(nested_scores(rows, name, num, cat, inner, seed, list(range(1, folds + 1)), by), "sigmoid", by)
+        else:
+            found = held_out_scores(rows, by, name, num, cat, folds, **sizes)
+        out.append(found.select(*by, F.lit(name).alias("model"), "row_id", "y", "p"))
+    return metric_bundle(reduce(DataFrame.unionByName, out), [*by, "model"])
 
 
 def closed_form_nb(train: DataFrame, test: DataFrame, by: list[str], num: list[str], smooth: float = 1e-9) -> DataFrame:

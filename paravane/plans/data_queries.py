@@ -22,6 +22,7 @@ from .ctes import EDGES15, RUNS, SUBSAMPLE, SUBSAMPLE_KEY, arr, binned, h32, lit
 from .registry import query
 
 X = "x1 x2 x3"
+MODELS = ["logistic_l2", "random_forest", "extra_trees", "gradient_boosting", "svc_rbf", "mlp", "gaussian_nb"]
 BASE = "row_id, y, k1, k2"
 SCHEMA = "row_id long, y int, x1 double, x2 double, x3 double, k1 string, k2 string"
 
@@ -302,7 +303,23 @@ for _id, _cuts in [("e7_random_forest", False), ("e8_extra_trees", True)]:
     query()(_f)
 
 
-for _id, _name in [("e6_logistic_l2", "logistic_l2"), ("e9_gradient_boosting", "gradient_boosting"), ("e10_svc_rbf", "svc_rbf"), ("e11_mlp", "mlp"), ("e12_gaussian_nb", "gaussian_nb")]:
+def _linear(name: str):
+    """Every row's score by the model that didn't see its fold, for both folds of both editions in one plan."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = s.stratified_folds(src.editions(spark, sf), ["edition"], 2, 1).drop("repeat")
+        return m.held_out_scores(rows, ["edition"], name, NUM, CAT, 2).select("edition", "row_id", "y", "p")
+
+    return run
+
+
+for _id, _name in [("e6_logistic_l2", "logistic_l2"), ("e10_svc_rbf", "svc_rbf")]:
+    _f = _linear(_name)
+    _f.__name__ = _id
+    query()(_f)
+
+
+for _id, _name in [("e9_gradient_boosting", "gradient_boosting"), ("e11_mlp", "mlp"), ("e12_gaussian_nb", "gaussian_nb")]:
     _f = _fitted(_name)
     _f.__name__ = _id
     query()(_f)
@@ -319,11 +336,11 @@ def e12_closed_form_nb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _calibrated(spark: SparkSession, sf: str, name: str, methods: tuple[str, ...]) -> DataFrame:
-    """Every labelled row scored by the calibrated models of the other of two folds."""
-    rows = s.stratified_folds(src.labelled(spark, sf), [], 2, 1).drop("repeat")
-    nested = m.nested_scores(rows, name, NUM, CAT, 2)
-    out = [m.calibrated_scores(nested, how).withColumn("method", F.lit(how)) for how in methods]
-    return reduce(DataFrame.unionByName, out).select("method", "row_id", "y", "p")
+    """Every row of both editions scored by the calibrated models of the other of two folds, over three inner folds."""
+    rows = s.stratified_folds(src.editions(spark, sf), ["edition"], 2, 1).drop("repeat")
+    nested = m.nested_scores(rows, name, NUM, CAT, 3, by=["edition"])
+    out = [m.calibrated_scores(nested, how, ["edition"]).withColumn("method", F.lit(how)) for how in methods]
+    return reduce(DataFrame.unionByName, out).select("edition", "method", "row_id", "y", "p")
 
 
 @query()
@@ -338,18 +355,24 @@ def e10_e13_calibrated_svc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def e14_positive_probability(spark: SparkSession, sf: str) -> DataFrame:
-    rows = src.labelled(spark, sf)
-    return m.fit_score(rows, rows, "svc_rbf", NUM, []).groupBy("y").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
+    """The logistic of the kernel machine's margin, by class, of both editions; each model scores the rows that it was fitted on."""
+    rows = src.editions(spark, sf)
+    asked = rows.withColumn("fold", F.lit(1)).unionByName(rows.withColumn("fold", F.lit(None).cast("int")))
+    scored = m.linear_scores(asked, ["edition"], NUM, [], [0], **m.LINEAR["svc_rbf"]).where("fold IS NULL")
+    return scored.groupBy("edition", "y").agg(F.count("*").alias("n"), F.avg("p").alias("p"))
 
 
 @query()
 def e16_d2_evaluate_models(spark: SparkSession, sf: str) -> DataFrame:
-    return m.evaluate_all(src.labelled(spark, sf), ["logistic_l2", "gaussian_nb"], NUM, CAT)
+    """Both editions by all seven models, the kernel machine with calibrated probabilities."""
+    return m.evaluate_all(src.editions(spark, sf), ["edition"], MODELS, NUM, CAT, trees=10, rounds=5)
 
 
 @query()
 def d3_inner_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return m.inner_scores(src.labelled(spark, sf), "logistic_l2", NUM, CAT, 2).select("row_id", "y", "p")
+    """Out-of-fold scores inside the training rows of each outer fold of both editions."""
+    rows = s.stratified_folds(src.editions(spark, sf), ["edition"], 2, 1).drop("repeat")
+    return m.inner_scores(rows, ["edition"], "logistic_l2", NUM, CAT, 2).select("edition", "outer", "row_id", "y", "p")
 
 
 @query()

@@ -13,7 +13,9 @@ from paravane.operators import models as m
 from paravane.operators import stats as st
 from paravane.operators.sampling import stratified_subsample
 from paravane.sources import editions as src
+from paravane.sources.editions import CATEGORICAL as CAT
 from paravane.sources.editions import NUMERIC as NUM
+from paravane.sources.editions import kept
 
 from . import views as v
 from .ctes import EDGES15, KEYS, RUNS, arr, average_rank, binned, linear_ctes, lit, stability_ctes, u
@@ -123,17 +125,23 @@ def f17_standardised_ppv(spark: SparkSession, sf: str) -> DataFrame:
     return v.ppv_facts(spark, sf).select(*EM, "fold", "thr", "pi", "ppv_std")
 
 
+#: The models of the decision run that are fitted for all editions and folds at once.
+PPV_MODELS = ["logistic_l2", "random_forest", "svc_rbf", "gaussian_nb"]
+
+
 @query()
 def f18_ppv_run(spark: SparkSession, sf: str) -> DataFrame:
-    rows = m.stratified_folds(src.labelled(spark, sf), [], 2, 1).drop("repeat")
-    pi = src.labelled(spark, sf).agg(F.avg("y")).first()[0]
-    runs = []
-    for k in (1, 2):
-        train, test = rows.where(F.col("fold") != k).drop("fold"), rows.where(F.col("fold") == k).drop("fold")
-        inner = m.inner_scores(train, "logistic_l2", NUM, [], 2).withColumn("model", F.lit("logistic_l2"))
-        outer = m.fit_score(train, test, "logistic_l2", NUM, []).withColumn("model", F.lit("logistic_l2"))
-        runs.append(mt.ppv_run(inner, outer, ["model"], F.lit(pi)).withColumn("fold", F.lit(k)))
-    return cmp.stacked(runs)
+    """Both editions: each outer fold's threshold from inner out-of-fold scores of its training rows, applied to the fold.
+
+    The prevalence is that of the full edition.
+    """
+    rows = kept(m.stratified_folds(src.editions(spark, sf), ["edition"], 2, 1).drop("repeat"), "folds")
+    inner, outer = [], []
+    for name in PPV_MODELS:
+        inner.append(m.inner_scores(rows, ["edition"], name, NUM, CAT, 2, 2, trees=10, depth=4).withColumnRenamed("outer", "fold").withColumn("model", F.lit(name)))
+        outer.append(m.held_out_scores(rows, ["edition"], name, NUM, CAT, 2, trees=10, depth=4).withColumn("model", F.lit(name)))
+    pi = rows.where("edition = 'full'").agg(F.avg("y").alias("pi_ref"))
+    return mt.ppv_run(cmp.stacked(inner), cmp.stacked(outer), ["edition", "model", "fold"], pi)
 
 
 BOOT = 200

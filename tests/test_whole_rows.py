@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paravane.operators import attribution as at
 from paravane.operators import models as m
 from paravane.operators import sampling as s
+from paravane.plans import metric_queries as q
 from paravane.plans import views as v
 from paravane.plans.catalogue import QUERIES
 from paravane.plans.ctes import ATTRIBUTED, MODELS
@@ -118,20 +119,28 @@ def test_attribution_queries_read_every_row(spark, sf, worlds):
 
 
 def test_calibration_trains_on_all_of_its_folds(spark, sf, monkeypatch):
-    seen = []
-    monkeypatch.setattr(m, "fitted", lambda train, *a, **k: (seen.append({r.row_id for r in train.collect()}), lambda d: d.withColumn("p", F.lit(0.5)))[1])
+    seen, real = [], m.linear_scores
+    monkeypatch.setattr(m, "linear_scores", lambda rows, *a, **k: (seen.extend(rows.select("edition", "outer", "fold", "row_id").collect()), real(rows, *a, **k))[1])
     got = QUERIES["e13_calibration"](spark, sf).collect()
-    tagged = s.stratified_folds(src.labelled(spark, sf), [], 2, 1)
-    folds = [{r.row_id for r in tagged.where(f"fold = {k}").collect()} for k in (1, 2)]
-    assert len(seen) == 4 and seen[0] | seen[1] == folds[1] and seen[2] | seen[3] == folds[0]
-    assert not seen[0] & seen[1] and sorted((r.method, r.row_id) for r in got) == [(how, i) for how in ("isotonic", "sigmoid") for i in range(1, 61)]
+    tagged = s.stratified_folds(src.editions(spark, sf), ["edition"], 2, 1).collect()
+    for edition in ("full", "demo"):
+        ids = {k: {r.row_id for r in tagged if r.edition == edition and r.fold == k} for k in (1, 2)}
+        for outer, other in ((1, 2), (2, 1)):
+            mine = [r for r in seen if r.edition == edition and r.outer == outer]
+            assert sorted(r.row_id for r in mine if r.fold is not None) == sorted(ids[other])
+            assert sorted(r.row_id for r in mine if r.fold is None) == sorted(ids[outer])
+    assert {r.fold for r in seen} == {1, 2, 3, None}
+    full = sorted((r.method, r.row_id) for r in got if r.edition == "full")
+    assert full == [(how, i) for how in ("isotonic", "sigmoid") for i in range(1, 61)]
 
 
 def test_every_row_gets_a_score(spark, sf):
     got = QUERIES["e12_gaussian_nb"](spark, sf).collect()
     assert sorted(r.row_id for r in got) == list(range(1, 61)) and all(0 <= r.p <= 1 for r in got)
-    got = QUERIES["f18_ppv_run"](spark, sf).collect()
-    assert sorted(r.fold for r in got) == [1, 2] and sum(r.tp + r.fp + r.tn + r.fn for r in got) == 60
+    got = [r for r in QUERIES["f18_ppv_run"](spark, sf).collect() if r.edition == "full"]
+    assert sorted((r.model, r.fold) for r in got) == [(name, k) for name in sorted(q.PPV_MODELS) for k in (1, 2)]
+    for name in q.PPV_MODELS:
+        assert sum(r.tp + r.fp + r.tn + r.fn for r in got if r.model == name) == 60
 
 
 def test_thresholds_come_from_the_other_folds(spark, sf):
