@@ -42,3 +42,10 @@ def test_means_of_both_editions_are_over_the_same_folds(spark, pairs):
         assert r.n == len(xs) and r.mean_full == pytest.approx(mean(a for a, _ in xs)) and r.mean_demo == pytest.approx(mean(b for _, b in xs))
         assert r.mean_delta == pytest.approx(mean(d)) == pytest.approx(r.mean_full - r.mean_demo)
         assert r.sd is None if len(d) < 2 else r.sd == pytest.approx(stdev(d))
+
+
+def test_topline_is_over_the_folds_of_both_editions(spark, pairs):
+    got = {r.model: (r.full_ppv, r.demo_ppv) for r in q.m21_topline(spark, "").collect()}
+    want = {m: tuple(map(mean, zip(*xs))) for (m, c), xs in pairs.items() if c == "ppv_std"}
+    assert set(got) == set(want) == {"m1", "m3"}
+    assert all(got[m] == pytest.approx(want[m]) for m in want)
