@@ -108,3 +108,10 @@ def test_thresholds_of_other_folds_by_plain_code(spark):
             if any(x[0] == g and x[3] for x in rows):
                 others = [p for h, f, p, y in rows if h == g and f != k and y]
                 assert got[g, k] == pytest.approx(np.quantile(others, 0.2) if others else 1.0)
+
+
+def test_no_threshold_without_rows_in_the_other_folds(spark):
+    """As in the SQL: 1 where the other folds have rows but no positive, no row where they have no rows."""
+    df = spark.createDataFrame([("a", 1, 0.3, 1), ("a", 1, 0.6, 0), ("b", 1, 0.2, 1), ("b", 3, 0.9, 0)], "g string, fold int, p double, y int")
+    got = {(r.g, r.fold): r.thr for r in mt.held_out_thresholds(df, ["g"], [1, 2, 3]).collect()}
+    assert got == {("a", 2): 0.3, ("a", 3): 0.3, ("b", 1): 1.0, ("b", 2): 0.2, ("b", 3): 0.2}

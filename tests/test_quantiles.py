@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
+from paravane.operators import quantiles as qs
 from paravane.operators import worlds as w
 from paravane.operators.models import median_imputed
-from paravane.operators.quantiles import exact_quantiles, medians
+from paravane.operators.quantiles import exact_quantiles, medians, table_quantile
 from paravane.operators.stats import describe
 
 SHARES = {"low": 0.0, "q1": 0.25, "mid": 0.5, "odd": 0.731, "top": 1.0}
@@ -46,3 +47,15 @@ def test_describe_keeps_a_group_of_nulls(spark):
 def test_missingness_keeps_a_group_without_values(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 3, None)], "g string, row_id int, x double")
     assert sorted(r.row_id for r in w.missingness(df, ["g"], ["x"]).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("accuracy", [1000, 1])
+def test_a_table_quantile_is_exact_however_rough_its_cuts(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(qs, "ACCURACY", accuracy)
+    rng = np.random.default_rng(11)
+    groups = {"wide": rng.normal(size=3000), "tied": rng.integers(0, 4, 700).astype(float), "narrow": 0.33 + 1e-9 * rng.random(2000), "one": np.array([2.0]), "two": np.array([1.0, 5.0])}
+    data = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    for share in (0.0, 1 - 0.8, 0.5, 1.0):
+        got = {r.g: r.thr for r in table_quantile(df, ["g"], "x", share, "thr").collect()}
+        assert set(got) == set(groups) and all(got[g] == pytest.approx(np.quantile(xs, share), rel=1e-12) for g, xs in groups.items())
