@@ -67,8 +67,14 @@ def stability(attr: DataFrame, by: list[str], clean: str, k: int = 20) -> DataFr
     pairs = attr.where(F.col("world") != clean).join(base, [*by, "row_id", "feature"])
     keys = [*by, "world"]
     means = pairs.groupBy(*keys, "feature").agg(F.avg(F.abs("value")).alias("m"), F.avg(F.abs("v0")).alias("m0"))
+    return stability_of(means, row_cosine(pairs, keys, "value", "v0"), by, k)
+
+
+def stability_of(means: DataFrame, cosines: DataFrame, by: list[str], k: int = 20) -> DataFrame:
+    """stability() from means(by.., world, feature, m, m0) of absolute values and cosines(by.., world, cosine)."""
+    keys = [*by, "world"]
     rank = spearman(means, keys, "m", "m0").select(*keys, ((F.coalesce("spearman", F.lit(0.0)) + 1) / 2).alias("rank"))
-    out = row_cosine(pairs, keys, "value", "v0").join(rank, keys).join(jaccard_top(means, keys, "feature", "m", "m0", k), keys)
+    out = cosines.join(rank, keys).join(jaccard_top(means, keys, "feature", "m", "m0", k), keys)
     mean = out.groupBy(*by).agg(F.avg("cosine").alias("E_cos"), F.avg("rank").alias("E_rank"), F.avg("jaccard").alias("E_jaccard"))
     return mean.withColumn("E_mix", (F.col("E_cos") + F.col("E_rank") + F.col("E_jaccard")) / 3)
 
