@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paravane.functions.draws import hash32, key
+from paravane.sources.editions import kept, unkept
 
 from .compare import jaccard_top, row_cosine
-from .metrics import auroc
+from .ordered import areas, packed
 from .sampling import hash_rank
 from .stats import spearman
 
+#: Rows of a block inside which permutation importance shuffles values, about.
+BLOCK_ROWS = 1 << 17
+
 
 def linear_attribution(df: DataFrame, coef: DataFrame, num: list[str], keep: list[str]) -> DataFrame:
     """keep, row_id, feature, value: a fitted coefficient (coef: feature, coef) times the distance from the feature's mean."""
@@ -82,19 +88,35 @@ def stability_of(means: DataFrame, cosines: DataFrame, by: list[str], k: int = 2
 def permutation_importance(df: DataFrame, num: list[str], score: Callable[[DataFrame], DataFrame], repeats: int = 10, seed: int = 42) -> DataFrame:
     """feature, importance: mean drop of the AUROC when the feature's values are dealt to other rows.
 
-    A shuffle is a join of the rows' places in two keyed hash orders. score() adds p.
+    Each repeat deals all rows into blocks by a hash and shuffles every feature's values inside a block, so rows shuffle
+    once for all features, and a block is one task. Repeats follow one another, and the scores of one are deleted before the
+    next, so disk holds one repeat's. score() adds p.
     """
-    base = auroc(score(df).withColumn("g", F.lit(1)), ["g"], "base").drop("g")
-    cases = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    cases = hash_rank(cases, ["rep"], key("perm-a", F.col("rep"), F.col("row_id"), seed), name="i")
-    parts = None
-    for f in num:
-        dealt = hash_rank(cases.select("rep", "row_id", f), ["rep"], key("perm-b", f, F.col("rep"), F.col("row_id"), seed), name="i2")
-        dealt = dealt.select("rep", F.col("i2").alias("i"), F.col(f).alias("__v"))
-        part = cases.join(dealt, ["rep", "i"]).withColumn(f, F.col("__v")).drop("__v").withColumn("feature", F.lit(f))
-        parts = part if parts is None else parts.unionByName(part)
-    shuffled = auroc(score(parts), ["feature", "rep"], "auroc")
-    return shuffled.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("base") - F.col("auroc")).alias("importance"))
+    rows = df.select("row_id", "y", *num)
+    blocks = max(1, rows.count() // BLOCK_ROWS)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def shuffled(pdf: pd.DataFrame) -> pd.DataFrame:
+        rep, block = int(pdf["rep"].iloc[0]), int(pdf["block"].iloc[0])
+        pdf, out = pdf.drop(columns="block").sort_values(["row_id", "y", *num]), []
+        for i, f in enumerate(num):
+            order = np.random.default_rng([seed, rep, block, i]).permutation(len(pdf))
+            out.append(pdf.assign(**{f: pdf[f].to_numpy()[order], "feature": f}))
+        return pd.concat(out)
+
+    def areas_of(scored: DataFrame, keys: list[str]) -> list:
+        scores = kept(packed(scored, keys), "scores")
+        found = areas(scores, keys).collect()
+        unkept(scores)
+        return found
+
+    base = areas_of(score(rows).withColumn("g", F.lit(1)), ["g"])
+    drops: list[tuple] = []
+    for rep in range(1, repeats + 1):
+        dealt = rows.withColumns({"rep": F.lit(rep), "block": F.pmod(F.xxhash64(F.lit(f"perm|{seed}|{rep}"), F.col("row_id")), F.lit(blocks))})
+        mixed = dealt.groupBy("rep", "block").applyInPandas(shuffled, f"{types}, rep int, feature string")
+        drops += [(r.feature, None if r.auroc is None else base[0].auroc - r.auroc) for r in areas_of(score(mixed), ["feature"])]
+    return df.sparkSession.createDataFrame(drops, "feature string, drop double").groupBy("feature").agg(F.avg("drop").alias("importance"))
 
 
 def importance_agreement(a: DataFrame, b: DataFrame, by: list[str], value: str = "importance") -> DataFrame:
